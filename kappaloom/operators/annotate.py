@@ -16,7 +16,12 @@ from kappaloom.functions.text import instruction, model_answer
 
 
 class TransientError(Exception):
-    """Raised by a predictor for a failure worth another attempt."""
+    """Raised by a predictor for a failure worth another attempt.
+
+    Any exception with a true ``transient`` attribute is treated alike.
+    """
+
+    transient = True
 
 
 class Predictor(Protocol):
@@ -52,13 +57,12 @@ def call_with_retry(call: Callable, backend: Backend):
     for attempt in range(1, backend.max_attempts + 1):
         try:
             return call(), attempt, None
-        except TransientError as exc:
-            error = f"{type(exc).__name__}: {exc}"
-            if attempt < backend.max_attempts:
-                backend.sleep(backend.backoff_base ** (attempt - 1))
         except Exception as exc:
-            return None, attempt, f"{type(exc).__name__}: {exc}"
-    return None, backend.max_attempts, error
+            error = f"{type(exc).__name__}: {exc}"
+            if not getattr(exc, "transient", False) or attempt == backend.max_attempts:
+                return None, attempt, error
+            backend.sleep(backend.backoff_base ** (attempt - 1))
+    raise ValueError("max_attempts must be at least 1")
 
 
 def answer_batch(predictor, backend: Backend, prompts: list[str], runs: list[int]):
