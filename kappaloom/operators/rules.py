@@ -7,10 +7,9 @@ short count vector; neither the tokens nor the texts are exploded or shuffled.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kappaloom.functions.ids import CONDITION
 from kappaloom.operators.conditions import Grid
@@ -37,46 +36,53 @@ RULE_MODELS = tuple(FIRST_RANK)
 
 @dataclass(frozen=True)
 class Rule:
-    """One setting: the ranks in use and the weight of an accented letter."""
+    """One setting: a window of ranks, cyclic, and the weight of an accented letter."""
 
-    ranks: tuple[int, ...]
+    first_rank: int
+    size: int
     accent_weight: int = 0
 
+    @property
+    def ranks(self) -> tuple[int, ...]:
+        return tuple((self.first_rank + i) % RANKS for i in range(self.size))
+
 
 def rule_of(model: str, shot_type: str, context_level: str, run_idx: int = 0) -> Rule:
     """Run r shifts the ranks by r, so repeated runs disagree in a repeatable way."""
     size = LEXICON_SIZE[shot_type]
-    start = FIRST_RANK[model](size) + run_idx
-    return Rule(tuple((start + i) % RANKS for i in range(size)), ACCENT_WEIGHT[context_level])
+    first = (FIRST_RANK[model](size) + run_idx) % RANKS
+    return Rule(first, size, ACCENT_WEIGHT[context_level])
+
 
+def evidence(items: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` columns plus ``hits[label][rank]`` and ``accents[label]``.
 
-def word_hits(text: Column) -> Column:
-    """All lexicon words of a text in order, as whole runs of a-z letters."""
+    Lexicon words are found as whole runs of a-z letters by one regex over the text.
+    """
     words = sorted({w for ws in LEXICON.values() for w in ws})
-    return F.regexp_extract_all(
-        F.lower(text), F.lit(f"(?<![a-z])(?:{'|'.join(words)})(?![a-z])"), F.lit(0)
+    found = f"regexp_extract_all(lower(text), '(?<![a-z])(?:{'|'.join(words)})(?![a-z])', 0)"
+    accents = ", ".join(
+        f"bigint(regexp_count(lower(text), '[{ACCENTS[l]}]'))" if ACCENTS[l] else "bigint(0)"
+        for l in LABELS
     )
-
-
-def accent_hits(text: Column, label: str) -> Column:
-    letters = ACCENTS[label]
-    return F.regexp_count(F.lower(text), F.lit(f"[{letters}]")) if letters else F.lit(0)
-
-
-def evidence(items: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` columns plus per-(label, rank) hit counts and per-label accent counts."""
-    scanned = items.withColumn("_hits", word_hits(F.col("text"))).select(
-        *keep, "_hits",
-        F.array(*[accent_hits(F.col("text"), l).cast("long") for l in LABELS]).alias("accents"),
+    counts = ", ".join(f"bigint(size(filter(_hits, h -> h = '{w}')))" for w in words)
+    hits = ", ".join(
+        "array(" + ", ".join(f"_counts[{words.index(w)}]" for w in LEXICON[l]) + ")"
+        for l in LABELS
+    )
+    return (
+        items.select(*keep, F.expr(found).alias("_hits"), F.expr(f"array({accents})").alias("accents"))
+        .withColumn("_counts", F.expr(f"array({counts})"))
+        .select(*keep, F.expr(f"array({hits})").alias("hits"), "accents")
     )
 
-    def count_of(word: str) -> Column:
-        return F.size(F.filter("_hits", lambda hit: hit == F.lit(word))).cast("long")
 
-    words = sorted({w for ws in LEXICON.values() for w in ws})
-    counted = scanned.withColumn("_counts", F.array(*[count_of(w) for w in words]))
-    slots = [F.col("_counts")[words.index(LEXICON[l][r])] for l in LABELS for r in range(RANKS)]
-    return counted.select(*keep, F.array(*slots).alias("hits"), "accents")
+# Sums of the first 0, 1, ... 16 values with the ranks taken round twice. The sum over any
+# cyclic window of ranks is then one difference.
+RUNNING_SUMS = (
+    "transform({hits}, v -> aggregate(concat(v, v), array(bigint(0)), "
+    "(sums, x) -> concat(sums, array(element_at(sums, -1) + x))))"
+)
 
 
 def weighted(evidence_rows: DataFrame) -> DataFrame:
@@ -84,69 +90,77 @@ def weighted(evidence_rows: DataFrame) -> DataFrame:
 
     short: is the word there at all; medium: how often; long: how many letters it covers.
     """
-    slots = [(l, r) for l in LABELS for r in range(RANKS)]
-    hits = [F.col("hits")[i] for i in range(len(slots))]
+    letters = ", ".join(
+        "array(" + ", ".join(f"{len(w)}" for w in LEXICON[l]) + ")" for l in LABELS
+    )
     readings = {
-        "short": F.array(*[F.least(h, F.lit(1).cast("long")) for h in hits]),
-        "medium": F.col("hits"),
-        "long": F.array(*[h * len(LEXICON[l][r]) for h, (l, r) in zip(hits, slots)]),
+        "short": "transform(hits, v -> transform(v, h -> least(h, bigint(1))))",
+        "medium": "hits",
+        "long": f"zip_with(hits, array({letters}), (v, n) -> zip_with(v, n, (h, m) -> h * m))",
     }
-    pairs = F.array(*[
-        F.struct(F.lit(name).alias("length"), v.alias("slots")) for name, v in readings.items()
-    ])
+    pairs = ", ".join(
+        f"named_struct('length', '{name}', 'sums', {RUNNING_SUMS.format(hits=hits)})"
+        for name, hits in readings.items()
+    )
     keep = [c for c in evidence_rows.columns if c != "hits"]
-    return evidence_rows.select(*keep, F.inline(pairs))
+    return evidence_rows.select(*keep, F.expr(f"inline(array({pairs}))"))
 
 
-def best_of(scores: list[Column]) -> Column:
-    """Label of the highest score, first label on ties, null when nothing scored."""
-    top = F.greatest(*scores)
-    pick = reduce(
-        lambda rest, pair: F.when(pair[1] == top, F.lit(pair[0])).otherwise(rest),
-        reversed(list(zip(LABELS, scores))), F.lit(None).cast("string"),
+def with_best(rows: DataFrame, scores: list[str]) -> DataFrame:
+    """Add ``pred``: label of the highest score, first on ties, null when nothing scored.
+
+    Scores and their maximum become columns first; inside one nested expression they
+    would be computed once per comparison.
+    """
+    names = [f"_score{i}" for i in range(len(LABELS))]
+    best = " ".join(f"WHEN {n} = _top THEN '{l}'" for n, l in zip(names, LABELS))
+    return (
+        rows.withColumns({n: F.expr(e) for n, e in zip(names, scores)})
+        .withColumn("_top", F.greatest(*names))
+        .withColumn("pred", F.expr(f"CASE WHEN _top > 0 THEN CASE {best} END END"))
     )
-    return F.when(top > 0, pick)
 
 
 def predict_one(items: DataFrame, rule: Rule, keep: list[str]) -> DataFrame:
     """``keep`` plus ``pred`` under a single rule, counting every hit."""
-    rows = evidence(items, keep)
     scores = [
-        reduce(lambda a, b: a + b, [F.col("hits")[i * RANKS + r] for r in rule.ranks])
-        + F.col("accents")[i] * rule.accent_weight
+        " + ".join(f"hits[{i}][{r}]" for r in rule.ranks)
+        + f" + accents[{i}] * {rule.accent_weight}"
         for i in range(len(LABELS))
     ]
-    return rows.select(*keep, best_of(scores).alias("pred"))
+    return with_best(evidence(items, keep), scores).select(*keep, "pred")
 
 
 RULE_SCHEMA = pa.schema([
     ("cond_id", pa.int32()), ("dataset", pa.string()), ("length", pa.string()),
-    ("run_idx", pa.int32()), ("use", pa.list_(pa.int64())), ("accent_weight", pa.int64()),
+    ("run_idx", pa.int32()), ("first_rank", pa.int32()), ("end_rank", pa.int32()),
+    ("accent_weight", pa.int64()),
 ])
 
 
 def rule_table(spark: SparkSession, grid: Grid) -> DataFrame:
-    """One literal row per condition and run: which ranks count, what accents weigh."""
+    """One literal row per condition and run: the window of ranks, the weight of accents."""
     at = {name: i + 1 for i, name in enumerate(CONDITION)}
     rows = []
     for row in grid.rows():
         for run in range(grid.n_runs):
             rule = rule_of(row[at["model"]], row[at["shot_type"]], row[at["context_level"]], run)
-            use = [int(r in rule.ranks) for r in range(RANKS)]
-            rows.append((row[0], row[at["dataset"]], row[at["length"]], run, use,
-                         rule.accent_weight))
+            rows.append((row[0], row[at["dataset"]], row[at["length"]], run, rule.first_rank,
+                         rule.first_rank + rule.size, rule.accent_weight))
     return literal_table(spark, RULE_SCHEMA, rows)
 
 
 def predict_grid(items: DataFrame, grid: Grid) -> DataFrame:
-    """(cond_id, run_idx, dataset, item_id, gold, pred) for the whole grid in one scan."""
+    """(cond_id, run_idx, dataset, item_id, gold, pred) for the whole grid in one scan.
+
+    The literal rule table is joined by broadcast after the texts are gone, so the
+    grid multiplies narrow rows only.
+    """
     keep = ["dataset", "item_id", "gold"]
     rules = rule_table(items.sparkSession, grid)
     rows = weighted(evidence(items, keep)).join(rules, ["dataset", "length"])
-    use = [F.col("use")[r] for r in range(RANKS)]
     scores = [
-        reduce(lambda a, b: a + b, [F.col("slots")[i * RANKS + r] * use[r] for r in range(RANKS)])
-        + F.col("accents")[i] * F.col("accent_weight")
+        f"sums[{i}][end_rank] - sums[{i}][first_rank] + accents[{i}] * accent_weight"
         for i in range(len(LABELS))
     ]
-    return rows.select("cond_id", "run_idx", *keep, best_of(scores).alias("pred"))
+    return with_best(rows, scores).select("cond_id", "run_idx", *keep, "pred")

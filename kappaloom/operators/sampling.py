@@ -47,12 +47,11 @@ def first_by_hash(df: DataFrame, groups: list[str], n: int, seed: int) -> DataFr
     )
     # Groups with fewer than n rows have no edge and are taken whole.
     marked = lookup_join(keyed, edges, groups, "left")
-    helper = ["_key", "_bucket", "_edge", "_take"]
     below = marked.where(F.col("_edge").isNull() | (F.col("_bucket") < F.col("_edge")))
     edge = _ranked(marked.where(F.col("_bucket") == F.col("_edge")), groups).where(
         F.col("draw_rank") <= F.col("_take")
     )
-    return below.drop(*helper).unionByName(edge.drop(*helper, "draw_rank"))
+    return below.select(*df.columns).union(edge.select(*df.columns))
 
 
 def _ranked(keyed: DataFrame, groups: list[str]) -> DataFrame:

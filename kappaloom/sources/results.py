@@ -93,17 +93,16 @@ def write_records(records: DataFrame, path: str) -> None:
 def read_run_records(spark: SparkSession, path: str) -> DataFrame:
     """One row per item of stored run records: run_id, part, pos, item_id, gold, raw, pred."""
     records = spark.read.schema(RUN_RECORD_SCHEMA).option("multiLine", True).json(path)
-    cells = F.posexplode(
-        F.arrays_zip("test_labels", "raw_outputs", "predictions", "item_ids")
+    # Records without item ids, and arrays cut short, still line up by position.
+    places = F.transform("test_labels", lambda _, i: i.cast("long"))
+    cells = F.arrays_zip(
+        F.coalesce("item_ids", places).alias("item_id"), F.col("test_labels").alias("gold"),
+        F.coalesce("raw_outputs", F.array().cast("array<string>")).alias("raw"),
+        F.coalesce("predictions", F.array().cast("array<string>")).alias("pred"),
     )
     return records.where(F.col("run_id").isNotNull()).select(
-        "run_id", F.coalesce("part", F.lit(0)).alias("part"), cells.alias("pos", "c"),
-    ).select(
-        "run_id", "part", "pos",
-        F.coalesce("c.item_ids", F.col("pos").cast("long")).alias("item_id"),
-        F.col("c.test_labels").alias("gold"), F.col("c.raw_outputs").alias("raw"),
-        F.col("c.predictions").alias("pred"),
-    )
+        "run_id", F.coalesce("part", F.lit(0)).alias("part"), F.posexplode(cells).alias("pos", "c"),
+    ).select("run_id", "part", "pos", "c.item_id", "c.gold", "c.raw", "c.pred")
 
 
 def write_summaries(summary: DataFrame, path: str) -> None:
