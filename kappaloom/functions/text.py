@@ -8,15 +8,19 @@ from pyspark.sql import Column, functions as F
 
 from kappaloom.fixed_values import ANSWER_EDGE_CHARS, INSTRUCTION_END
 
-# What str.strip() and the regex class \s treat as white space in Python.
+# What counts as white space in Python, as characters and as a Java regex class.
+SPACES = "".join(map(chr, (
+    *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+    0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
+)))
 SPACE = r"[\s\x1c-\x1f]"
 # What Python's \w matches: letters, every kind of number, underscore.
 WORD = r"[\p{L}\p{N}_]"
 
 
 def strip_space(c: Column) -> Column:
-    """Trim Unicode white space (Spark's trim removes U+0020 only)."""
-    return F.regexp_replace(c, rf"(?U)\A{SPACE}++|(?<!{SPACE}){SPACE}++\z", "")
+    """Trim Unicode white space (Spark's plain trim removes U+0020 only)."""
+    return F.btrim(c, F.lit(SPACES))
 
 
 def squeeze_space(c: Column) -> Column:

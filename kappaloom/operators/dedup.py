@@ -6,9 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
-from kappaloom.functions.text import strip_space
 from kappaloom.operators.joins import lookup_join, skew_join
-from kappaloom.operators.prompts import text_id
+from kappaloom.operators.prompts import text_id, trimmed
 from kappaloom.session import materialize
 
 
@@ -43,10 +42,10 @@ def annotate_distinct(
     questions = templates.select(
         "dataset", "model", "template_id", "run_idx", "prefix", "suffix"
     ).dropDuplicates(["dataset", "model", "template_id", "run_idx"])
-    one_each = items.join(firsts.drop("copies"), ["dataset", "item_id"])
+    one_each = trimmed(items).join(firsts.drop("copies"), ["dataset", "item_id"])
     prompts = lookup_join(one_each, materialize(questions, "questions"), ["dataset"]).select(
         "text_key", "template_id", "run_idx", "model",
-        F.concat("prefix", strip_space(F.col("text")), "suffix").alias("prompt"),
+        F.concat("prefix", "text", "suffix").alias("prompt"),
     )
     answer = F.struct("template_id", "run_idx", "raw", "attempts", "error")
     answers = materialize(

@@ -60,6 +60,9 @@ LONG_STEPS_EXAMPLES = (
     "Answer with the label alone, one word without explanation:"
 )
 
+# Up to this many example ids are worth a scan filter; more are found by the join alone.
+SCAN_IDS = 1000
+
 SYSTEM_SCHEMA = pa.schema(
     [(n, pa.string()) for n in ("dataset", "system", "some_text", "full_text")]
 )
@@ -82,8 +85,8 @@ def example_blocks(
 ) -> DataFrame:
     """(dataset, shot_type, compact_block, numbered_block), one row per dataset and shot.
 
-    A block collects at most ``n`` texts; the pool's few keys are broadcast to the
-    items, whose texts are read but not shuffled.
+    A block collects at most ``n`` texts. Their ids also go into the scan as a filter, so
+    that row groups and pages without any of them are skipped, texts included.
     """
     picked = materialize(
         round_robin_examples(pool, n_one).withColumn("shot_type", F.lit("one_shot"))
@@ -93,6 +96,9 @@ def example_blocks(
         "examples",
     )
     texts = items.select("dataset", "item_id", strip_space(F.col("text")).alias("text"))
+    ids = [r["item_id"] for r in picked.select("item_id").limit(SCAN_IDS + 1).collect()]
+    if len(ids) <= SCAN_IDS:
+        texts = texts.where(F.col("item_id").isin(ids))
     rows = lookup_join(texts, picked, ["dataset", "item_id"]).groupBy("dataset", "shot_type").agg(
         F.array_sort(F.collect_list(F.struct("pos", "text", "label"))).alias("ex")
     )
@@ -169,13 +175,17 @@ def prompt_templates(
 
 def build_prompts(items: DataFrame, templates: DataFrame) -> DataFrame:
     """One prompt per item and condition of its dataset (``templates`` written once)."""
-    return with_prompt(lookup_join(items, templates, ["dataset"]))
+    return with_prompt(lookup_join(trimmed(items), templates, ["dataset"]))
+
+
+def trimmed(items: DataFrame) -> DataFrame:
+    """Trim texts once per item, before the grid repeats them."""
+    return items.withColumn("text", strip_space(F.col("text")))
 
 
 def with_prompt(rows: DataFrame) -> DataFrame:
     """Replace prefix and suffix by the finished prompt."""
-    prompt = F.concat("prefix", strip_space(F.col("text")), "suffix")
-    return rows.withColumn("prompt", prompt).drop("prefix", "suffix")
+    return rows.withColumn("prompt", F.concat("prefix", "text", "suffix")).drop("prefix", "suffix")
 
 
 def prompts_by_condition(prompts: DataFrame) -> DataFrame:

@@ -9,10 +9,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from kappaloom.functions.ids import CONDITION
 from kappaloom.operators.conditions import Grid
+from kappaloom.operators.scoring import known
 from kappaloom.session import literal_table
 
 # Stop words in rank order, and letters typical of a language.
@@ -79,10 +80,12 @@ def evidence(items: DataFrame, keep: list[str]) -> DataFrame:
 
 # Sums of the first 0, 1, ... 16 values with the ranks taken round twice. The sum over any
 # cyclic window of ranks is then one difference.
+# All labels' sums form one flat array.
 RUNNING_SUMS = (
-    "transform({hits}, v -> aggregate(concat(v, v), array(bigint(0)), "
-    "(sums, x) -> concat(sums, array(element_at(sums, -1) + x))))"
+    "flatten(transform({hits}, v -> aggregate(concat(v, v), array(bigint(0)), "
+    "(sums, x) -> concat(sums, array(element_at(sums, -1) + x)))))"
 )
+SUMS_PER_LABEL = 2 * RANKS + 1
 
 
 def weighted(evidence_rows: DataFrame) -> DataFrame:
@@ -106,19 +109,30 @@ def weighted(evidence_rows: DataFrame) -> DataFrame:
     return evidence_rows.select(*keep, F.expr(f"inline(array({pairs}))"))
 
 
-def with_best(rows: DataFrame, scores: list[str]) -> DataFrame:
-    """Add ``pred``: label of the highest score, first on ties, null when nothing scored.
+def packed_best(scores: list[str]) -> str:
+    """Highest score with its label packed into the lowest digit; the first label wins ties.
 
-    Scores and their maximum become columns first; inside one nested expression they
-    would be computed once per comparison.
+    One flat expression: comparing scores label by label would compute each of them
+    again for every comparison.
     """
-    names = [f"_score{i}" for i in range(len(LABELS))]
-    best = " ".join(f"WHEN {n} = _top THEN '{l}'" for n, l in zip(names, LABELS))
-    return (
-        rows.withColumns({n: F.expr(e) for n, e in zip(names, scores)})
-        .withColumn("_top", F.greatest(*names))
-        .withColumn("pred", F.expr(f"CASE WHEN _top > 0 THEN CASE {best} END END"))
-    )
+    n = len(LABELS)
+    return "greatest(" + ", ".join(
+        f"({s}) * {n} + {n - 1 - i}" for i, s in enumerate(scores)) + ")"
+
+
+def label_code(best: str) -> str:
+    """Which label a packed score names; -1 when nothing scored."""
+    return f"int(if({best} < {len(LABELS)}, -1, {best} % {len(LABELS)}))"
+
+
+def label_of(code: Column) -> Column:
+    return F.get(F.array(*[F.lit(l) for l in reversed(LABELS)]), code)
+
+
+def with_best(rows: DataFrame, scores: list[str]) -> DataFrame:
+    """Add ``pred``: label of the highest score, null when nothing scored."""
+    return rows.withColumn("_best", F.expr(packed_best(scores))).withColumn(
+        "pred", label_of(F.expr(label_code("_best"))))
 
 
 def predict_one(items: DataFrame, rule: Rule, keep: list[str]) -> DataFrame:
@@ -133,34 +147,66 @@ def predict_one(items: DataFrame, rule: Rule, keep: list[str]) -> DataFrame:
 
 RULE_SCHEMA = pa.schema([
     ("cond_id", pa.int32()), ("dataset", pa.string()), ("length", pa.string()),
-    ("run_idx", pa.int32()), ("first_rank", pa.int32()), ("end_rank", pa.int32()),
-    ("accent_weight", pa.int64()),
+    ("first_rank", pa.list_(pa.int32())), ("accent_weight", pa.int64()), ("size", pa.int32()),
 ])
 
 
 def rule_table(spark: SparkSession, grid: Grid) -> DataFrame:
-    """One literal row per condition and run: the window of ranks, the weight of accents."""
+    """One literal row per condition: size of the window, its start in every run, accents."""
     at = {name: i + 1 for i, name in enumerate(CONDITION)}
     rows = []
     for row in grid.rows():
-        for run in range(grid.n_runs):
-            rule = rule_of(row[at["model"]], row[at["shot_type"]], row[at["context_level"]], run)
-            rows.append((row[0], row[at["dataset"]], row[at["length"]], run, rule.first_rank,
-                         rule.first_rank + rule.size, rule.accent_weight))
+        by_run = [
+            rule_of(row[at["model"]], row[at["shot_type"]], row[at["context_level"]], run)
+            for run in range(grid.n_runs)
+        ]
+        rows.append((row[0], row[at["dataset"]], row[at["length"]],
+                     [r.first_rank for r in by_run], by_run[0].accent_weight, by_run[0].size))
     return literal_table(spark, RULE_SCHEMA, rows)
 
 
-def predict_grid(items: DataFrame, grid: Grid) -> DataFrame:
-    """(cond_id, run_idx, dataset, item_id, gold, pred) for the whole grid in one scan.
+def _item_conditions(items: DataFrame, grid: Grid) -> DataFrame:
+    """One narrow row per item and condition, ready to be scored for any run.
 
-    The literal rule table is joined by broadcast after the texts are gone, so the
-    grid multiplies narrow rows only.
+    The literal rule table is joined by broadcast after the texts are gone.
     """
-    keep = ["dataset", "item_id", "gold"]
     rules = rule_table(items.sparkSession, grid)
-    rows = weighted(evidence(items, keep)).join(rules, ["dataset", "length"])
-    scores = [
-        f"sums[{i}][end_rank] - sums[{i}][first_rank] + accents[{i}] * accent_weight"
-        for i in range(len(LABELS))
+    rows = weighted(evidence(items, ["dataset", "item_id", "gold"]))
+    return rows.join(rules, ["dataset", "length"])
+
+
+def _run_scores(first_rank: str) -> list[str]:
+    return [
+        f"sums[{at} + {first_rank} + size] - sums[{at} + {first_rank}]"
+        f" + accents[{i}] * accent_weight"
+        for i in range(len(LABELS)) for at in (i * SUMS_PER_LABEL,)
     ]
-    return with_best(rows, scores).select("cond_id", "run_idx", *keep, "pred")
+
+
+def predict_grid(items: DataFrame, grid: Grid) -> DataFrame:
+    """(cond_id, run_idx, dataset, item_id, gold, pred): one row per item, condition and run."""
+    rows = _item_conditions(items, grid)
+    one_run = rows.select(
+        "cond_id", "dataset", "item_id", "gold", "sums", "accents", "accent_weight", "size",
+        F.posexplode("first_rank").alias("run_idx", "first"),
+    )
+    return with_best(one_run, _run_scores("first")).select(
+        "cond_id", "run_idx", "dataset", "item_id", "gold", "pred")
+
+
+def predict_patterns(items: DataFrame, grid: Grid) -> DataFrame:
+    """(cond_id, gold, ratings, n): how often each pattern of answers over the runs occurs.
+
+    The same as counting the patterns of ``predict_grid``, but all runs of an item are
+    scored in its row, so the only shuffle is that of the pattern counts.
+    """
+    best = packed_best(_run_scores("first"))
+    codes = f"transform(transform(first_rank, first -> {best}), best -> {label_code('best')})"
+    counted = _item_conditions(items, grid).select(
+        "cond_id", "gold", F.expr(codes).alias("_codes")
+    ).groupBy("cond_id", "gold", "_codes").agg(F.count("*").alias("n"))
+    ratings = F.transform(
+        "_codes",
+        lambda code, run: F.struct(run.alias("run_idx"), known(label_of(code)).alias("pred")),
+    )
+    return counted.select("cond_id", "gold", ratings.alias("ratings"), "n")

@@ -86,10 +86,17 @@ test_split.__test__ = False  # not a pytest case
 
 
 def uniform_sample(items: DataFrame, size: int | None, seed: int = DEFAULT_SEED) -> DataFrame:
-    """Exactly ``size`` items of every dataset, or all of them where there are fewer."""
+    """Exactly ``size`` items of every dataset, or all of them where there are fewer.
+
+    A small sample is drawn on the keys, so that texts are neither sorted nor moved.
+    """
     if size is None:
         return items
-    return first_by_hash(items, ["dataset"], size, seed).drop("draw_rank")
+    if size > int(items.sparkSession.conf.get(GROUP_LIMIT_CONF, "1000")):
+        return first_by_hash(items, ["dataset"], size, seed)
+    keys = first_by_hash(items.select("dataset", "item_id"), ["dataset"], size, seed)
+    drawn = materialize(keys.drop("draw_rank"), "sample")
+    return items.join(drawn, ["dataset", "item_id"], "left_semi")
 
 
 def round_robin_examples(pool: DataFrame, n: int) -> DataFrame:

@@ -17,7 +17,8 @@ from kappaloom.operators.consistency import condition_summary, metrics_table
 from kappaloom.operators.extract import extract_labels
 from kappaloom.operators.joins import lookup_join
 from kappaloom.operators.prompts import (
-    build_prompts, example_blocks, prompt_templates, require_systems, systems_table, with_prompt,
+    build_prompts, example_blocks, prompt_templates, require_systems, systems_table,
+    trimmed, with_prompt,
 )
 from kappaloom.operators.reports import REPORTS, Layout
 from kappaloom.operators.resume import remaining_items
@@ -33,7 +34,11 @@ MAX_LABELS = 10_000
 
 @dataclass(frozen=True)
 class Experiment:
-    """Settings of one experiment."""
+    """Settings of one experiment.
+
+    ``steps`` cuts the work into that many portions of items. Each portion is saved
+    before the next one starts, so an interruption loses at most one of them.
+    """
 
     grid: Grid
     systems: dict[str, tuple[str, str, str]]
@@ -46,6 +51,7 @@ class Experiment:
     skip_existing: bool = True
     retry_failed: bool = True
     concurrency: int | None = None
+    steps: int = 1
     layout: Layout = field(default_factory=Layout)
 
     def __post_init__(self):
@@ -87,32 +93,49 @@ def run_experiment(items: DataFrame, setup: Experiment, out: str) -> DataFrame:
     )
     store = f"{out}/predictions"
     saved = saved_predictions(spark, store) if setup.skip_existing else None
-    if saved is None:
-        prompts = build_prompts(test, templates)
-    else:
-        todo = remaining_items(
-            expand(test.select("dataset", "item_id"), conditions.select("dataset", "run_id")),
-            saved, keep_failed=not setup.retry_failed,
-        )
+    todo = None
+    if saved is not None:
+        wanted = expand(test.select("dataset", "item_id"), conditions.select("dataset", "run_id"))
+        rest = remaining_items(wanted, saved, keep_failed=not setup.retry_failed)
         # Written once: the store grows below, these keys must not change with it.
-        todo = materialize(todo.select("dataset", "item_id", "run_id"), "todo")
-        prompts = with_prompt(
-            lookup_join(test.join(todo, ["dataset", "item_id"]), templates, ["dataset", "run_id"])
+        todo = materialize(rest.select("dataset", "item_id", "run_id"), "todo")
+    books = codebooks(vocabulary)
+    for step in range(setup.steps):
+        prompts = prompts_of(portion(test, step, setup.steps), templates, todo)
+        keys = [*CONDITION, "run_idx", "run_id", "item_id", "gold"]
+        # Written before any shuffle, so that a lost executor costs its own tasks only.
+        answers = materialize(
+            annotate(prompts, setup.backends, keys, setup.concurrency), "answers")
+        append_predictions(
+            extract_labels(answers, books), store,
+            replace=step == 0 and not setup.skip_existing,
         )
-    keys = [*CONDITION, "run_idx", "run_id", "item_id", "gold"]
-    answers = annotate(prompts, setup.backends, keys, setup.concurrency)
-    labelled = extract_labels(answers, codebooks(vocabulary))
-    append_predictions(labelled, store, replace=not setup.skip_existing)
     return score(test.select("dataset", "item_id", "gold"), setup, out)
 
 
+def portion(items: DataFrame, step: int, steps: int) -> DataFrame:
+    """One of ``steps`` portions of equal size, by item; together they are all items."""
+    if steps == 1:
+        return items
+    return items.where(F.pmod(F.xxhash64("dataset", "item_id"), F.lit(steps)) == step)
+
+
+def prompts_of(items: DataFrame, templates: DataFrame, todo: DataFrame | None) -> DataFrame:
+    """Prompts of all conditions, or of the runs ``todo`` names per item."""
+    if todo is None:
+        return build_prompts(items, templates)
+    open_runs = trimmed(items).join(todo, ["dataset", "item_id"])
+    return with_prompt(lookup_join(open_runs, templates, ["dataset", "run_id"]))
+
+
 def usable_answers(saved: DataFrame) -> DataFrame:
     """One answer per run and item: a failed one only where no later attempt succeeded.
 
     Partitioned by item, which the pattern count that follows can use as it is.
     """
+    columns = [*CONDITION, "run_idx", "item_id", "pred", "error"]
     return (
-        saved.repartition("dataset", "item_id")
+        saved.select(*columns).repartition("dataset", "item_id")
         .groupBy("dataset", "item_id", *[c for c in CONDITION if c != "dataset"], "run_idx")
         .agg(F.min_by("pred", F.col("error").isNotNull()).alias("pred"))
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import lru_cache
 
 from kappaloom.operators.annotate import TransientError
 from kappaloom.operators.prompts import ITEM_OPEN
@@ -21,9 +22,15 @@ class LexiconPredictor:
     def __init__(self, rule: Rule, answer: str = " {label}.\n"):
         self.rule = rule
         self.answer = answer
+        # The prompts of one item follow each other, so the last text often comes again.
+        self.label_of = lru_cache(maxsize=8)(self.label)
 
     def predict(self, prompt: str, run_idx: int) -> str | None:
-        text = item_text(prompt).lower()
+        label = self.label_of(item_text(prompt))
+        return self.answer.format(label=label) if label else None
+
+    def label(self, text: str) -> str | None:
+        text = text.lower()
         counts = Counter(re.findall("[a-z]+", text))
         letters = Counter(text)
         scores = {
@@ -32,7 +39,7 @@ class LexiconPredictor:
             for label in LABELS
         }
         best = min(LABELS, key=lambda label: (-scores[label], label))
-        return self.answer.format(label=best) if scores[best] else None
+        return best if scores[best] else None
 
     def predict_batch(self, prompts: list[str], run_idxs: list[int]) -> list[str | None]:
         return [self.predict(p, r) for p, r in zip(prompts, run_idxs)]

@@ -444,14 +444,19 @@ def q_rater_agreement(spark, sf):
         scoring.rater_agreement(raters, "first", "second", ["dataset"]), ["accuracy", "kappa"])
 
 
-def full_patterns(spark, sf, g: Grid) -> DataFrame:
+def stored_patterns(spark, sf, g: Grid) -> DataFrame:
+    """Patterns as they come from a table with one row per item and run."""
     preds = rules.predict_grid(documents(spark, sf), g)
     return materialize(consistency.rating_patterns(preds, ["cond_id"]), "patterns")
 
 
+def full_patterns(spark, sf, g: Grid) -> DataFrame:
+    return materialize(rules.predict_patterns(documents(spark, sf), g), "patterns")
+
+
 def q_run_metrics(spark, sf):
     g = runs_grid()
-    per_run = consistency.run_metrics(full_patterns(spark, sf, g), ["cond_id"])
+    per_run = consistency.run_metrics(stored_patterns(spark, sf, g), ["cond_id"])
     return rounded6(with_exp_id(per_run, g), scoring.METRICS).withColumn(
         "run_idx", F.col("run_idx").cast("long"))
 
@@ -469,7 +474,7 @@ def q_run_consistency(spark, sf):
 
 def q_label_codes(spark, sf):
     g = runs_grid()
-    codes = consistency.label_codes(full_patterns(spark, sf, g), ["cond_id"])
+    codes = consistency.label_codes(stored_patterns(spark, sf, g), ["cond_id"])
     return with_exp_id(codes, g).withColumn("code", F.col("code").cast("long"))
 
 

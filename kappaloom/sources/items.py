@@ -14,17 +14,18 @@ from kappaloom.session import spread
 def read_items_csv(
     spark: SparkSession, path: str, dataset: str, *, text_col: str = TEXT_COLUMN,
     label_col: str = LABEL_COLUMN, encoding: str = "UTF-8",
-    na_tokens: Iterable[str] = NA_TOKENS,
+    na_tokens: Iterable[str] = NA_TOKENS, multi_line: bool = True,
 ) -> DataFrame:
     """(dataset, item_id, text, gold) from CSV with a header; a missing path is an error.
 
-    Cells may hold quotes (doubled) and line breaks. A byte order mark is skipped.
+    Cells may hold quotes (doubled) and line breaks. A byte order mark is skipped. Large
+    files whose cells hold no line breaks are split among tasks with ``multi_line=False``.
     ``item_id`` follows file order; it holds as long as the files and their splitting do,
     so write the items as a table before keeping results by it.
     """
     raw = (
         spark.read.option("header", True).option("quote", '"').option("escape", '"')
-        .option("multiLine", True).option("encoding", encoding)
+        .option("multiLine", multi_line).option("encoding", encoding)
         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )

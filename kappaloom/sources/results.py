@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kappaloom.functions.ids import CONDITION, experiment_id, parse_experiment_ids
+from kappaloom.operators.joins import lookup_join
+from kappaloom.session import materialize
 
 PREDICTION_SCHEMA = (
     "dataset string, model string, shot_type string, length string, context_level string, "
@@ -55,25 +57,26 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PREDICTION_SCHEMA).parquet(path)
 
 
-def saved_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """The prediction table, empty where nothing was saved yet."""
+def saved_predictions(spark: SparkSession, path: str) -> DataFrame | None:
+    """The prediction table, or None where nothing was saved yet."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
         return read_predictions(spark, path)
-    return spark.createDataFrame([], PREDICTION_SCHEMA)
+    return None
 
 
 def run_records(preds: DataFrame, record_items: int = RECORD_ITEMS) -> DataFrame:
     """Interchange form: parallel arrays per run, in item order.
 
     A run of at most ``record_items`` items is one record. A longer one becomes several
-    parts of about that size, because one record is built inside one task.
+    parts of about that size, because one record is built inside one task. The prediction
+    table is the form for large results; this one is for exchange.
     """
-    sizes = preds.groupBy("run_id").agg(F.count("*").alias("_n"))
+    sizes = materialize(preds.groupBy("run_id").agg(F.count("*").alias("_n")), "run_sizes")
     parts = F.ceil(F.col("_n") / F.lit(record_items))
     cell = F.struct("item_id", "gold", "raw", "pred")
     return (
-        preds.join(sizes, "run_id")
+        lookup_join(preds.select("run_id", "item_id", "gold", "raw", "pred"), sizes, ["run_id"])
         .withColumn("part", F.pmod(F.xxhash64("item_id"), parts).cast("int"))
         .groupBy("run_id", "part")
         .agg(F.array_sort(F.collect_list(cell)).alias("c"))

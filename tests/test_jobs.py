@@ -45,7 +45,7 @@ def test_interrupted_experiment_ends_like_an_uninterrupted_one(spark, sf_dir, tm
     assert 0 < failed < saved.count() == 2 * 30 * 4 * 2
     assert rows(first) != rows(whole)
 
-    again = run_experiment(items, setup(good), broken)
+    again = run_experiment(items, setup(good, steps=3), broken)
     assert rows(again) == rows(whole)
     saved = results.read_predictions(spark, f"{broken}/predictions")
     assert saved.count() == 480 + failed  # only the failed requests were repeated
