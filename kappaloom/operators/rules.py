@@ -55,26 +55,46 @@ def rule_of(model: str, shot_type: str, context_level: str, run_idx: int = 0) ->
     return Rule(first, size, ACCENT_WEIGHT[context_level])
 
 
-def evidence(items: DataFrame, keep: list[str]) -> DataFrame:
+WORDS = sorted({w for ws in LEXICON.values() for w in ws})
+
+
+def one_of(words: list[str]) -> str:
+    """Regex for a list of words, grouped by first letter so that most places fail at once."""
+    ends: dict[str, list[str]] = {}
+    for word in words:
+        ends.setdefault(word[0], []).append(word[1:])
+    return "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in ends.items())
+
+
+def evidence(items: DataFrame, keep: list[str], accents: bool = True) -> DataFrame:
     """``keep`` columns plus ``hits[label][rank]`` and ``accents[label]``.
 
-    Lexicon words are found as whole runs of a-z letters by one regex over the text.
+    Lexicon words are found as whole runs of a-z letters by one regex over the text. The
+    hits are sorted together with one copy of every word; the places of the copies then
+    give all counts without another pass per word.
     """
-    words = sorted({w for ws in LEXICON.values() for w in ws})
-    found = f"regexp_extract_all(lower(text), '(?<![a-z])(?:{'|'.join(words)})(?![a-z])', 0)"
-    accents = ", ".join(
-        f"bigint(regexp_count(lower(text), '[{ACCENTS[l]}]'))" if ACCENTS[l] else "bigint(0)"
-        for l in LABELS
+    found = f"regexp_extract_all(lower(text), '(?<![a-z])(?:{one_of(WORDS)})(?![a-z])', 0)"
+    copies = "array(" + ", ".join(f"'{w}'" for w in WORDS) + ")"
+    slots = ", ".join(
+        "array(" + ", ".join(str(WORDS.index(w)) for w in LEXICON[l]) + ")" for l in LABELS
     )
-    counts = ", ".join(f"bigint(size(filter(_hits, h -> h = '{w}')))" for w in words)
-    hits = ", ".join(
-        "array(" + ", ".join(f"_counts[{words.index(w)}]" for w in LEXICON[l]) + ")"
+    letters = ", ".join(
+        f"bigint(regexp_count(lower(text), '[{ACCENTS[l]}]'))"
+        if accents and ACCENTS[l] else "bigint(0)"
         for l in LABELS
     )
     return (
-        items.select(*keep, F.expr(found).alias("_hits"), F.expr(f"array({accents})").alias("accents"))
-        .withColumn("_counts", F.expr(f"array({counts})"))
-        .select(*keep, F.expr(f"array({hits})").alias("hits"), "accents")
+        items.select(
+            *keep, F.expr(f"sort_array(concat({found}, {copies}))").alias("_found"),
+            F.expr(f"array({letters})").alias("accents"),
+        )
+        # Lambdas keep the generated code small enough for the JVM to compile it.
+        .withColumn("_places", F.expr(
+            f"concat(transform({copies}, w -> array_position(_found, w)), "
+            "array(bigint(size(_found) + 1)))"))
+        .select(*keep, F.expr(
+            f"transform(array({slots}), ids -> "
+            "transform(ids, i -> _places[i + 1] - _places[i] - 1))").alias("hits"), "accents")
     )
 
 
@@ -142,7 +162,8 @@ def predict_one(items: DataFrame, rule: Rule, keep: list[str]) -> DataFrame:
         + f" + accents[{i}] * {rule.accent_weight}"
         for i in range(len(LABELS))
     ]
-    return with_best(evidence(items, keep), scores).select(*keep, "pred")
+    rows = evidence(items, keep, accents=rule.accent_weight > 0)
+    return with_best(rows, scores).select(*keep, "pred")
 
 
 RULE_SCHEMA = pa.schema([
