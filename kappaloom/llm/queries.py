@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kappaloom.llm.simhash import simhash_groups
 from kappaloom.llm.token_counts import token_counts
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -24,6 +25,11 @@ def op9_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts(table(spark, sf, "documents"), vocabulary(PIECE_MODEL))
 
 
+def op10_simhash_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash_groups(table(spark, sf, "documents"), width=4, radius=4)
+
+
 QUERIES = {
     "op9_token_counts": op9_token_counts,
+    "op10_simhash_dedup": op10_simhash_dedup,
 }
