@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kappaloom.llm import language_id
 from kappaloom.llm.simhash import simhash_groups
 from kappaloom.llm.token_counts import token_counts
 
@@ -21,6 +22,13 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op6_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    model = language_id.train(docs.where(language_id.fold() != 0))
+    found = language_id.identify(docs, model)
+    return found.select("doc_id", (language_id.fold() == 0).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op9_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts(table(spark, sf, "documents"), vocabulary(PIECE_MODEL))
 
@@ -30,6 +38,7 @@ def op10_simhash_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "op6_language_id": op6_language_id,
     "op9_token_counts": op9_token_counts,
     "op10_simhash_dedup": op10_simhash_dedup,
 }
