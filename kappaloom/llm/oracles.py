@@ -2,4 +2,30 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+OP2 = r"""
+WITH doc AS (
+  SELECT doc_id, [w FOR w IN string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') IF w <> ''] AS ws
+  FROM documents
+), win AS (
+  SELECT doc_id, p, list_slice(ws, p, p + 19) AS content
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS p FROM doc WHERE len(ws) >= 20)
+), firsts AS (
+  SELECT content, min({'d': doc_id, 'p': p}) AS f FROM win GROUP BY content
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS p
+  FROM win JOIN firsts USING (content) WHERE f < {'d': doc_id, 'p': p}
+), removed AS (
+  SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id
+), kept AS (
+  SELECT doc_id, len(ws) AS n_words, coalesce(len(ps), 0) AS n_removed,
+    [w FOR w, i IN ws IF ps IS NULL OR NOT list_contains(ps, i)] AS k
+  FROM doc LEFT JOIN removed USING (doc_id)
+)
+SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed,
+  sha256(coalesce(array_to_string(k, ' '), '')) AS kept_sha256
+FROM kept
+"""
+
+ORACLES: dict[str, str] = {
+    "op2_substring_dedup": OP2,
+}

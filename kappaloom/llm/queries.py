@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kappaloom.llm import language_id
 from kappaloom.llm.simhash import simhash_groups
+from kappaloom.llm.substring_dedup import substring_digest
 from kappaloom.llm.token_counts import token_counts
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -22,6 +23,10 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op2_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return substring_digest(table(spark, sf, "documents"), span=20, gram=5)
+
+
 def op6_language_id(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     model = language_id.train(docs.where(language_id.fold() != 0))
@@ -38,6 +43,7 @@ def op10_simhash_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_substring_dedup": op2_substring_dedup,
     "op6_language_id": op6_language_id,
     "op9_token_counts": op9_token_counts,
     "op10_simhash_dedup": op10_simhash_dedup,
