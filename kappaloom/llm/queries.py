@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from kappaloom.llm import language_id
+from kappaloom.llm.lm_score import lm_scores
 from kappaloom.llm.simhash import simhash_groups
 from kappaloom.llm.substring_dedup import substring_digest
 from kappaloom.llm.token_counts import token_counts
@@ -34,6 +35,11 @@ def op6_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", (language_id.fold() == 0).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op8_lm_score(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return lm_scores(docs, language_id.fold() == 1, vocabulary(PIECE_MODEL))
+
+
 def op9_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts(table(spark, sf, "documents"), vocabulary(PIECE_MODEL))
 
@@ -45,6 +51,7 @@ def op10_simhash_dedup(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op6_language_id": op6_language_id,
+    "op8_lm_score": op8_lm_score,
     "op9_token_counts": op9_token_counts,
     "op10_simhash_dedup": op10_simhash_dedup,
 }

@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from kappaloom.llm.arrow_text import offsets_of, portions, row_sums
+from kappaloom.llm.lookup import LongTable
 
 SPACE_MARK = "▁"
 NONE = np.iinfo(np.int32).max
@@ -53,7 +54,10 @@ class RankMerger:
                 left, right = number.get(p[:cut]), number.get(p[cut:])
                 if left is not None and right is not None:
                     pairs[left << 32 | right] = (rank[number[p]], number[p])
-        self._build(pairs)
+        keys = np.array(sorted(pairs), np.int64)
+        self.table = LongTable(keys)
+        self.ranks = np.array([pairs[k][0] for k in keys.tolist()] + [NONE], np.int32)
+        self.merged = np.array([pairs[k][1] for k in keys.tolist()] + [-1], np.int32)
         #: symbol of each code point; characters outside the model have none
         self.of_char = np.full(0x110000, -1, np.int32)
         for c in chars:
@@ -67,41 +71,12 @@ class RankMerger:
                 self.alone[ord(c)] = 1
         self.alone[0x20] = self.alone[ord(SPACE_MARK)]
 
-    def _build(self, pairs: dict[int, tuple[int, int]]) -> None:
-        """Lay the pairs out in a hash table whose collisions go to the next free slots."""
-        self.bits = max(4, (8 * len(pairs)).bit_length())
-        size = 1 << self.bits
-        self.keys = np.full(size, -1, np.int64)
-        self.ranks, self.merged = np.full(size, NONE, np.int32), np.full(size, -1, np.int32)
-        keys = np.array(list(pairs), np.int64)
-        self.probes = 0
-        for key, at in zip(keys.tolist(), self._slot(keys).tolist()):
-            step = 1
-            while self.keys[at] >= 0:
-                at, step = (at + 1) & (size - 1), step + 1
-            self.keys[at] = key
-            self.ranks[at], self.merged[at] = pairs[key]
-            self.probes = max(self.probes, step)
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        mixed = keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        return (mixed >> np.uint64(64 - self.bits)).astype(np.int64)
-
     def pair(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rank, merged symbol) of neighbouring symbols; rank NONE where they don't merge."""
         key = left.astype(np.int64) << 32 | right
-        key[(left < 0) | (right < 0)] = -1  # an empty slot's key: no rank
-        at = self._slot(key)
-        found = self.keys[at]
-        lost = np.flatnonzero((found != key) & (found >= 0))
-        for _ in range(self.probes):
-            if not len(lost):
-                break
-            at[lost] = (at[lost] + 1) & ((1 << self.bits) - 1)
-            found = self.keys[at[lost]]
-            lost = lost[(found != key[lost]) & (found >= 0)]
-        hit = self.keys[at] == key
-        return np.where(hit, self.ranks[at], NONE), np.where(hit, self.merged[at], -1)
+        key[(left < 0) | (right < 0)] = -1
+        at = self.table.find(key)  # -1 reads the last entry: no rank
+        return self.ranks[at], self.merged[at]
 
     def counts(self, tokens: pa.Array) -> np.ndarray:
         """Surviving symbols of each pre-token."""
