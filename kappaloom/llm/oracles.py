@@ -26,6 +26,66 @@ SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed,
 FROM kept
 """
 
+# Rows of ``docs`` (doc_id, source, size) mixed; the order within a source is one window here.
+MIX = r"""
+sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+    sum(floor(size * 1000 / (size + 200))::BIGINT * size)::BIGINT AS merits
+  FROM docs GROUP BY source
+), weighted AS (
+  SELECT *, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight FROM sources
+), ordered AS (
+  SELECT *, sum(source_size) OVER () AS total,
+    coalesce(sum(3 * source_size) OVER (ORDER BY source_size::DOUBLE / weight, source NULLS LAST
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped_before,
+    sum(weight) OVER (ORDER BY source_size::DOUBLE / weight, source NULLS LAST
+      ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weight_from
+  FROM weighted
+), level AS (
+  SELECT total - capped_before AS words, weight_from AS weights, source_size * 3 * weight_from < weight * (total - capped_before) AS above,
+    source_size::DOUBLE / weight AS ratio, source
+  FROM ordered
+), solved AS (
+  SELECT words, weights FROM level WHERE NOT above ORDER BY ratio, source NULLS LAST LIMIT 1
+), targets AS (
+  SELECT source, source_size, merits,
+    CASE WHEN source_size * 3 * weights < weight * words THEN (source_size * 3)::DOUBLE
+      ELSE words::DOUBLE * weight / weights::DOUBLE END AS target
+  FROM weighted CROSS JOIN solved
+), shares AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM targets
+), wants AS (
+  SELECT *, target - whole * source_size AS wanted,
+    CASE WHEN source_size > 0 THEN (target - whole * source_size) / source_size ELSE 0 END AS share,
+    CASE WHEN source_size > 0 THEN merits::DOUBLE / source_size ELSE 0 END AS mean_merit
+  FROM shares
+), chances AS (
+  SELECT d.doc_id, d.size, w.*,
+    (('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u,
+    share + 0.5::DOUBLE * least(share, 1 - share) * ((floor(size * 1000 / (size + 200)) - mean_merit) / 1000) AS chance
+  FROM docs d JOIN wants w ON d.source IS NOT DISTINCT FROM w.source
+), ranks AS (
+  SELECT *, CASE WHEN share > 0 THEN (u / (1 - u)) / (chance / (1 - chance)) END AS rank FROM chances
+), places AS (
+  SELECT *, rank / (1 + rank) AS place FROM ranks
+), sums AS (
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY place, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM places
+), mixed AS (
+  SELECT doc_id, size, source_size, target, whole + CASE WHEN place IS NULL THEN 0 WHEN upto <= wanted THEN 1
+      WHEN upto - size < wanted AND upto - wanted <= wanted - (upto - size) THEN 1 ELSE 0 END AS copies
+  FROM sums
+)
+"""
+
+OP7 = r"""
+WITH docs AS (
+  SELECT doc_id, source, len([w FOR w IN string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') IF w <> ''])::BIGINT AS size
+  FROM documents
+), """ + MIX + """
+SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken, copies::BIGINT AS copies FROM mixed
+"""
+
 ORACLES: dict[str, str] = {
     "op2_substring_dedup": OP2,
+    "op7_mix_sources": OP7,
 }

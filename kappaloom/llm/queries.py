@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kappaloom.llm import language_id
 from kappaloom.llm.lm_score import lm_scores
+from kappaloom.llm.mixing import mix_sources
 from kappaloom.llm.simhash import simhash_groups
 from kappaloom.llm.substring_dedup import substring_digest
 from kappaloom.llm.token_counts import token_counts
@@ -35,6 +36,10 @@ def op6_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", (language_id.fold() == 0).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op7_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
+    return mix_sources(table(spark, sf, "documents"), weights=(5, 2, 1), cap=3)
+
+
 def op8_lm_score(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     return lm_scores(docs, language_id.fold() == 1, vocabulary(PIECE_MODEL))
@@ -51,6 +56,7 @@ def op10_simhash_dedup(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op6_language_id": op6_language_id,
+    "op7_mix_sources": op7_mix_sources,
     "op8_lm_score": op8_lm_score,
     "op9_token_counts": op9_token_counts,
     "op10_simhash_dedup": op10_simhash_dedup,
