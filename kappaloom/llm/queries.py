@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from kappaloom.llm import language_id
 from kappaloom.llm.lm_score import lm_scores
 from kappaloom.llm.mixing import mix_sources
+from kappaloom.llm.secret_scan import secret_report
 from kappaloom.llm.simhash import simhash_groups
 from kappaloom.llm.substring_dedup import substring_digest
 from kappaloom.llm.token_counts import token_counts
@@ -29,6 +30,10 @@ def op2_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return substring_digest(table(spark, sf, "documents"), span=20, gram=5)
 
 
+def op3_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return secret_report(table(spark, sf, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     model = language_id.train(docs.where(language_id.fold() != 0))
@@ -55,6 +60,7 @@ def op10_simhash_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_secret_scan": op3_secret_scan,
     "op6_language_id": op6_language_id,
     "op7_mix_sources": op7_mix_sources,
     "op8_lm_score": op8_lm_score,
