@@ -26,6 +26,44 @@ SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed,
 FROM kept
 """
 
+# Every window that shares a shingle with an item, by its exact similarity; items have 5 words
+# and more, a text can be shorter than an item.
+LEAKS = r"""
+doc AS (
+  SELECT doc_id, [w FOR w IN string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF w <> ''] AS ws FROM docs
+), item AS (
+  SELECT item_id, [w FOR w IN string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF w <> ''] AS ws FROM benchmark
+), item_shingle AS (
+  SELECT item_id, s, count(*) AS n FROM (
+    SELECT item_id, unnest([list_slice(ws, p, p + 4) FOR p IN range(1, len(ws) - 3)]) AS s FROM item)
+  GROUP BY item_id, s
+), doc_shingle AS (
+  SELECT doc_id, len(ws) AS n_doc, p, list_slice(ws, p, p + 4) AS s
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS p FROM doc)
+), hit AS (
+  SELECT doc_id, item_id, p, s, n, n_doc, least(len(ws), n_doc) AS len, len(ws) - 4 AS n_item
+  FROM doc_shingle JOIN item_shingle USING (s) JOIN item USING (item_id)
+), win AS (
+  SELECT DISTINCT doc_id, item_id, len, n_item,
+    unnest(range(greatest(1, p - len + 5), least(p, n_doc - len + 1) + 1)) AS w FROM hit
+), common AS (
+  SELECT doc_id, item_id, w, len, any_value(n_item) AS n_item, sum(least(seen, n)) AS m FROM (
+    SELECT win.doc_id, win.item_id, w, win.len, win.n_item, s, count(*) AS seen, any_value(n) AS n
+    FROM win JOIN hit ON hit.doc_id = win.doc_id AND hit.item_id = win.item_id AND p BETWEEN w AND w + win.len - 5
+    GROUP BY win.doc_id, win.item_id, w, win.len, win.n_item, s)
+  GROUP BY doc_id, item_id, w, len
+), scored AS (
+  SELECT *, m::DOUBLE / (n_item + len - 4 - m)::DOUBLE AS similarity FROM common
+), leaks AS (
+  SELECT doc_id, item_id, similarity, (w - 1)::BIGINT AS start, len::BIGINT AS n_words FROM scored WHERE similarity >= 0.8
+  QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, w) = 1
+)
+"""
+
+OP5 = "WITH docs AS (SELECT doc_id, text FROM documents), " + LEAKS + "SELECT * FROM leaks"
+
 # Rows of ``docs`` (doc_id, source, size) mixed; the order within a source is one window here.
 MIX = r"""
 sources AS (
@@ -87,5 +125,6 @@ SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken, copi
 
 ORACLES: dict[str, str] = {
     "op2_substring_dedup": OP2,
+    "op5_decontaminate": OP5,
     "op7_mix_sources": OP7,
 }

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from kappaloom.llm import language_id
+from kappaloom.llm.decontaminate import benchmark_blocks, benchmark_leaks
 from kappaloom.llm.lm_score import lm_scores
 from kappaloom.llm.mixing import mix_sources
 from kappaloom.llm.secret_scan import secret_report
 from kappaloom.llm.simhash import simhash_groups
-from kappaloom.llm.substring_dedup import substring_digest
+from kappaloom.llm.substring_dedup import deduplicate_substrings
 from kappaloom.llm.token_counts import token_counts
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -27,13 +28,19 @@ def vocabulary(name: str) -> str:
 
 
 def op2_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    return substring_digest(table(spark, sf, "documents"), span=20, gram=5)
+    found = deduplicate_substrings(table(spark, sf, "documents"), span=20, gram=5, digest=True)
+    return found.select("doc_id", "n_words", "n_removed", found["kept"].alias("kept_sha256"))
 
 
 def op3_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     return secret_report(table(spark, sf, "documents"))
 
 
+def op5_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    blocks = benchmark_blocks(table(spark, sf, "benchmark"), width=5, radius=24, threshold=0.8)
+    return benchmark_leaks(table(spark, sf, "documents"), blocks)
+
+
 def op6_language_id(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     model = language_id.train(docs.where(language_id.fold() != 0))
@@ -61,6 +68,7 @@ def op10_simhash_dedup(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_secret_scan": op3_secret_scan,
+    "op5_decontaminate": op5_decontaminate,
     "op6_language_id": op6_language_id,
     "op7_mix_sources": op7_mix_sources,
     "op8_lm_score": op8_lm_score,
