@@ -2,6 +2,18 @@
 
 from __future__ import annotations
 
+OP1 = """
+WITH vec AS (
+  SELECT vec_id, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+  FROM vec q JOIN vec c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+FROM scored QUALIFY rank <= 5
+"""
+
 OP2 = r"""
 WITH doc AS (
   SELECT doc_id, [w FOR w IN string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') IF w <> ''] AS ws
@@ -124,6 +136,7 @@ SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken, copi
 """
 
 ORACLES: dict[str, str] = {
+    "op1_topk_search": OP1,
     "op2_substring_dedup": OP2,
     "op5_decontaminate": OP5,
     "op7_mix_sources": OP7,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kappaloom.llm import language_id
 from kappaloom.llm.decontaminate import benchmark_blocks, benchmark_leaks
@@ -11,6 +11,7 @@ from kappaloom.llm.mixing import mix_sources
 from kappaloom.llm.secret_scan import secret_report
 from kappaloom.llm.simhash import simhash_groups
 from kappaloom.llm.substring_dedup import deduplicate_substrings
+from kappaloom.llm.topk_search import top_k
 from kappaloom.llm.token_counts import token_counts
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -27,6 +28,10 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_topk_search(spark: SparkSession, sf: str) -> DataFrame:
+    return top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op2_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     found = deduplicate_substrings(table(spark, sf, "documents"), span=20, gram=5, digest=True)
     return found.select("doc_id", "n_words", "n_removed", found["kept"].alias("kept_sha256"))
@@ -66,6 +71,7 @@ def op10_simhash_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_topk_search": op1_topk_search,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_secret_scan": op3_secret_scan,
     "op5_decontaminate": op5_decontaminate,
