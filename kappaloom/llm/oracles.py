@@ -38,6 +38,22 @@ SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed,
 FROM kept
 """
 
+OP4 = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length('### :' || chr(10) || '</turn>' || chr(10))
+    + length(regexp_replace(role, '([\\#<:\n])', '\\\1', 'g'))
+    + length(regexp_replace(text, '([\\#<])', '\\\1', 'g')))::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
+
 # Every window that shares a shingle with an item, by its exact similarity; items have 5 words
 # and more, a text can be shorter than an item.
 LEAKS = r"""
@@ -138,6 +154,7 @@ SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken, copi
 ORACLES: dict[str, str] = {
     "op1_topk_search": OP1,
     "op2_substring_dedup": OP2,
+    "op4_chat_format": OP4,
     "op5_decontaminate": OP5,
     "op7_mix_sources": OP7,
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kappaloom.llm import language_id
+from kappaloom.llm.chat_format import chat_digests, format_chats
 from kappaloom.llm.decontaminate import benchmark_blocks, benchmark_leaks
 from kappaloom.llm.lm_score import lm_scores
 from kappaloom.llm.mixing import mix_sources
@@ -41,6 +42,16 @@ def op3_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     return secret_report(table(spark, sf, "documents"))
 
 
+def op4_chat_format(spark: SparkSession, sf: str) -> DataFrame:
+    columns = ["conv_id", "turn", "role", "text"]
+    tricky = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame(
+        [(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)],
+        "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf, "conversations").select(*columns).unionByName(more)
+    return chat_digests(format_chats(turns))
+
+
 def op5_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     blocks = benchmark_blocks(table(spark, sf, "benchmark"), width=5, radius=24, threshold=0.8)
     return benchmark_leaks(table(spark, sf, "documents"), blocks)
@@ -74,6 +85,7 @@ QUERIES = {
     "op1_topk_search": op1_topk_search,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_secret_scan": op3_secret_scan,
+    "op4_chat_format": op4_chat_format,
     "op5_decontaminate": op5_decontaminate,
     "op6_language_id": op6_language_id,
     "op7_mix_sources": op7_mix_sources,
