@@ -224,9 +224,10 @@ def near_links(prints: DataFrame, radius: int) -> DataFrame:
 
 
 def simhash_groups(
-    docs: DataFrame, width: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, width: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text",
+    signed: bool = False,
 ) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every whole text.
+    """(doc_id, fingerprint, component_id) of every whole text; ``sign``, its hash, if ``signed``.
 
     Fingerprints take word shingles of ``width`` (see ``shingle_hashes``) and link within
     ``radius`` bits; ``component_id`` is the smallest id reachable over links, itself included.
@@ -240,10 +241,12 @@ def simhash_groups(
         for part in portions(batches):
             fp = fingerprints(part.column("text"), width)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+                [part.column("doc_id"), pa.array(fp.view(np.int64)), part.column("sign")],
+                ["doc_id", "fp", "sign"])
 
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = materialize(picked.mapInArrow(prints_of, "doc_id long, fp long"), "fingerprints")
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
+                         F.xxhash64(text_col).alias("sign"))
+    rows = materialize(picked.mapInArrow(prints_of, "doc_id long, fp long, sign long"), "fingerprints")
     prints = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct_fingerprints")
     roots = star_roots(near_links(prints.select("fp"), radius))
     member = prints.join(roots.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left").select(
@@ -251,4 +254,19 @@ def simhash_groups(
     least = member.groupBy("root").agg(F.min("least").alias("component_id"))
     named = member.select("fp", "root").join(least, "root").select("fp", "component_id")
     return rows.join(named, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id",
+        *["sign"] * signed)
+
+
+def one_of_each_group(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, ...) that stand for their group: its smallest id.
+
+    Of rows with that id and one text one stays; a group without ids keeps one row for each of
+    its texts. Texts move once, by id and hash, so that no group is a large partition.
+    """
+    groups = simhash_groups(docs, width, radius, signed=True)
+    heads = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
+        F.col("doc_id").alias("_id"), F.col("sign").alias("_sign")).distinct()
+    kept = docs.withColumn("_own", F.xxhash64("text")).join(
+        heads, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sign")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_own"]).drop("_own")
