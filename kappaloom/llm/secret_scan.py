@@ -35,7 +35,7 @@ TEXT_PAIR, TEXT_TRIPLE = 0.0667, 0.0054
 #: A run whose randomness is rejected at this level is no secret.
 RANDOM_LEVEL = 0.001
 #: Share of ordinary text that may be among the runs added.
-FALSE_DISCOVERIES = 0.01
+FALSE_DISCOVERIES = 0.001
 #: P values are counted in bins of sixteenths of a power of two.
 BINS, PER_POWER = 4096, 16
 
@@ -128,23 +128,24 @@ def _alone(spans: DataFrame) -> DataFrame:
 def _discovered(runs: DataFrame) -> DataFrame:
     """The runs of which ordinary text makes up at most ``FALSE_DISCOVERIES``.
 
-    Benjamini and Hochberg's step-up rule over all runs of all documents, with weights in
-    proportion to length: a long run needs less. P values are binned upwards, so the rule reads
-    a table of at most ``BINS`` rows, whatever the number of runs.
+    Benjamini and Hochberg's step-up rule over the distinct runs of all documents, with weights
+    in proportion to length: a long run needs less. P values are binned upwards, so the rule
+    reads a table of at most ``BINS`` rows, whatever the number of runs.
     """
-    m, length = runs.agg(F.count("*"), F.sum("n")).first()
+    distinct = runs.select("token", "n", "p_text").distinct()
+    m, length = distinct.agg(F.count("*"), F.sum("n")).first()
     if not m:
         return runs
     weighted = F.col("p_text") * F.lit(float(length)) / (F.col("n") * F.lit(float(m)))
     place = F.when(weighted > 0, F.floor(-F.log2(weighted) * PER_POWER)).otherwise(F.lit(BINS - 1))
-    binned = runs.withColumn("bin", F.least(F.greatest(place, F.lit(0)), F.lit(BINS - 1)).cast("int"))
-    sizes = {r["bin"]: r["count"] for r in binned.groupBy("bin").count().collect()}
+    bin_of = F.least(F.greatest(place, F.lit(0)), F.lit(BINS - 1)).cast("int")
+    sizes = {r["bin"]: r["count"] for r in distinct.groupBy(bin_of.alias("bin")).count().collect()}
     found, limit = 0, BINS
     for b in range(BINS - 1, -1, -1):
         found += sizes.get(b, 0)
         if m * 2.0 ** (-b / PER_POWER) <= FALSE_DISCOVERIES * found:
             limit = b
-    return binned.where(F.col("bin") >= limit).drop("bin")
+    return runs.where(bin_of >= limit)
 
 
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:

@@ -321,7 +321,7 @@ def _repeats(rows: pa.Table, carried: int, span: int) -> tuple[pa.RecordBatch, n
     return spans, np.flatnonzero(keeps)
 
 
-def repeated_spans(supers: DataFrame, span: int) -> DataFrame:
+def repeated_spans(supers: DataFrame, span: int, buffer: int = BUFFER_BYTES) -> DataFrame:
     """(doc, sign, start, n): n consecutive windows from ``start`` on that occur earlier.
 
     A bucket comes in the order of its documents, so whole buckets are judged in portions; of a
@@ -332,8 +332,8 @@ def repeated_spans(supers: DataFrame, span: int) -> DataFrame:
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size = carried = 0
-        limit = BUFFER_BYTES
-        for part in portions(batches, "packed", BUFFER_BYTES):
+        limit = buffer
+        for part in portions(batches, "packed", buffer):
             held.append(part)
             size += part.nbytes
             if size < limit:
@@ -344,12 +344,12 @@ def repeated_spans(supers: DataFrame, span: int) -> DataFrame:
             if tail:
                 yield _repeats(rows.slice(0, tail), min(carried, tail), span)[0]
                 rows, carried = rows.slice(tail), max(carried - tail, 0)
-                limit = BUFFER_BYTES
+                limit = buffer
             else:
                 spans, keep = _repeats(rows, carried, span)
                 yield spans
                 rows, carried = rows.take(pa.array(keep)), len(keep)
-                limit = max(BUFFER_BYTES, 2 * rows.nbytes)
+                limit = max(buffer, 2 * rows.nbytes)
             rows = rows.combine_chunks()
             held, size = rows.to_batches(), rows.nbytes
         if held:

@@ -39,7 +39,7 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     size = column.value_lengths().to_numpy()
     flat = column.flatten().to_numpy().astype(np.float64)
     if (size == width).all():
-        return flat.reshape(-1, width)
+        return flat.reshape(len(size), width)
     out = np.zeros((len(size), width))
     row = np.repeat(np.arange(len(size)), size)
     out[row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)] = flat
