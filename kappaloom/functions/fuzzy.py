@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -40,28 +40,31 @@ def length_window(labels: Sequence[str], threshold: float) -> tuple[int, int]:
     return max(low, 0), high
 
 
-def fuzzy_label(candidate: Column, labels: Sequence[str], threshold: float) -> Column:
-    """Arrow-batched lookup; null candidates cost nothing.
+def fuzzy_label(
+    book: Column, candidate: Column, books: Mapping[str, Sequence[str]], threshold: float
+) -> Column:
+    """Arrow-batched lookup in the labels of each row's book; null candidates cost nothing.
 
-    Hot answers repeat, so each Python worker remembers a bounded number of them.
-    That keeps the stage free of any shuffle, whatever the skew of the answers.
+    Hot answers repeat: a batch compares its distinct answers, and each Python worker remembers
+    a bounded number of them. That keeps the stage free of any shuffle, whatever the skew.
     """
-    labels = list(labels)
-    low, high = length_window(labels, threshold)
-    memory: dict[str, str | None] = {}
+    books = {name: list(labels) for name, labels in books.items()}
+    memory: dict[tuple[str, str], str | None] = {}
 
     @F.pandas_udf("string")
-    def match(candidates: pd.Series) -> pd.Series:
-        def one(c):
-            if c is None:
-                return None
-            if c not in memory:
-                if len(memory) >= CACHE_LIMIT:
-                    memory.clear()
-                memory[c] = best_label(c, labels, threshold)
-            return memory[c]
-
-        return pd.Series([one(c) for c in candidates], dtype=object)
+    def match(names: pd.Series, candidates: pd.Series) -> pd.Series:
+        asked = pd.DataFrame({"book": names, "candidate": candidates})
+        known = asked.dropna().drop_duplicates()
+        if len(memory) + len(known) > CACHE_LIMIT:
+            memory.clear()
+        for key in known.itertuples(index=False, name=None):
+            if key not in memory:
+                memory[key] = best_label(key[1], books[key[0]], threshold)
+        return pd.Series([memory.get(key) for key in zip(names, candidates)], dtype=object)
 
     size = F.length(candidate)
-    return match(F.when((size >= low) & (size <= high), candidate))
+    fits = F.lit(False)
+    for name, labels in books.items():
+        low, high = length_window(labels, threshold)
+        fits = F.when(book == name, (size >= low) & (size <= high)).otherwise(fits)
+    return match(book, F.when(fits, candidate))

@@ -50,13 +50,6 @@ def is_word_char(ch: str) -> bool:
     return ch == "_" or ch.isalnum()
 
 
-def whole_word_pattern(label: str) -> str:
-    """Case-insensitive whole-word search for ``label``, with Python's idea of a word."""
-    before = rf"(?<!{WORD})" if is_word_char(label[0]) else rf"(?<={WORD})"
-    after = rf"(?!{WORD})" if is_word_char(label[-1]) else rf"(?={WORD})"
-    return f"(?iu){before}{quoted(label)}{after}"
-
-
 def model_answer(raw: Column, echo_end: str | None = None) -> Column:
     """Trimmed model response, null when empty.
 

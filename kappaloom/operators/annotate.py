@@ -89,67 +89,56 @@ def answer_batch(predictor, backend: Backend, prompts: list[str], runs: list[int
     return answers
 
 
-def annotate_with(prompts: DataFrame, backend: Backend, keys: list[str]) -> DataFrame:
-    """``keys`` plus ``raw``, ``attempts`` and ``error`` for the prompts of one model.
+def annotate(prompts: DataFrame, backends: dict[str, Backend], keys: list[str]) -> DataFrame:
+    """``keys`` plus ``raw``, ``attempts`` and ``error``, each prompt by the backend of its model.
 
-    ``prompts`` needs ``prompt`` and ``run_idx``. Prompts travel to Python, not back.
+    ``prompts`` needs ``model``, ``prompt`` and ``run_idx``. One pass over the prompts serves
+    all models: a task builds a predictor when its model first comes up. Prompts travel to
+    Python, not back. The number of tasks bounds the calls that run at a time; repartition the
+    items, before the grid repeats them, to choose it.
     """
-    key_fields = [prompts.schema[k] for k in keys]
+    if not backends:
+        raise ValueError("no backend given")
     schema = StructType([
-        *key_fields,
+        *[prompts.schema[k] for k in keys],
+        StructField("_model", StringType()),
         StructField("raw", StringType()),
         StructField("attempts", IntegerType()),
         StructField("error", StringType()),
     ])
-    extra = [] if "run_idx" in keys else ["run_idx"]
-    source = prompts.select(
-        *keys, *extra, instruction(F.col("prompt"), backend.wrapper).alias("prompt")
-    )
+    model = F.col("model")
+    wrapped = F.col("prompt")
+    for name, backend in backends.items():
+        wrapped = F.when(model == name, instruction(F.col("prompt"), backend.wrapper)).otherwise(wrapped)
+    source = prompts.where(model.isin(*backends)).select(
+        *keys, model.alias("_model"), F.col("run_idx").alias("_run"), wrapped.alias("_prompt"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        predictor = None
+        predictors = {}
         try:
             for batch in batches:
-                if predictor is None:
-                    predictor = backend.factory()
-                answers = answer_batch(
-                    predictor, backend, batch["prompt"].tolist(),
-                    [int(r) for r in batch["run_idx"]],
-                )
-                out = batch[keys].copy()
-                out["raw"] = pd.Series([a[0] for a in answers], index=out.index, dtype=object)
-                out["attempts"] = pd.Series(
-                    [a[1] for a in answers], index=out.index, dtype="int32")
-                out["error"] = pd.Series([a[2] for a in answers], index=out.index, dtype=object)
+                out = batch[[*keys, "_model"]].copy()
+                out["raw"] = pd.Series(None, index=out.index, dtype=object)
+                out["attempts"] = pd.Series(0, index=out.index, dtype="int32")
+                out["error"] = pd.Series(None, index=out.index, dtype=object)
+                for name, rows in batch.groupby("_model", sort=False):
+                    if name not in predictors:
+                        predictors[name] = backends[name].factory()
+                    answers = answer_batch(
+                        predictors[name], backends[name], rows["_prompt"].tolist(),
+                        [int(r) for r in rows["_run"]])
+                    raw, attempts, error = zip(*answers)
+                    out.loc[rows.index, "raw"] = pd.Series(raw, index=rows.index, dtype=object)
+                    out.loc[rows.index, "attempts"] = pd.Series(attempts, index=rows.index, dtype="int32")
+                    out.loc[rows.index, "error"] = pd.Series(error, index=rows.index, dtype=object)
                 yield out
         finally:
-            close = getattr(predictor, "close", None)
-            if close:
-                close()
-
-    answered = source.mapInPandas(run, schema)
-    return answered.withColumn("raw", model_answer(F.col("raw"), backend.echo_end))
-
-
-def annotate(
-    prompts: DataFrame, backends: dict[str, Backend], keys: list[str],
-    concurrency: int | None = None,
-) -> DataFrame:
-    """Route each prompt to the backend of its model.
-
-    ``concurrency`` bounds the number of simultaneous calls by the number of tasks.
-    The filters on ``model`` reach the condition grid, so no branch builds the
-    prompts of another model.
-    """
-    if not backends:
-        raise ValueError("no backend given")
-    if concurrency:
-        prompts = prompts.repartition(concurrency)
-    parts = [
-        annotate_with(prompts.where(F.col("model") == name), backend, keys)
-        for name, backend in backends.items()
-    ]
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+            for predictor in predictors.values():
+                close = getattr(predictor, "close", None)
+                if close:
+                    close()
+
+    answer = F.col("raw")
+    for name, backend in backends.items():
+        answer = F.when(F.col("_model") == name, model_answer(F.col("raw"), backend.echo_end)).otherwise(answer)
+    return source.mapInPandas(run, schema).withColumn("raw", answer).drop("_model")

@@ -104,11 +104,16 @@ def icc_two_way(patterns: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def kappa_consistency(per_run: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean kappa, sample SD (0 for a single run) and kappas in run order."""
+    """Mean kappa, sample SD (0 for a single run) and kappas in run order.
+
+    Where the kappa of any run is undefined, so are mean and SD.
+    """
     by_run = F.array_sort(F.collect_list(F.struct("run_idx", "kappa")))
+    whole = F.count("kappa") == F.count("*")
+    spread = F.when(F.count("*") == 1, F.lit(0.0)).otherwise(F.stddev_samp("kappa"))
     return per_run.groupBy(*keys).agg(
-        F.avg("kappa").alias("mean_kappa"),
-        F.coalesce(F.stddev_samp("kappa"), F.lit(0.0)).alias("std_kappa"),
+        F.when(whole, F.avg("kappa")).alias("mean_kappa"),
+        F.when(whole, spread).alias("std_kappa"),
         F.transform(by_run, lambda r: r.kappa).alias("kappas_per_run"),
     )
 

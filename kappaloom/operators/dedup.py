@@ -31,32 +31,58 @@ def _text_key():
 
 
 def annotate_distinct(
-    items: DataFrame, templates: DataFrame, ask: Callable[[DataFrame], DataFrame]
+    items: DataFrame, templates: DataFrame, ask: Callable[[DataFrame], DataFrame],
+    concurrency: int | None = None,
 ) -> DataFrame:
-    """(dataset, item_id, cond_id, run_idx, raw, attempts, error) for all items.
+    """(dataset, cond_id, item_id, run_idx, raw, attempts, error) for all items.
 
     ``templates`` carries ``template_id`` and ``run_idx``; ``ask`` maps prompts with
-    (text_key, template_id, run_idx, model, prompt) to answers with the same keys.
+    (text_key, template_id, run_idx, model, prompt) to answers with the same keys. Answers are
+    written as they come, before anything is shuffled: a lost executor asks its own task's
+    prompts again and no others. ``concurrency`` deals the distinct texts, not the prompts, to
+    that many tasks.
+
+    With a column ``open`` of run numbers in the items and ``run_no`` in the templates only
+    those requests are made and answered; a text is asked what any of its items needs.
     """
-    firsts = materialize(distinct_texts(items), "distinct_texts")
-    questions = templates.select(
-        "dataset", "model", "template_id", "run_idx", "prefix", "suffix"
-    ).dropDuplicates(["dataset", "model", "template_id", "run_idx"])
-    one_each = trimmed(items).join(firsts.drop("copies"), ["dataset", "item_id"])
-    prompts = lookup_join(one_each, materialize(questions, "questions"), ["dataset"]).select(
+    resumed = "open" in items.columns
+    keyed = materialize(trimmed(items).withColumn("text_key", _text_key()), "keyed_items")
+    firsts = keyed.groupBy("text_key").agg(
+        F.first("dataset").alias("dataset"), F.min("item_id").alias("item_id"),
+        F.count("*").alias("copies"))
+    firsts = materialize(firsts, "distinct_texts")
+    texts = keyed.select("dataset", "item_id", "text").join(
+        firsts.drop("copies"), ["dataset", "item_id"])
+    questions = templates.groupBy("dataset", "model", "template_id", "run_idx").agg(
+        F.first("prefix").alias("prefix"), F.first("suffix").alias("suffix"),
+        *[F.collect_set("run_no").alias("run_nos")] * resumed)
+    if resumed:
+        # Copies mostly need the same, so that there are few different lists for each text.
+        needs = keyed.groupBy("text_key", "open").agg(F.count("*").alias("n")).groupBy("text_key").agg(
+            F.array_distinct(F.flatten(F.collect_list("open"))).alias("needed"))
+        texts = texts.join(needs, "text_key")
+    if concurrency:
+        texts = texts.repartition(concurrency)
+    prompts = lookup_join(texts, materialize(questions, "questions"), ["dataset"])
+    if resumed:
+        prompts = prompts.where(F.arrays_overlap("needed", "run_nos"))
+    asked = materialize(ask(prompts.select(
         "text_key", "template_id", "run_idx", "model",
         F.concat("prefix", "text", "suffix").alias("prompt"),
-    )
+    )), "asked")
     answer = F.struct("template_id", "run_idx", "raw", "attempts", "error")
     answers = materialize(
-        ask(prompts).groupBy("text_key").agg(F.collect_list(answer).alias("answers"))
+        asked.groupBy("text_key").agg(F.collect_list(answer).alias("answers"))
         .join(firsts.select("text_key", "copies"), "text_key"),
         "answers",
     )
     total = firsts.agg(F.sum("copies")).first()[0] or 0
-    keys = items.select("dataset", "item_id", _text_key().alias("text_key"))
+    keys = keyed.select("dataset", "item_id", "text_key", *["open"] * resumed)
     per_item = skew_join(keys, answers, "text_key", "copies", total, "item_id").select(
-        "dataset", "item_id", F.inline("answers")
+        "dataset", "item_id", *["open"] * resumed, F.inline("answers")
     )
-    asked = templates.select("dataset", "cond_id", "template_id", "run_idx")
-    return lookup_join(per_item, materialize(asked, "asked"), ["dataset", "template_id", "run_idx"])
+    meant = templates.select("dataset", "cond_id", "template_id", "run_idx", *["run_no"] * resumed)
+    out = lookup_join(per_item, materialize(meant, "meant"), ["dataset", "template_id", "run_idx"])
+    if resumed:
+        out = out.where(F.array_contains("open", F.col("run_no"))).drop("open", "run_no")
+    return out

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, functions as F
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 MAX_HOT_KEYS = 1000
-SALTS = 64
 
 
 def table_bytes(table: DataFrame) -> int:
@@ -28,9 +27,10 @@ def lookup_join(
     """
     if table_bytes(table) <= limit:
         return facts.join(F.broadcast(table), on, how)
-    salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salts = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return (
-        facts.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int"))
+        facts.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int"))
         .join(salted, [*on, "_salt"], how)
         .drop("_salt")
     )

@@ -16,53 +16,36 @@ from kappaloom.operators.joins import lookup_join
 from kappaloom.operators.sampling import round_robin_examples
 from kappaloom.session import literal_table, materialize
 
-ITEM_OPEN = 'Text: "'
-SHORT_CUE = '"\n\nAnswer:'
-WORD_CUE = '"\n\nAnswer with the label alone, a single word:'
-SHORT_TASK = "Read the text and answer with one label and nothing else.\n\n"
-SHORT_TASK_EXAMPLES = (
-    "Read the text and answer with one label and nothing else. "
-    "These labelled texts show how.\n\nLabelled texts:\n"
-)
-MEDIUM_TASK = (
-    "You label texts from the {system} collection. Give the text the one label that "
-    "names its main subject.\n"
-)
-MEDIUM_HINT = "\nA label is a single noun naming a part of the collection.\n\n"
-MEDIUM_EXAMPLES = "\nLabelled texts (text → label):\n"
-LONG_OPENING = (
-    "You are an experienced analyst who codes texts by the rules of qualitative data "
-    "analysis.\n\nCollection: {system}\n\n"
-)
+ITEM_OPEN = "Passage: «"
+ITEM_CLOSE = "»\n\n"
+SHORT_CUE = ITEM_CLOSE + "Label:"
+WORD_CUE = ITEM_CLOSE + "Its label, nothing more:"
+SHORT_TASK = "Which label describes the passage?\n\n"
+SHORT_TASK_EXAMPLES = "Which label describes the last passage? Others have theirs already:\n"
+MEDIUM_TASK = "Passages from {system} go into folders, and a folder is named by its label.\n"
+MEDIUM_CONTEXT = "Background: "
+MEDIUM_HINT = "Name the folder in the collection's own vocabulary.\n\n"
+MEDIUM_EXAMPLES = "Filed so far, folder first:\n"
+LONG_OPENING = "# Filing passages from {system}\n\n"
+LONG_LABELS = "## Folders\n"
 LONG_GUIDELINES = (
-    "Coding rules:\n"
-    "  1. A text gets exactly one label, for what it is mainly about.\n"
-    "  2. Labels name the main parts of the collection.\n"
-    "  3. Prefer the narrow label over the broad one when both fit.\n"
-    "  4. Side remarks do not count, only the main subject does.\n"
-    "  5. Write the label as one word, exactly as listed.\n\n"
+    "## Before you file\n"
+    "- Read to the end; the last sentence counts as much as the first.\n"
+    "- Spelling, tone and length say nothing about the folder.\n"
+    "- If no folder fits well, the nearest one is still right; new folders are not opened.\n\n"
 )
-LONG_EXAMPLES = "These labelled texts show how the rules are applied.\n\n"
-LONG_TASK = "Task:\nDecide which listed label fits the text below best.\n\n"
+LONG_CONTEXT = "## Background\n"
+LONG_EXAMPLES = "## Filed so far\n"
+LONG_TASK = "## To be filed\n"
 LONG_STEPS_ZERO = (
-    '"\n\nWork in steps:\n'
-    "  1. What is the text mainly about?\n"
-    "  2. Which part of the collection does that belong to?\n"
-    "  3. Which listed label names that part?\n\n"
-    "Answer with the label alone, one word without explanation:"
+    ITEM_CLOSE + "Rule out, in your head, the folders it cannot belong to. "
+    "Then copy the name of the one that is left:"
 )
 LONG_STEPS_EXAMPLES = (
-    '"\n\nWork in steps:\n'
-    "  1. What is the text mainly about?\n"
-    "  2. Which part of the collection does that belong to?\n"
-    "  3. Is one of the labelled texts alike?\n"
-    "  4. Which listed label names that part?\n\n"
-    "Answer with the label alone, one word without explanation:"
+    ITEM_CLOSE + "Rule out, in your head, the folders it cannot belong to. Should several be left, "
+    "pick the one whose filed passages it would sit best with. Then copy its name:"
 )
 
-# Up to this many example ids are worth a scan filter; more are found by the join alone.
-SCAN_IDS = 1000
-
 SYSTEM_SCHEMA = pa.schema(
     [(n, pa.string()) for n in ("dataset", "system", "some_text", "full_text")]
 )
@@ -85,8 +68,9 @@ def example_blocks(
 ) -> DataFrame:
     """(dataset, shot_type, compact_block, numbered_block), one row per dataset and shot.
 
-    A block collects at most ``n`` texts. Their ids also go into the scan as a filter, so
-    that row groups and pages without any of them are skipped, texts included.
+    A block collects at most ``n`` texts. Their ids, at most n_one + n_few for each dataset,
+    also go into the scan as a filter, so that row groups and pages without any of them are
+    skipped, texts included.
     """
     picked = materialize(
         round_robin_examples(pool, n_one).withColumn("shot_type", F.lit("one_shot"))
@@ -96,9 +80,8 @@ def example_blocks(
         "examples",
     )
     texts = items.select("dataset", "item_id", strip_space(F.col("text")).alias("text"))
-    ids = [r["item_id"] for r in picked.select("item_id").limit(SCAN_IDS + 1).collect()]
-    if len(ids) <= SCAN_IDS:
-        texts = texts.where(F.col("item_id").isin(ids))
+    ids = [r["item_id"] for r in picked.select("item_id").distinct().collect()]
+    texts = texts.where(F.col("item_id").isin(ids))
     rows = lookup_join(texts, picked, ["dataset", "item_id"]).groupBy("dataset", "shot_type").agg(
         F.array_sort(F.collect_list(F.struct("pos", "text", "label"))).alias("ex")
     )
@@ -110,14 +93,11 @@ def example_blocks(
 
 
 def compact_example(e: Column) -> Column:
-    return F.concat(F.lit('  "'), e.text, F.lit('" → '), e.label)
+    return F.concat(F.lit("["), e.label, F.lit("] "), e.text)
 
 
 def numbered_example(e: Column) -> Column:
-    return F.concat(
-        F.lit("  Example "), e.pos.cast("string"),
-        F.lit(':\n    Text: "'), e.text, F.lit('"\n    Label: '), e.label,
-    )
+    return F.concat(e.pos.cast("string"), F.lit(") folder "), e.label, F.lit("\n"), e.text)
 
 
 def label_hint(vocabulary: DataFrame) -> DataFrame:
@@ -148,12 +128,12 @@ def prompt_templates(
     short = F.when(zero, text(SHORT_TASK)).otherwise(
         F.concat(text(SHORT_TASK_EXAMPLES), compact))
     medium = F.concat(
-        text(MEDIUM_TASK), section("\nAbout the collection: ", "\n"),
+        text(MEDIUM_TASK), section(MEDIUM_CONTEXT, "\n"),
         F.when(zero, text(MEDIUM_HINT)).otherwise(F.concat(text(MEDIUM_EXAMPLES), compact)),
     )
     long = F.concat(
-        text(LONG_OPENING), section("About the collection:\n", "\n"),
-        F.lit("\nLabels: "), F.col("label_list"), F.lit("\n\n"), text(LONG_GUIDELINES),
+        text(LONG_OPENING), F.lit(LONG_LABELS), F.col("label_list"), F.lit("\n\n"),
+        text(LONG_GUIDELINES), section(LONG_CONTEXT, "\n\n"),
         F.when(zero, F.lit("")).otherwise(F.concat(text(LONG_EXAMPLES), numbered)),
         text(LONG_TASK),
     )
@@ -188,12 +168,19 @@ def with_prompt(rows: DataFrame) -> DataFrame:
     return rows.withColumn("prompt", F.concat("prefix", "text", "suffix")).drop("prefix", "suffix")
 
 
-def prompts_by_condition(prompts: DataFrame) -> DataFrame:
-    """(dataset, item_id, prompts): all prompts of an item as a map keyed shot|length|context."""
-    entry = F.struct(prompt_key().alias("key"), F.col("prompt").alias("value"))
-    return prompts.groupBy("dataset", "item_id").agg(
-        F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("prompts")
-    )
+def prompts_by_condition(items: DataFrame, templates: DataFrame) -> DataFrame:
+    """(dataset, item_id, prompts): all prompts of an item as a map keyed shot|length|context.
+
+    A dataset's wording is one row of at most 27 (key, prefix, suffix), filled in beside the
+    text: prompts are never moved.
+    """
+    entry = F.struct(prompt_key().alias("key"), "prefix", "suffix")
+    wording = materialize(templates.groupBy("dataset").agg(
+        F.sort_array(F.collect_set(entry)).alias("wording")), "wording")
+    prompts = F.map_from_entries(F.transform("wording", lambda w: F.struct(
+        w["key"].alias("key"), F.concat(w["prefix"], F.col("text"), w["suffix"]).alias("value"))))
+    return lookup_join(trimmed(items), wording, ["dataset"]).select(
+        "dataset", "item_id", prompts.alias("prompts"))
 
 
 def distinct_templates(templates: DataFrame) -> DataFrame:

@@ -1,8 +1,12 @@
-"""Report tables over the metrics of all conditions: pivots on a dense, ordered index."""
+"""Report tables over the metrics of all conditions: pivots on a dense, ordered index.
+
+A layout orders and names axis values; it never leaves any out. Measured values it does not
+list follow those it lists, in alphabetical order.
+"""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -14,13 +18,14 @@ from kappaloom.session import literal_table
 
 @dataclass(frozen=True)
 class Layout:
-    """Order and display names of every report axis."""
+    """Order and display names of every report axis; by itself it lists no dataset or model."""
 
-    datasets: tuple[str, ...] = fixed.DATASET_ORDER
-    models: tuple[str, ...] = fixed.MODEL_ORDER
+    datasets: tuple[str, ...] = ()
+    models: tuple[str, ...] = ()
     shot_types: tuple[str, ...] = fixed.SHOT_TYPES
     lengths: tuple[str, ...] = fixed.LENGTHS
     context_levels: tuple[str, ...] = fixed.CONTEXT_LEVELS
+    covers_all: bool = False
     names: dict[str, str] = field(default_factory=lambda: {
         **fixed.DATASET_NAMES, **fixed.MODEL_NAMES, **fixed.SHOT_NAMES,
         **fixed.LENGTH_NAMES, **fixed.CONTEXT_NAMES,
@@ -37,6 +42,20 @@ class Layout:
     def name(self, value: str) -> str:
         return self.names.get(value, value)
 
+    def covering(self, metrics: DataFrame) -> "Layout":
+        """This layout with the values of ``metrics`` it does not list behind those it lists."""
+        if self.covers_all:
+            return self
+        found = metrics.agg(*[F.sort_array(F.collect_set(a)).alias(a) for a in self.AXES]).first()
+        return replace(self, covers_all=True, **{
+            attribute: (*self.values(a), *[v for v in found[a] if v not in self.values(a)])
+            for a, attribute in self.AXES.items()
+        })
+
+
+#: The order of the published tables.
+PUBLISHED = Layout(datasets=fixed.DATASET_ORDER, models=fixed.MODEL_ORDER)
+
 
 def rounded(c: Column | str) -> Column:
     """Three places, half to even; missing stays missing."""
@@ -57,7 +76,7 @@ def display(axis: str, layout: Layout) -> Column:
 
 
 def position(axis: str, layout: Layout) -> Column:
-    """Configured place of an axis value; values outside the layout have none."""
+    """Place of an axis value in the layout."""
     places = F.lit(None).cast("int")
     for i, value in enumerate(layout.values(axis)):
         places = F.when(F.col(axis) == value, i).otherwise(places)
@@ -65,7 +84,7 @@ def position(axis: str, layout: Layout) -> Column:
 
 
 def dense(table: DataFrame, axes: list[str], layout: Layout) -> DataFrame:
-    """One row per combination of the configured axis values, missing cells null."""
+    """One row per combination of the layout's axis values, missing cells null."""
     spark = table.sparkSession
     rows = [()]
     for axis in axes:
@@ -75,10 +94,8 @@ def dense(table: DataFrame, axes: list[str], layout: Layout) -> DataFrame:
 
 
 def ordered(table: DataFrame, axes: list[str], layout: Layout) -> DataFrame:
-    """Configured rows in configured order, axis values replaced by their display names."""
+    """Rows in the layout's order, axis values replaced by their display names."""
     rest = [c for c in table.columns if c not in axes]
-    for axis in axes:
-        table = table.where(position(axis, layout).isNotNull())
     return table.orderBy(*[position(a, layout) for a in axes]).select(
         *[display(a, layout) for a in axes], *rest
     )
@@ -95,6 +112,7 @@ def _pivot(metrics: DataFrame, axes: list[str], columns: str, layout: Layout) ->
 
 def kappa_by_shot(metrics: DataFrame, layout: Layout = Layout()) -> DataFrame:
     """Best kappa per dataset and shot type, one column per model."""
+    layout = layout.covering(metrics)
     axes = ["dataset", "shot_type"]
     return ordered(dense(_pivot(metrics, axes, "model", layout), axes, layout), axes, layout)
 
@@ -104,6 +122,7 @@ def kappa_by_length(metrics: DataFrame, layout: Layout = Layout()) -> DataFrame:
 
     Holds the dataset-model pairs that were measured, in alphabetical order.
     """
+    layout = layout.covering(metrics)
     axes = ["dataset", "model"]
     names = [layout.name(v) for v in layout.lengths]
     measured = _pivot(metrics, axes, "length", layout).where(
@@ -116,12 +135,14 @@ def kappa_by_length(metrics: DataFrame, layout: Layout = Layout()) -> DataFrame:
 
 def kappa_by_context(metrics: DataFrame, layout: Layout = Layout()) -> DataFrame:
     """Best kappa per dataset and context level, one column per model."""
+    layout = layout.covering(metrics)
     axes = ["dataset", "context_level"]
     return ordered(dense(_pivot(metrics, axes, "model", layout), axes, layout), axes, layout)
 
 
 def consistency_report(metrics: DataFrame, layout: Layout = Layout()) -> DataFrame:
     """SD and ICC per dataset and model under few-shot, long, full-context prompts."""
+    layout = layout.covering(metrics)
     axes = ["dataset", "model"]
     rows = metrics.where(
         (F.col("length") == "long") & (F.col("context_level") == "full_context")
@@ -140,6 +161,7 @@ def full_metrics(metrics: DataFrame, layout: Layout = Layout()) -> DataFrame:
 
     Each metric is maximised by itself, so one row may mix conditions.
     """
+    layout = layout.covering(metrics)
     axes = ["dataset", "shot_type", "model"]
     best = metrics.groupBy(*axes).agg(
         *[rounded(F.max(defined(m))).alias(name) for m, name in REPORTED.items()]
@@ -149,6 +171,7 @@ def full_metrics(metrics: DataFrame, layout: Layout = Layout()) -> DataFrame:
 
 def full_metrics_best_condition(metrics: DataFrame, layout: Layout = Layout()) -> DataFrame:
     """Like ``full_metrics``, with all values from the condition of highest kappa."""
+    layout = layout.covering(metrics)
     axes = ["dataset", "shot_type", "model"]
     best = _highest_kappa(metrics, axes).select(
         *axes, *[rounded(defined(m)).alias(name) for m, name in REPORTED.items()]
@@ -170,6 +193,7 @@ def _highest_kappa(metrics: DataFrame, axes: list[str]) -> DataFrame:
 
 def best_conditions(metrics: DataFrame, layout: Layout = Layout()) -> DataFrame:
     """The condition of highest kappa per dataset and model, for pairs that have one."""
+    layout = layout.covering(metrics)
     axes = ["dataset", "model"]
     best = _highest_kappa(metrics, axes).where(F.col("kappa").isNotNull()).select(
         *CONDITION, rounded("kappa").alias("kappa")
@@ -182,6 +206,7 @@ def shot_comparison(
     context_level: str = "full_context",
 ) -> DataFrame:
     """All five metrics by shot type at one prompt length and context level."""
+    layout = layout.covering(metrics)
     axes = ["dataset", "model", "shot_type"]
     rows = metrics.where(
         (F.col("length") == length) & (F.col("context_level") == context_level)
@@ -193,6 +218,7 @@ def shot_by_length(
     metrics: DataFrame, layout: Layout = Layout(), context_level: str = "full_context"
 ) -> DataFrame:
     """Kappa matrix shot type x prompt length at one context level."""
+    layout = layout.covering(metrics)
     axes = ["dataset", "model", "shot_type"]
     rows = metrics.where(F.col("context_level") == context_level)
     return ordered(_pivot(rows, axes, "length", layout), axes, layout)
@@ -204,4 +230,7 @@ REPORTS = {
     "consistency": consistency_report,
     "kappa_by_context": kappa_by_context,
     "full_metrics": full_metrics,
+    "best_conditions": best_conditions,
+    "shot_comparison": shot_comparison,
+    "shot_by_length": shot_by_length,
 }

@@ -9,10 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kappaloom.fixed_values import DEFAULT_POOL_PER_LABEL, DEFAULT_SEED
-from kappaloom.operators.joins import lookup_join
 from kappaloom.session import materialize
 
-GROUP_LIMIT_CONF = "spark.sql.optimizer.windowGroupLimitThreshold"
 BUCKET_HEX_DIGITS = 4  # 65,536 hash buckets per group
 
 
@@ -21,42 +19,27 @@ def draw_key(seed: int, item_col: str = "item_id") -> Column:
 
 
 def first_by_hash(df: DataFrame, groups: list[str], n: int, seed: int) -> DataFrame:
-    """The ``n`` rows of every group with the smallest draw key.
+    """The ``n`` rows of every group with the smallest draw key, and their ``draw_rank``.
 
-    Up to the planner's group-limit threshold each task keeps only its own ``n``
-    candidates per group before the shuffle, so a hot group costs no more than a
-    small one; these rows also carry ``draw_rank``. A larger ``n`` first counts rows per hash bucket: whole buckets below
-    the n-th row are taken as they are and only the one bucket around it is ranked.
+    Rows are counted per hash bucket, which combines inside each task. A running sum over a
+    group's buckets, not its rows, tells how many rows lie before each bucket; buckets that
+    begin beyond the n-th row are left out and the rows of the others are ranked bucket by
+    bucket. So no group is ever ranked in one task, whatever its size and ``n``.
     """
-    limit = int(df.sparkSession.conf.get(GROUP_LIMIT_CONF, "1000"))
-    keyed = df.withColumn("_key", draw_key(seed))
-    if n <= limit:
-        return _ranked(keyed, groups).where(F.col("draw_rank") <= n).drop("_key")
-
-    keyed = keyed.withColumn("_bucket", F.substring("_key", 1, BUCKET_HEX_DIGITS))
+    keyed = df.withColumn("_key", draw_key(seed)).withColumn(
+        "_bucket", F.substring("_key", 1, BUCKET_HEX_DIGITS))
     per_bucket = keyed.groupBy(*groups, "_bucket").agg(F.count("*").alias("_rows"))
     running = Window.partitionBy(*groups).orderBy("_bucket")
-    edges = materialize(
-        per_bucket.withColumn(
-            "_before", F.coalesce(F.sum("_rows").over(
-                running.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        )
-        .where((F.col("_before") < n) & (F.col("_before") + F.col("_rows") >= n))
-        .select(*groups, F.col("_bucket").alias("_edge"), (n - F.col("_before")).alias("_take")),
-        "draw_edges",
-    )
-    # Groups with fewer than n rows have no edge and are taken whole.
-    marked = lookup_join(keyed, edges, groups, "left")
-    below = marked.where(F.col("_edge").isNull() | (F.col("_bucket") < F.col("_edge")))
-    edge = _ranked(marked.where(F.col("_bucket") == F.col("_edge")), groups).where(
-        F.col("draw_rank") <= F.col("_take")
+    before = F.coalesce(F.sum("_rows").over(running.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    needed = materialize(
+        per_bucket.withColumn("_before", before).where(F.col("_before") < n).drop("_rows"), "draw_buckets")
+    inside = Window.partitionBy(*groups, "_bucket").orderBy("_key", "item_id")
+    return (
+        keyed.join(needed, [*groups, "_bucket"])
+        .withColumn("draw_rank", (F.col("_before") + F.row_number().over(inside)).cast("int"))
+        .where(F.col("draw_rank") <= n)
+        .select(*df.columns, "draw_rank")
     )
-    return below.select(*df.columns).union(edge.select(*df.columns))
-
-
-def _ranked(keyed: DataFrame, groups: list[str]) -> DataFrame:
-    order = Window.partitionBy(*groups).orderBy("_key", "item_id")
-    return keyed.withColumn("draw_rank", F.row_number().over(order))
 
 
 def stratified_pool(
@@ -68,8 +51,6 @@ def stratified_pool(
     """
     keys = items.select("dataset", "item_id", F.col("gold").alias("label"))
     drawn = first_by_hash(keys, ["dataset", "label"], n_per_label, seed)
-    if "draw_rank" not in drawn.columns:
-        drawn = _ranked(drawn.withColumn("_key", draw_key(seed)), ["dataset", "label"]).drop("_key")
     return drawn.withColumnRenamed("draw_rank", "rank_in_label")
 
 
@@ -88,12 +69,11 @@ test_split.__test__ = False  # not a pytest case
 def uniform_sample(items: DataFrame, size: int | None, seed: int = DEFAULT_SEED) -> DataFrame:
     """Exactly ``size`` items of every dataset, or all of them where there are fewer.
 
-    A small sample is drawn on the keys, so that texts are neither sorted nor moved.
+    The sample is drawn on the keys, so that texts are not sorted; while the sample is small
+    enough to be broadcast they are not moved either.
     """
     if size is None:
         return items
-    if size > int(items.sparkSession.conf.get(GROUP_LIMIT_CONF, "1000")):
-        return first_by_hash(items, ["dataset"], size, seed)
     keys = first_by_hash(items.select("dataset", "item_id"), ["dataset"], size, seed)
     drawn = materialize(keys.drop("draw_rank"), "sample")
     return items.join(drawn, ["dataset", "item_id"], "left_semi")
@@ -102,16 +82,23 @@ def uniform_sample(items: DataFrame, size: int | None, seed: int = DEFAULT_SEED)
 def round_robin_examples(pool: DataFrame, n: int) -> DataFrame:
     """(dataset, item_id, label, pos): ``n`` examples, one per label and round.
 
-    A pool of at most ``n`` items is used whole and in label order.
+    A pool of at most ``n`` items is used whole and in label order. Strict rounds take a
+    label's first n at most, and n + 1 rows tell whether a pool is larger than ``n``: the
+    planner's group limit leaves that many per task and dataset before the shuffle.
     """
     whole = Window.partitionBy("dataset")
     rounds = whole.orderBy("rank_in_label", "label")
     by_label = whole.orderBy("label", "rank_in_label")
+    first = (
+        pool.where(F.col("rank_in_label") <= n + 1)
+        .withColumn("round_pos", F.row_number().over(rounds))
+        .where(F.col("round_pos") <= n + 1)
+    )
     pos = F.when(
         F.count("*").over(whole) <= n, F.row_number().over(by_label)
-    ).otherwise(F.row_number().over(rounds))
+    ).otherwise(F.col("round_pos"))
     return (
-        pool.withColumn("pos", pos)
+        first.withColumn("pos", pos)
         .where(F.col("pos") <= n)
         .select("dataset", "item_id", "label", "pos")
     )

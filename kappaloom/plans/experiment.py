@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kappaloom.fixed_values import (
     DEFAULT_FEW_SHOT, DEFAULT_ONE_SHOT, DEFAULT_POOL_PER_LABEL, DEFAULT_SEED,
@@ -12,32 +12,34 @@ from kappaloom.fixed_values import (
 from kappaloom.functions.ids import CONDITION
 from kappaloom.operators.annotate import Backend, annotate
 from kappaloom.operators.cleaning import clean_items, label_vocabulary
-from kappaloom.operators.conditions import Grid, expand, with_runs
+from kappaloom.operators.conditions import Grid, with_runs
 from kappaloom.operators.consistency import condition_summary, metrics_table
+from kappaloom.operators.dedup import annotate_distinct
 from kappaloom.operators.extract import extract_labels
-from kappaloom.operators.joins import lookup_join
 from kappaloom.operators.prompts import (
-    build_prompts, example_blocks, prompt_templates, require_systems, systems_table,
-    trimmed, with_prompt,
+    distinct_templates, example_blocks, prompt_templates, require_systems, systems_table, text_id,
 )
 from kappaloom.operators.reports import REPORTS, Layout
-from kappaloom.operators.resume import remaining_items
-from kappaloom.operators.scoring import align
+from kappaloom.operators.resume import open_runs, run_number
+from kappaloom.operators.scoring import align, alignment_audit
 from kappaloom.operators.sampling import stratified_pool, test_split, uniform_sample
-from kappaloom.session import materialize
+from kappaloom.session import materialize, scratch_path
 from kappaloom.sources.results import (
-    append_predictions, read_predictions, saved_predictions, write_report_csv, write_summaries,
+    append_predictions, drop_predictions, read_predictions, saved_predictions, write_report_csv,
+    write_summaries,
 )
 
-MAX_LABELS = 10_000
+DEFAULT_STEPS = 20
 
 
 @dataclass(frozen=True)
 class Experiment:
     """Settings of one experiment.
 
-    ``steps`` cuts the work into that many portions of items. Each portion is saved
-    before the next one starts, so an interruption loses at most one of them.
+    ``steps`` cuts the work into that many portions of texts. Each portion is saved under the
+    output folder before the next one starts, so an interruption loses at most one of them.
+    ``max_portions`` ends the annotation after so many of them; another call goes on. The layout
+    of the reports is that of the grid unless another is given.
     """
 
     grid: Grid
@@ -51,8 +53,9 @@ class Experiment:
     skip_existing: bool = True
     retry_failed: bool = True
     concurrency: int | None = None
-    steps: int = 1
-    layout: Layout = field(default_factory=Layout)
+    steps: int = DEFAULT_STEPS
+    max_portions: int | None = None
+    layout: Layout | None = None
 
     def __post_init__(self):
         require_systems(self.grid.datasets, self.systems)
@@ -60,14 +63,14 @@ class Experiment:
         if missing:
             raise ValueError(f"no backend for models {missing}")
 
+    def report_layout(self) -> Layout:
+        return self.layout or Layout(datasets=self.grid.datasets, models=self.grid.models)
+
 
 def codebooks(vocabulary: DataFrame) -> dict[str, list[str]]:
-    """Labels per dataset for the extractor; a codebook of this many labels is a mistake."""
-    rows = vocabulary.orderBy("dataset", "label_ord").limit(MAX_LABELS + 1).collect()
-    if len(rows) > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} distinct gold labels: not a codebook")
+    """Labels per dataset for the extractor: the same lists that stand in every long prompt."""
     books: dict[str, list[str]] = {}
-    for row in rows:
+    for row in vocabulary.orderBy("dataset", "label_ord").collect():
         books.setdefault(row["dataset"], []).append(row["label"])
     return books
 
@@ -75,7 +78,8 @@ def codebooks(vocabulary: DataFrame) -> dict[str, list[str]]:
 def run_experiment(items: DataFrame, setup: Experiment, out: str) -> DataFrame:
     """Annotate what is missing under ``out``, then score everything wanted.
 
-    Returns the flat metrics table. Predictions, summaries and reports are under ``out``.
+    Returns the flat metrics table. Predictions, summaries, the alignment audit and all reports
+    are under ``out``.
     """
     spark = items.sparkSession
     grid = setup.grid
@@ -86,46 +90,57 @@ def run_experiment(items: DataFrame, setup: Experiment, out: str) -> DataFrame:
     blocks = materialize(
         example_blocks(cleaned, pool, setup.one_shot, setup.few_shot), "blocks"
     )
-    conditions = with_runs(grid.table(spark), grid.n_runs)
+    conditions = with_runs(grid.table(spark), grid.n_runs).withColumn("run_no", run_number(grid.n_runs))
     templates = materialize(
-        prompt_templates(conditions, systems_table(spark, setup.systems), vocabulary, blocks),
+        distinct_templates(prompt_templates(
+            conditions, systems_table(spark, setup.systems), vocabulary, blocks)),
         "templates",
     )
     store = f"{out}/predictions"
-    saved = saved_predictions(spark, store) if setup.skip_existing else None
-    todo = None
-    if saved is not None:
-        wanted = expand(test.select("dataset", "item_id"), conditions.select("dataset", "run_id"))
-        rest = remaining_items(wanted, saved, keep_failed=not setup.retry_failed)
-        # Written once: the store grows below, these keys must not change with it.
-        todo = materialize(rest.select("dataset", "item_id", "run_id"), "todo")
+    if not setup.skip_existing:
+        drop_predictions(spark, store, grid)
+    runs = conditions.select("run_no", "run_id", "run_idx", *CONDITION)
+    work = write_portions(
+        open_runs(test, runs, saved_runs(spark, store, runs), keep_failed=not setup.retry_failed),
+        setup.steps)
     books = codebooks(vocabulary)
+    named = materialize(conditions.select("cond_id", "run_idx", "run_id", *CONDITION), "runs")
+    done = 0
     for step in range(setup.steps):
-        prompts = prompts_of(portion(test, step, setup.steps), templates, todo)
-        keys = [*CONDITION, "run_idx", "run_id", "item_id", "gold"]
-        # Written before any shuffle, so that a lost executor costs its own tasks only.
-        answers = materialize(
-            annotate(prompts, setup.backends, keys, setup.concurrency), "answers")
-        append_predictions(
-            extract_labels(answers, books), store,
-            replace=step == 0 and not setup.skip_existing,
-        )
+        if done == setup.max_portions:
+            break
+        portion = work.where(F.col("portion") == step).drop("portion")
+        if portion.isEmpty():
+            continue
+        answers = annotate_distinct(
+            portion, templates,
+            lambda prompts: annotate(prompts, setup.backends, ["text_key", "template_id", "run_idx"]),
+            setup.concurrency)
+        rows = answers.join(F.broadcast(named), ["dataset", "cond_id", "run_idx"]).join(
+            portion.select("dataset", "item_id", "gold"), ["dataset", "item_id"])
+        append_predictions(extract_labels(rows, books), store)
+        done += 1
     return score(test.select("dataset", "item_id", "gold"), setup, out)
 
 
-def portion(items: DataFrame, step: int, steps: int) -> DataFrame:
-    """One of ``steps`` portions of equal size, by item; together they are all items."""
-    if steps == 1:
-        return items
-    return items.where(F.pmod(F.xxhash64("dataset", "item_id"), F.lit(steps)) == step)
+def saved_runs(spark: SparkSession, store: str, runs: DataFrame) -> DataFrame:
+    """(dataset, item_id, run_no, error) of the stored answers to the wanted runs."""
+    saved = saved_predictions(spark, store)
+    if saved is None:
+        return spark.createDataFrame([], "dataset string, item_id long, run_no int, error string")
+    numbers = F.broadcast(runs.select("run_no", "run_idx", *CONDITION))
+    # Written once: the store grows while the portions are worked on.
+    return materialize(saved.join(numbers, [*CONDITION, "run_idx"]).select(
+        "dataset", "item_id", "run_no", "error"), "saved_runs")
 
 
-def prompts_of(items: DataFrame, templates: DataFrame, todo: DataFrame | None) -> DataFrame:
-    """Prompts of all conditions, or of the runs ``todo`` names per item."""
-    if todo is None:
-        return build_prompts(items, templates)
-    open_runs = trimmed(items).join(todo, ["dataset", "item_id"])
-    return with_prompt(lookup_join(open_runs, templates, ["dataset", "run_id"]))
+def write_portions(items: DataFrame, steps: int) -> DataFrame:
+    """The items written once, a folder for each portion; copies of a text share a portion."""
+    path = scratch_path(items.sparkSession, "portions")
+    dealt = items.withColumn("portion", F.pmod(
+        F.xxhash64("dataset", text_id(F.col("text"))), F.lit(steps)).cast("int"))
+    dealt.write.partitionBy("portion").parquet(path)
+    return items.sparkSession.read.schema(dealt.schema).parquet(path)
 
 
 def usable_answers(saved: DataFrame) -> DataFrame:
@@ -152,10 +167,13 @@ def score(gold: DataFrame, setup: Experiment, out: str) -> DataFrame:
     ):
         saved = saved.where(F.col(axis).isin(*values))
     saved = saved.where(F.col("run_idx") < setup.grid.n_runs)
-    preds = align(gold, usable_answers(saved.drop("gold")))
-    summary = materialize(condition_summary(preds, CONDITION), "summary")
+    answers = materialize(usable_answers(saved.drop("gold")), "usable_answers")
+    alignment_audit(gold, answers.select("dataset", "item_id")).coalesce(1).write.mode(
+        "overwrite").json(f"{out}/alignment")
+    summary = materialize(condition_summary(align(gold, answers), CONDITION), "summary")
     write_summaries(summary, f"{out}/metrics")
     metrics = metrics_table(summary)
+    layout = setup.report_layout().covering(metrics)
     for name, report in REPORTS.items():
-        write_report_csv(report(metrics, setup.layout), f"{out}/tables/{name}")
+        write_report_csv(report(metrics, layout), f"{out}/tables/{name}")
     return metrics

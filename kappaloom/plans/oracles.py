@@ -58,7 +58,7 @@ def untidy(source: str) -> str:
     return f"""untidy AS (
   SELECT dataset, item_id,
          CASE item_id % 11 WHEN 0 THEN '' WHEN 1 THEN 'NA' WHEN 2 THEN '  '
-              ELSE '  ' || text || chr(9) || '  ' END AS text,
+              ELSE ' ' || chr(160) || text || chr(9) || chr(8195) || ' ' END AS text,
          CASE item_id % 7 WHEN 0 THEN 'null' WHEN 1 THEN '  '
               ELSE ' ' || gold || chr(10) END AS gold
   FROM {source}),
@@ -227,7 +227,8 @@ BEST = """best AS (
                              ORDER BY round(kappa, 9) DESC NULLS LAST, run_idx) = 1)"""
 SUMMARY = f"""{PER_RUN}, {ICC}, {BEST},
 spread AS (
-  SELECT exp_id, avg(kappa) AS mean_kappa, coalesce(stddev_samp(kappa), 0) AS std_kappa
+  SELECT exp_id, CASE WHEN count(kappa) = count(*) THEN avg(kappa) END AS mean_kappa,
+         CASE WHEN count(kappa) < count(*) THEN NULL WHEN count(*) = 1 THEN 0 ELSE stddev_samp(kappa) END AS std_kappa
   FROM scored GROUP BY ALL),
 summary AS (
   SELECT exp_id, accuracy, precision, recall, f1, kappa, mean_kappa, std_kappa, icc
@@ -288,9 +289,8 @@ BLOCKS = f"""picked AS (
   UNION ALL SELECT 'few_shot', * FROM ({examples(3)})),
 blocks AS (
   SELECT dataset, shot_type,
-    string_agg('  "' || {strip('text')} || '" → ' || label, chr(10) ORDER BY pos) AS compact,
-    string_agg('  Example ' || CAST(pos AS VARCHAR) || ':' || chr(10) || '    Text: "' ||
-               {strip('text')} || '"' || chr(10) || '    Label: ' || label,
+    string_agg('[' || label || '] ' || {strip('text')}, chr(10) ORDER BY pos) AS compact,
+    string_agg(CAST(pos AS VARCHAR) || ') folder ' || label || chr(10) || {strip('text')},
                chr(10) || chr(10) ORDER BY pos) AS numbered
   FROM picked JOIN corpus USING (dataset, item_id) GROUP BY ALL)"""
 
@@ -316,12 +316,11 @@ templates AS (
     WHEN 'short' THEN CASE WHEN zero THEN {lit(p.SHORT_TASK)}
                            ELSE {lit(p.SHORT_TASK_EXAMPLES)} || compact END
     WHEN 'medium' THEN {named(p.MEDIUM_TASK)}
-      || coalesce({lit(chr(10) + 'About the collection: ')} || about || chr(10), '')
+      || coalesce({lit(p.MEDIUM_CONTEXT)} || about || chr(10), '')
       || CASE WHEN zero THEN {lit(p.MEDIUM_HINT)} ELSE {lit(p.MEDIUM_EXAMPLES)} || compact END
-    ELSE {named(p.LONG_OPENING)}
-      || coalesce({lit('About the collection:' + chr(10))} || about || chr(10), '')
-      || {lit(chr(10) + 'Labels: ')} || label_list || chr(10) || chr(10)
+    ELSE {named(p.LONG_OPENING)} || {lit(p.LONG_LABELS)} || label_list || chr(10) || chr(10)
       || {lit(p.LONG_GUIDELINES)}
+      || coalesce({lit(p.LONG_CONTEXT)} || about || chr(10) || chr(10), '')
       || CASE WHEN zero THEN '' ELSE {lit(p.LONG_EXAMPLES)} || numbered END
       || {lit(p.LONG_TASK)} END || {lit(p.ITEM_OPEN)} AS prefix,
     CASE length WHEN 'short' THEN {lit(p.SHORT_CUE)} WHEN 'medium' THEN {lit(p.WORD_CUE)}
@@ -333,12 +332,6 @@ prompts AS (
   FROM corpus JOIN templates t USING (dataset))""",
 )
 PROMPTS = (*ITEMS, POOL, BLOCKS, *AXES, *TEMPLATES)
-# One prompt per document and model: few-shot, medium, with the short context.
-ONE_PROMPT = """one_prompt AS (
-  SELECT model, item_id, length(prompt) AS size FROM prompts
-  WHERE dataset <> 'chat' AND shot_type = 'few_shot' AND length = 'medium'
-    AND context_level = 'some_context')"""
-
 # ---------------------------------------------------------------- extraction
 
 RAW = """raws AS (
@@ -425,16 +418,10 @@ def extract_query(*stages: str) -> str:
 ALL_STAGES = ("exact", "scan", "token", "fuzzy")
 LLAMA_HEAD, LLAMA_TAIL = INSTRUCTION_FORMATS["llama2"]
 STORED = """stored AS (
-  SELECT run_id, length, item_id, gold, 'Label: ' || pred AS raw, pred,
+  SELECT run_id, shot_type, item_id, gold, 'Label: ' || pred AS raw, pred,
          CASE WHEN pred IS NULL THEN 'empty' ELSE 'scan' END AS stage FROM preds)"""
-STORED_RUNS = (
-    *predictions(2, "model = 'common' AND shot_type = 'one_shot' AND length <> 'short' "
-                    "AND context_level = 'no_context'"),
-    STORED,
-)
-FEW_RUNS = predictions(
-    N_RUNS, "model = 'common' AND shot_type <> 'few_shot' AND length = 'medium' "
-            "AND context_level = 'no_context'")
+STORED_RUNS = (*predictions(N_RUNS), STORED)
+ALL_RUNS = predictions(N_RUNS)
 RESUME = """wanted AS (SELECT dataset, model, run_id, item_id FROM docs JOIN runs USING (dataset)),
 saved AS (
   SELECT run_id, item_id, CASE WHEN model = 'rare' AND toxic = 1 THEN 'timeout' END AS error
@@ -445,8 +432,7 @@ todo AS (
   EXCEPT SELECT run_id, item_id FROM saved WHERE error IS NULL)"""
 
 
-def resume_runs(where: str) -> tuple[str, ...]:
-    return (DOCS, *AXES, runs(2, where), RESUME)
+RESUMED = (DOCS, *AXES, runs(N_RUNS, "dataset <> 'chat'"), RESUME)
 
 
 ORACLES = {
@@ -457,6 +443,7 @@ ORACLES = {
                row_number() OVER (PARTITION BY dataset ORDER BY gold) - 1 AS label_ord
         FROM (SELECT DISTINCT dataset, gold FROM corpus)"""),
     "stratified_pool": query(*ITEMS, POOL, "SELECT * FROM pool"),
+    "stratified_pool_large": query(*ITEMS, POOL.replace("<= 2)", "<= 5000)"), "SELECT * FROM pool"),
     "test_split": query(*ITEMS, POOL, """
         SELECT dataset, item_id, gold FROM corpus c
         WHERE NOT EXISTS (SELECT 1 FROM pool p
@@ -497,7 +484,7 @@ ORACLES = {
               ORDER BY concat_ws('|', shot_type, length, context_level))) AS keys_md5,
           md5(max(CASE WHEN shot_type = 'few_shot' AND length = 'long'
                         AND context_level = 'full_context' THEN prompt END)) AS longest_md5
-        FROM prompts WHERE model = 'common' AND dataset = 'chat' GROUP BY ALL"""),
+        FROM prompts WHERE model = 'common' GROUP BY ALL"""),
     "prompt_dedup_counts": query(*PROMPTS, """
         SELECT dataset, count(*) AS prompts, count(DISTINCT prompt) AS distinct_prompts
         FROM prompts WHERE model = 'common' GROUP BY ALL"""),
@@ -505,7 +492,7 @@ ORACLES = {
         SELECT exp_id, item_id, pred || '.' AS raw FROM basic JOIN conditions USING (dataset)
         WHERE model = 'common'"""),
     "annotate_rules": query(*predictions(1), "SELECT exp_id, item_id, gold, pred FROM preds"),
-    "annotate_runs": query(*FEW_RUNS, "SELECT exp_id, run_idx, item_id, pred FROM preds"),
+    "annotate_runs": query(*ALL_RUNS, "SELECT exp_id, run_idx, item_id, pred FROM preds"),
     "annotate_batch": query(DOCS, LEXICON, HITS, BASIC, """late_totals AS (
           SELECT item_id, label, sum(s) AS s FROM (
             SELECT item_id, label, c AS s FROM hits WHERE rnk >= 4
@@ -515,13 +502,6 @@ ORACLES = {
           QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY s DESC, label) = 1)""", """
         SELECT 'common' AS model, item_id, pred || '.' AS raw, 1 AS attempts FROM basic
         UNION ALL SELECT 'rare', item_id, label, 1 FROM docs LEFT JOIN late USING (item_id)"""),
-    "annotate_retry": query(*PROMPTS, ONE_PROMPT, """
-        SELECT model, item_id,
-          CASE WHEN size % 11 <> 0 AND size % 13 <> 0 THEN 'answer ' || size END AS raw,
-          CASE WHEN size % 11 = 0 THEN 1 WHEN size % 13 = 0 THEN 5 ELSE 1 + size % 3 END AS attempts,
-          CASE WHEN size % 11 = 0 THEN 'ValueError: bad request'
-               WHEN size % 13 = 0 THEN 'TransientError: busy' END AS error
-        FROM one_prompt"""),
     "model_responses": query(DOCS, f"""
         SELECT item_id,
           md5({lit(LLAMA_HEAD.replace('{system}', 'Answer briefly.'))} || text || {lit(LLAMA_TAIL)})
@@ -535,6 +515,8 @@ ORACLES = {
     "extract_label": extract_query(*ALL_STAGES),
     "extract_codebooks": query(*ITEMS, """
         SELECT dataset, item_id, gold AS pred, 'scan' AS stage FROM corpus"""),
+    "extract_large_vocabulary": """
+        SELECT p_partkey AS item_id, p_type || ' ' || p_name AS pred, 'scan' AS stage FROM part""",
     "extract_stage_audit": query(DOCS, LEXICON, HITS, BASIC, RAW, extraction(ALL_STAGES), """
         SELECT dataset, stage, count(*) AS answers FROM found GROUP BY ALL"""),
     "align_predictions": query(DOCS, LEXICON, HITS, BASIC, """
@@ -561,15 +543,23 @@ ORACLES = {
           SELECT dataset, CAST(quality AS VARCHAR) AS a, CAST(1 - toxic AS VARCHAR) AS b
           FROM labels JOIN docs ON item_id = doc_id)""", metrics("raters", "dataset", "a", "b"),
           f"SELECT dataset, items, {rounded('accuracy, kappa')} FROM scored"),
-    "run_metrics": query(*FEW_RUNS, PER_RUN,
+    "run_metrics": query(*ALL_RUNS, PER_RUN,
                          f"SELECT exp_id, run_idx, items, {rounded(FIVE)} FROM scored"),
     "run_consistency": query(*predictions(N_RUNS), PER_RUN, f"""
-        SELECT exp_id, round(avg(kappa), 6) AS mean_kappa,
-               round(coalesce(stddev_samp(kappa), 0), 6) AS std_kappa,
+        SELECT exp_id, round(CASE WHEN count(kappa) = count(*) THEN avg(kappa) END, 6) AS mean_kappa,
+               round(CASE WHEN count(kappa) = count(*) THEN stddev_samp(kappa) END, 6) AS std_kappa,
                {', '.join(f'round(max(CASE WHEN run_idx = {r} THEN kappa END), 6) AS kappa_run{r}'
                           for r in range(N_RUNS))}
         FROM scored GROUP BY ALL"""),
-    "label_codes": query(*FEW_RUNS, CODES, "SELECT * FROM codes"),
+    "undefined_consistency": query(*predictions(N_RUNS, "model = 'common'"), """agreed AS (
+          SELECT gold AS kind, gold, run_idx, CASE WHEN run_idx > 2 THEN gold ELSE pred END AS pred FROM preds
+          UNION ALL
+          SELECT 'all', gold, run_idx, CASE WHEN run_idx > 2 THEN gold ELSE pred END FROM preds)""",
+        metrics("agreed", "kind, run_idx"), """
+        SELECT kind, round(CASE WHEN count(kappa) = count(*) THEN avg(kappa) END, 6) AS mean_kappa,
+               round(CASE WHEN count(kappa) = count(*) THEN stddev_samp(kappa) END, 6) AS std_kappa
+        FROM scored GROUP BY kind"""),
+    "label_codes": query(*ALL_RUNS, CODES, "SELECT * FROM codes"),
     "icc_two_way": query(*predictions(N_RUNS), ICC,
                          "SELECT exp_id, runs, round(icc, 6) AS icc FROM icc"),
     "best_run": query(*predictions(N_RUNS), PER_RUN, BEST,
@@ -597,6 +587,14 @@ ORACLES = {
                {', '.join(r3(c, n) for c, n in FOUR)}
         FROM dataset_names CROSS JOIN shot_names CROSS JOIN model_names
         LEFT JOIN top USING (dataset, shot_type, model)"""),
+    "report_any_layout": query(*FULL, NAMES[2], """all_datasets(dataset, d_name) AS (VALUES
+          ('north', 'north'), ('south', 'south'), ('lms', 'Library Management'), ('smart', 'Smart Home')),
+        all_models(model, m_name) AS (VALUES ('common', 'common'), ('rare', 'rare'),
+          ('llama2', 'LLaMA-2'), ('mistral', 'Mistral'), ('gpt4', 'GPT-4'))""", f"""
+        SELECT d_name AS dataset, s_name AS shot_type, m_name AS model,
+               {', '.join(r3(f'max({c})', n) for c, n in FOUR)}
+        FROM all_datasets CROSS JOIN shot_names CROSS JOIN all_models
+        LEFT JOIN metrics USING (dataset, shot_type, model) GROUP BY ALL"""),
     "report_best": query(*FULL, *NAMES, TOP.format(keys="dataset, model"), f"""
         SELECT d_name AS dataset, m_name AS model, shot_type, length, context_level,
                {r3('kappa', 'kappa')}
@@ -613,19 +611,23 @@ ORACLES = {
         FROM metrics JOIN dataset_names USING (dataset) JOIN model_names USING (model)
         JOIN shot_names USING (shot_type)
         WHERE context_level = 'full_context' GROUP BY ALL"""),
-    "skip_done": query(
-        *resume_runs("dataset <> 'chat' AND shot_type <> 'few_shot' AND length = 'medium' "
-                     "AND context_level = 'no_context'"),
-        "SELECT DISTINCT run_id FROM todo"),
-    "resume_items": query(
-        *resume_runs("dataset <> 'chat' AND shot_type = 'zero_shot' AND length = 'medium' "
-                     "AND context_level = 'no_context'"),
-        "SELECT run_id, item_id FROM todo"),
-    "csv_roundtrip": query(DOCS, untidy("docs"), """
-        SELECT 'docs' AS dataset, gold, md5(text) AS text_md5, count(*) AS items
-        FROM kept GROUP BY ALL"""),
+    "skip_done": query(*RESUMED, "SELECT DISTINCT run_id FROM todo"),
+    "resume_items": query(*RESUMED, "SELECT run_id, item_id FROM todo"),
+    "resumed_experiment": query(*ITEMS, POOL, LEXICON, HITS, BASIC, """
+        SELECT dataset, item_id, 4 AS answers, pred FROM basic
+        WHERE item_id NOT IN (SELECT item_id FROM pool WHERE dataset <> 'chat')"""),
+    "csv_roundtrip": query(DOCS, untidy("docs"), f"""cells AS (
+          SELECT CASE WHEN text NOT IN ({', '.join(map(lit, NA_TOKENS))}) THEN text END AS text,
+                 CASE WHEN gold NOT IN ({', '.join(map(lit, NA_TOKENS))}) THEN gold END AS gold
+          FROM untidy),
+        contents AS (
+          SELECT *, sha256(concat_ws('|', coalesce('t' || text, '-'), coalesce('l' || gold, '-'))) AS content FROM cells),
+        copies AS (SELECT *, row_number() OVER (PARTITION BY content) AS copy FROM contents)""", f"""
+        SELECT 'docs' AS dataset, ('0x' || substr(md5(content || '|' || CAST(copy AS VARCHAR)), 1, 15))::BIGINT AS item_id,
+               {strip('gold')} AS gold, md5({strip('text')}) AS text_md5
+        FROM copies WHERE {strip('text')} <> '' AND {strip('gold')} <> ''"""),
     "prediction_table": query(*STORED_RUNS, """
-        SELECT run_id, item_id, gold, raw, pred, stage FROM stored WHERE length = 'long'"""),
+        SELECT run_id, item_id, gold, raw, pred, stage FROM stored WHERE shot_type = 'one_shot'"""),
     "run_json_roundtrip": query(*STORED_RUNS, """
         SELECT run_id, item_id, gold, raw, pred FROM stored"""),
     "metrics_json_roundtrip": query(*FULL, f"""
@@ -633,6 +635,9 @@ ORACLES = {
                {rounded(FIVE + ', mean_kappa, std_kappa, icc')}
         FROM summary JOIN conditions USING (exp_id)"""),
     "report_csv": FULL_METRICS,
-    "stream_annotate": query(DOCS, LEXICON, HITS, BASIC,
-                             "SELECT dataset, item_id, gold, pred FROM basic"),
+    "stream_annotate": query(DOCS, *AXES, LEXICON, HITS, BASIC, """
+        SELECT dataset, item_id, exp_id, gold, pred || '.' AS raw, pred,
+               CASE WHEN pred IS NULL THEN 'empty' ELSE 'exact' END AS stage
+        FROM basic JOIN conditions USING (dataset)
+        WHERE shot_type = 'few_shot' AND length = 'medium' AND context_level = 'some_context'"""),
 }

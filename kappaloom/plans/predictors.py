@@ -1,63 +1,48 @@
-"""Offline predictors with the contract of a remote model."""
+"""An offline predictor with the contract of a remote model."""
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-from functools import lru_cache
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-from kappaloom.operators.annotate import TransientError
-from kappaloom.operators.prompts import ITEM_OPEN
+from kappaloom.operators.prompts import ITEM_CLOSE, ITEM_OPEN
 from kappaloom.operators.rules import ACCENTS, LABELS, LEXICON, Rule
 
 
 def item_text(prompt: str) -> str:
     """The item inside a prompt: after the last opening mark, up to the last closing one."""
-    return prompt[prompt.rindex(ITEM_OPEN) + len(ITEM_OPEN):prompt.rindex('"\n\n')]
+    return prompt[prompt.rindex(ITEM_OPEN) + len(ITEM_OPEN):prompt.rindex(ITEM_CLOSE)]
 
 
 class LexiconPredictor:
-    """The stop-word rule behind ``predict``; answers like a chatty model would."""
+    """Labels the item of a prompt by stop words, a batch at a time; answers like a chatty model."""
 
     def __init__(self, rule: Rule, answer: str = " {label}.\n"):
-        self.rule = rule
         self.answer = answer
-        # The prompts of one item follow each other, so the last text often comes again.
-        self.label_of = lru_cache(maxsize=8)(self.label)
-
-    def predict(self, prompt: str, run_idx: int) -> str | None:
-        label = self.label_of(item_text(prompt))
-        return self.answer.format(label=label) if label else None
-
-    def label(self, text: str) -> str | None:
-        text = text.lower()
-        counts = Counter(re.findall("[a-z]+", text))
-        letters = Counter(text)
-        scores = {
-            label: sum(counts[LEXICON[label][r]] for r in self.rule.ranks)
-            + self.rule.accent_weight * sum(letters[c] for c in ACCENTS[label])
-            for label in LABELS
-        }
-        best = min(LABELS, key=lambda label: (-scores[label], label))
-        return best if scores[best] else None
+        self.words = {
+            label: pa.array([LEXICON[label][r] for r in rule.ranks]) for label in LABELS}
+        self.accent_weight = rule.accent_weight
+
+    def labels(self, texts: pa.Array) -> list[str | None]:
+        """The best label of every text, first by name on ties, None without evidence."""
+        lower = pc.utf8_lower(texts)
+        tokens = pc.split_pattern_regex(lower, "[^a-z]+")
+        flat, owner = tokens.flatten(), pc.list_parent_indices(tokens).to_numpy()
+        scores = np.stack([
+            np.bincount(owner[pc.is_in(flat, value_set=self.words[label]).to_numpy(zero_copy_only=False)],
+                        minlength=len(texts)) for label in LABELS])
+        if self.accent_weight:
+            for row, label in zip(scores, LABELS):
+                for letter in ACCENTS[label]:
+                    row += self.accent_weight * pc.count_substring(lower, letter).to_numpy()
+        best = scores.argmax(axis=0)
+        return [LABELS[b] if s[b] else None for b, s in zip(best.tolist(), scores.T)]
 
     def predict_batch(self, prompts: list[str], run_idxs: list[int]) -> list[str | None]:
-        return [self.predict(p, r) for p, r in zip(prompts, run_idxs)]
-
-
-class FlakyPredictor:
-    """Fails in a way that depends on the prompt length only, to exercise retries."""
-
-    def __init__(self):
-        self.seen: Counter = Counter()
+        texts = pa.array([item_text(p) for p in prompts]).dictionary_encode()
+        label = self.labels(texts.dictionary)
+        return [self.answer.format(label=label[i]) if label[i] else None for i in texts.indices.to_pylist()]
 
     def predict(self, prompt: str, run_idx: int) -> str | None:
-        size = len(prompt)
-        if size % 11 == 0:
-            raise ValueError("bad request")
-        self.seen[prompt] += 1
-        needed = 100 if size % 13 == 0 else 1 + size % 3
-        if self.seen[prompt] < needed:
-            raise TransientError("busy")
-        self.seen[prompt] = 0
-        return f"answer {size}"
+        return self.predict_batch([prompt], [run_idx])[0]

@@ -18,11 +18,12 @@ from kappaloom.operators.prompts import (
     systems_table,
 )
 from kappaloom.operators.rules import Rule
-from kappaloom.plans.predictors import FlakyPredictor, LexiconPredictor
+from kappaloom.plans.experiment import Experiment, codebooks, run_experiment
+from kappaloom.plans.predictors import LexiconPredictor
 from kappaloom.session import materialize, scratch_path
 from kappaloom.sources import results
 from kappaloom.sources.items import read_items_csv, read_table_items
-from kappaloom.streaming.incremental import annotate_stream, stream_items
+from kappaloom.streaming.incremental import annotate_stream, annotation_chain, stream_items
 
 LANGUAGES = {"en": "English", "fr": "French", "de": "German", "es": "Spanish"}
 ROLES = {"user": "User", "assistant": "Assistant", "system": "System"}
@@ -138,6 +139,12 @@ def q_stratified_pool(spark, sf):
         "rank_in_label", F.col("rank_in_label").cast("long"))
 
 
+def q_stratified_pool_large(spark, sf):
+    """A pool of more rows than any planner limit: the same plan as a small one."""
+    pool = sampling.stratified_pool(corpus(spark, sf), 5000, SEED)
+    return pool.withColumn("rank_in_label", F.col("rank_in_label").cast("long"))
+
+
 def q_test_split(spark, sf):
     items = corpus(spark, sf).select("dataset", "item_id", "gold")
     return sampling.test_split(items, pool_of(items))
@@ -231,9 +238,9 @@ def q_build_prompts(spark, sf):
 
 
 def q_prompts_by_condition(spark, sf):
-    items = turns(spark, sf)
-    prompts = build_prompts(items, templates_of(spark, items, grid(1, ["chat"], ["common"])))
-    return prompts_by_condition(prompts).select(
+    items = corpus(spark, sf)
+    templates = templates_of(spark, items, grid(1, DATASETS, ["common"]))
+    return prompts_by_condition(items, templates).select(
         "dataset", "item_id", F.size("prompts").cast("long").alias("conditions"),
         F.md5(F.concat_ws("\n", F.map_keys("prompts"))).alias("keys_md5"),
         F.md5(F.col("prompts")["few_shot|long|full_context"]).alias("longest_md5"),
@@ -279,15 +286,8 @@ def q_annotate_rules(spark, sf):
         rules.predict_grid(documents(spark, sf), g).select("cond_id", "item_id", "gold", "pred"), g)
 
 
-def runs_grid() -> Grid:
-    return grid(N_RUNS).restrict(
-        models=["common"], shot_types=["zero_shot", "one_shot"], lengths=["medium"],
-        context_levels=["no_context"],
-    )
-
-
 def q_annotate_runs(spark, sf):
-    g = runs_grid()
+    g = grid(N_RUNS)
     rows = rules.predict_grid(documents(spark, sf), g)
     return with_exp_id(rows.select("cond_id", "run_idx", "item_id", "pred"), g).withColumn(
         "run_idx", F.col("run_idx").cast("long"))
@@ -315,18 +315,6 @@ def q_annotate_batch(spark, sf):
         "model", "item_id", "raw", F.col("attempts").cast("long").alias("attempts"))
 
 
-def no_sleep(seconds: float) -> None:
-    return None
-
-
-def q_annotate_retry(spark, sf):
-    backends = {
-        m: Backend(FlakyPredictor, sleep=no_sleep) for m in rules.RULE_MODELS
-    }
-    return annotate(one_prompt_per_document(spark, sf), backends, ["model", "item_id"]).select(
-        "model", "item_id", "raw", F.col("attempts").cast("long").alias("attempts"), "error")
-
-
 def q_model_responses(spark, sf):
     """Wrapped instruction, echoed by the model, reduced to the answer again."""
     head, tail = INSTRUCTION_FORMATS["llama2"]
@@ -372,6 +360,16 @@ def q_extract(*stages):
     return query
 
 
+def q_extract_large_vocabulary(spark, sf):
+    """Parts named in a sentence, read with a vocabulary of all kinds of part there are."""
+    kind = F.concat_ws(" ", "p_type", "p_name")
+    items = spark.read.parquet(f"{sf}/part.parquet").select(
+        F.lit("parts").alias("dataset"), F.col("p_partkey").alias("item_id"), kind.alias("gold"))
+    books = codebooks(materialize(label_vocabulary(items), "vocabulary"))
+    raw = F.concat(F.lit("It must be the "), F.lower("gold"), F.lit(", I think."))
+    return extract_labels(items.withColumn("raw", raw), books).select("item_id", "pred", "stage")
+
+
 def q_extract_stage_audit(spark, sf):
     return stage_audit(extracted(spark, sf, ("exact", "scan", "token", "fuzzy")), ["dataset"])
 
@@ -455,7 +453,7 @@ def full_patterns(spark, sf, g: Grid) -> DataFrame:
 
 
 def q_run_metrics(spark, sf):
-    g = runs_grid()
+    g = grid(N_RUNS)
     per_run = consistency.run_metrics(stored_patterns(spark, sf, g), ["cond_id"])
     return rounded6(with_exp_id(per_run, g), scoring.METRICS).withColumn(
         "run_idx", F.col("run_idx").cast("long"))
@@ -472,8 +470,20 @@ def q_run_consistency(spark, sf):
     )
 
 
+def q_undefined_consistency(spark, sf):
+    """Runs that agree wholly on one label have no kappa; then mean and SD have no value either."""
+    g = grid(N_RUNS, models=["common"])
+    preds = rules.predict_grid(documents(spark, sf), g)
+    agreed = F.when(F.col("run_idx") > 2, F.col("gold")).otherwise(F.col("pred"))
+    by_kind = preds.withColumn("pred", agreed).withColumn("kind", F.col("gold"))
+    both = by_kind.unionByName(by_kind.withColumn("kind", F.lit("all")))
+    per_run = scoring.agreement_metrics(both, ["kind", "run_idx"])
+    return consistency.kappa_consistency(per_run, ["kind"]).select(
+        "kind", F.round("mean_kappa", 6).alias("mean_kappa"), F.round("std_kappa", 6).alias("std_kappa"))
+
+
 def q_label_codes(spark, sf):
-    g = runs_grid()
+    g = grid(N_RUNS)
     codes = consistency.label_codes(stored_patterns(spark, sf, g), ["cond_id"])
     return with_exp_id(codes, g).withColumn("code", F.col("code").cast("long"))
 
@@ -536,39 +546,51 @@ def q_report(build):
     return query
 
 
-# ---------------------------------------------------------------- resume
+def q_report_any_layout(spark, sf):
+    """A layout that lists other datasets and models than were measured loses none of them."""
+    return reports.full_metrics(metrics_rows(spark, sf), reports.PUBLISHED)
 
 
-def wanted_rows(spark, sf, g: Grid) -> DataFrame:
-    runs = with_runs(g.table(spark), g.n_runs).select("dataset", "model", "run_id")
-    return expand(documents(spark, sf).select("dataset", "item_id"), runs)
+# ---------------------------------------------------------------- resume
 
 
-def saved_rows(spark, sf, g: Grid) -> DataFrame:
-    """What an interrupted job left: the first model whole, of the second the rated documents.
+def open_items(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Items with their open runs, and the runs, after an interruption.
 
-    Toxic documents stand for failed requests.
+    The first model is done, of the second the rated documents; toxic documents stand for
+    failed requests.
     """
+    g = grid(N_RUNS)
+    runs = with_runs(g.table(spark), N_RUNS).withColumn("run_no", resume.run_number(N_RUNS))
+    items = documents(spark, sf).select("dataset", "item_id")
     rated = ratings(spark, sf).select(F.col("doc_id").alias("item_id"), "toxic")
-    rows = wanted_rows(spark, sf, g).join(rated, "item_id", "left")
+    rows = expand(items, runs.select("dataset", "model", "run_no")).join(rated, "item_id", "left")
     failed = (F.col("model") == "rare") & (F.col("toxic") == 1)
-    return rows.where((F.col("model") == "common") | F.col("toxic").isNotNull()).select(
-        "run_id", "item_id", F.when(failed, "timeout").alias("error"))
+    saved = rows.where((F.col("model") == "common") | F.col("toxic").isNotNull()).select(
+        "dataset", "item_id", "run_no", F.when(failed, "timeout").alias("error"))
+    return resume.open_runs(items, runs, saved), runs.select("run_no", "run_id")
 
 
 def q_skip_done(spark, sf):
-    g = runs_grid().restrict()
-    g = Grid(g.datasets, rules.RULE_MODELS, g.shot_types, g.lengths, g.context_levels, 2)
-    wanted = wanted_rows(spark, sf, g)
-    done = resume.finished_runs(saved_rows(spark, sf, g), wanted)
-    runs = with_runs(g.table(spark), g.n_runs).select("run_id")
-    return resume.remaining_runs(runs, done)
+    still, runs = open_items(spark, sf)
+    return resume.unfinished_runs(still).join(runs, "run_no").select("run_id")
 
 
 def q_resume_items(spark, sf):
-    g = Grid(DOC_DATASETS, rules.RULE_MODELS, ("zero_shot",), ("medium",), ("no_context",), 2)
-    return resume.remaining_items(
-        wanted_rows(spark, sf, g).select("run_id", "item_id"), saved_rows(spark, sf, g))
+    still, runs = open_items(spark, sf)
+    return resume.open_rows(still).join(F.broadcast(runs), "run_no").select("run_id", "item_id")
+
+
+def q_resumed_experiment(spark, sf):
+    """An experiment over all documents that ended after one of three portions, and went on."""
+    items = documents(spark, sf)
+    out = scratch_path(spark, "experiment")
+    g = Grid(DOC_DATASETS, ("common",), ("zero_shot", "few_shot"), ("short", "medium"), ("no_context",), 1)
+    backends = {"common": Backend.batched(lambda: LexiconPredictor(BASIC), batch_size=64)}
+    for portions in (1, None):
+        run_experiment(items, Experiment(g, SYSTEMS, backends, steps=3, max_portions=portions), out)
+    return results.read_predictions(spark, f"{out}/predictions").groupBy("dataset", "item_id").agg(
+        F.count("*").alias("answers"), F.max("pred").alias("pred"))
 
 
 # ---------------------------------------------------------------- round trips and streaming
@@ -580,16 +602,13 @@ def q_csv_roundtrip(spark, sf):
         F.col("text").alias("Requirement Statement"), F.col("gold").alias("Label")
     ).write.option("header", True).option("quoteAll", True).option("escape", '"').option(
         "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
-    return clean_items(read_items_csv(spark, path, "docs")).groupBy(
-        "dataset", "gold", F.md5("text").alias("text_md5")
-    ).agg(F.count("*").alias("items"))
+    return clean_items(read_items_csv(spark, path, "docs")).select(
+        "dataset", "item_id", "gold", F.md5("text").alias("text_md5"))
 
 
 def prediction_rows(spark, sf) -> DataFrame:
-    """Extracted answers of two conditions in the shape of the prediction table."""
-    g = grid(2).restrict(
-        models=["common"], shot_types=["one_shot"], lengths=["medium", "long"],
-        context_levels=["no_context"])
+    """Extracted answers of the whole grid in the shape of the prediction table."""
+    g = grid(N_RUNS)
     preds = rules.predict_grid(documents(spark, sf), g)
     raw = preds.withColumn("raw", F.concat(F.lit("Label: "), F.col("pred"))).drop("pred")
     return (
@@ -602,12 +621,12 @@ def prediction_rows(spark, sf) -> DataFrame:
 
 
 def q_prediction_table(spark, sf):
-    """Two appends of different runs to one partitioned table, read back with a filter."""
+    """Appends of different runs to one partitioned table, read back with a filter."""
     path = scratch_path(spark, "predictions")
     rows = materialize(prediction_rows(spark, sf), "prediction_rows")
-    for run in (0, 1):
-        results.append_predictions(rows.where(F.col("run_idx") == run), path)
-    return results.read_predictions(spark, path).where(F.col("length") == "long").select(
+    for first in (True, False):
+        results.append_predictions(rows.where((F.col("run_idx") == 0) == F.lit(first)), path)
+    return results.read_predictions(spark, path).where(F.col("shot_type") == "one_shot").select(
         "run_id", "item_id", "gold", "raw", "pred", "stage")
 
 
@@ -632,25 +651,26 @@ def q_report_csv(spark, sf):
 
 
 def q_stream_annotate(spark, sf):
-    """Documents arrive as files in two portions; two calls annotate each file once."""
+    """Documents arrive as files in two portions; each goes through the whole chain once."""
     inbox, out, checkpoint = (
         scratch_path(spark, n) for n in ("inbox", "annotated", "stream_checkpoint"))
-
-    def label(items):
-        return rules.predict_one(items, BASIC, ["dataset", "item_id", "gold"])
-
     docs = documents(spark, sf)
+    templates = templates_of(spark, docs, grid(1).restrict(
+        shot_types=["few_shot"], lengths=["medium"], context_levels=["some_context"]))
+    chain = annotation_chain(
+        templates, {m: Backend.batched(lambda: LexiconPredictor(BASIC), batch_size=64) for m in rules.RULE_MODELS},
+        {d: rules.LABELS for d in DOC_DATASETS})
     for dataset in DOC_DATASETS:
         docs.where(F.col("dataset") == dataset).write.mode("append").parquet(inbox)
-        annotate_stream(stream_items(spark, inbox), label, out, checkpoint)
-    schema = "dataset string, item_id long, gold string, pred string"
-    return spark.read.schema(schema).parquet(out)
+        annotate_stream(stream_items(spark, inbox), chain, out, checkpoint)
+    return spark.read.parquet(out).select("dataset", "item_id", "exp_id", "gold", "raw", "pred", "stage")
 
 
 QUERIES = {
     "clean_items": q_clean_items,
     "label_vocabulary": q_label_vocabulary,
     "stratified_pool": q_stratified_pool,
+    "stratified_pool_large": q_stratified_pool_large,
     "test_split": q_test_split,
     "uniform_sample": q_uniform_sample,
     "round_robin_examples": q_round_robin_examples,
@@ -666,7 +686,6 @@ QUERIES = {
     "annotate_rules": q_annotate_rules,
     "annotate_runs": q_annotate_runs,
     "annotate_batch": q_annotate_batch,
-    "annotate_retry": q_annotate_retry,
     "model_responses": q_model_responses,
     "extract_exact": q_extract("exact"),
     "extract_scan": q_extract("scan"),
@@ -674,6 +693,7 @@ QUERIES = {
     "extract_fuzzy": q_extract("fuzzy"),
     "extract_label": q_extract("exact", "scan", "token", "fuzzy"),
     "extract_codebooks": q_extract_codebooks,
+    "extract_large_vocabulary": q_extract_large_vocabulary,
     "extract_stage_audit": q_extract_stage_audit,
     "align_predictions": q_align_predictions,
     "alignment_audit": q_alignment_audit,
@@ -684,6 +704,7 @@ QUERIES = {
     "rater_agreement": q_rater_agreement,
     "run_metrics": q_run_metrics,
     "run_consistency": q_run_consistency,
+    "undefined_consistency": q_undefined_consistency,
     "label_codes": q_label_codes,
     "icc_two_way": q_icc_two_way,
     "best_run": q_best_run,
@@ -694,11 +715,13 @@ QUERIES = {
     "report_by_context": q_report(reports.kappa_by_context),
     "report_full_metrics": q_report(reports.full_metrics),
     "report_full_metrics_best": q_report(reports.full_metrics_best_condition),
+    "report_any_layout": q_report_any_layout,
     "report_best": q_report(reports.best_conditions),
     "report_shot_comparison": q_report(reports.shot_comparison),
     "report_shot_by_length": q_report(reports.shot_by_length),
     "skip_done": q_skip_done,
     "resume_items": q_resume_items,
+    "resumed_experiment": q_resumed_experiment,
     "csv_roundtrip": q_csv_roundtrip,
     "prediction_table": q_prediction_table,
     "run_json_roundtrip": q_run_json_roundtrip,

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+PARTITIONS_CONF = "spark.kappaloom.items.partitions"
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -46,15 +47,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(scan: DataFrame, *keys: str) -> DataFrame:
-    """Re-distribute a plain scan that has fewer splits than the cluster has cores.
+    """Deal a plain scan to the number of tasks that ``PARTITIONS_CONF`` asks for, if it is set.
 
-    A large input has thousands of splits and passes through unchanged; this only
-    helps one small file with heavy work per row. ``scan`` must be free of shuffles.
+    For a machine whose one small file would otherwise be one task. Nothing is dealt unless
+    the session asks for it: a cluster's inputs have splits enough.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    if scan.rdd.getNumPartitions() >= cores:
-        return scan
-    return scan.repartition(cores, *keys)
+    wanted = scan.sparkSession.conf.get(PARTITIONS_CONF, None)
+    return scan.repartition(int(wanted), *keys) if wanted else scan
 
 
 def literal_table(spark: SparkSession, schema: pa.Schema, rows: list[tuple]) -> DataFrame:

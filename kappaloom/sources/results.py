@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kappaloom.functions.ids import CONDITION, experiment_id, parse_experiment_ids
+from kappaloom.operators.conditions import Grid
 from kappaloom.operators.joins import lookup_join
 from kappaloom.session import materialize
 
@@ -34,22 +35,26 @@ METRIC_FIELDS = {
 }
 
 
-def append_predictions(preds: DataFrame, path: str, replace: bool = False) -> None:
+def append_predictions(preds: DataFrame, path: str) -> None:
     """Append finished rows to the prediction table, one folder per condition and run.
 
-    With ``replace`` the folders that get rows are replaced instead.
-
     The rebalance hint groups rows by folder and splits or merges the groups to
     the advisory size, so neither many tiny files nor one huge one appear. The commit
     of the write makes the rows visible at once or not at all.
     """
     columns = [f.split()[0] for f in PREDICTION_SCHEMA.split(", ")]
     rows = preds.select(*columns).hint("rebalance", *PARTITION)
-    writer = rows.write.partitionBy(*PARTITION)
-    if replace:
-        writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
-    else:
-        writer.mode("append").parquet(path)
+    rows.write.partitionBy(*PARTITION).mode("append").parquet(path)
+
+
+def drop_predictions(spark: SparkSession, path: str, grid: Grid) -> None:
+    """Remove the folders of all runs of the grid, whether or not new rows will come."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    system = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for _, *condition in grid.rows():
+        folder = "/".join(f"{name}={value}" for name, value in zip(CONDITION, condition))
+        for run in range(grid.n_runs):
+            system.delete(hadoop(f"{path}/{folder}/run_idx={run}"), True)
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
@@ -66,11 +71,11 @@ def saved_predictions(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def run_records(preds: DataFrame, record_items: int = RECORD_ITEMS) -> DataFrame:
-    """Interchange form: parallel arrays per run, in item order.
+    """Interchange form: parallel arrays per run and part, in item order within a part.
 
-    A run of at most ``record_items`` items is one record. A longer one becomes several
-    parts of about that size, because one record is built inside one task. The prediction
-    table is the form for large results; this one is for exchange.
+    A record is built inside one task, so every run comes in parts of about ``record_items``
+    items, numbered from 0. The prediction table is the form for large results; this one is
+    for exchange.
     """
     sizes = materialize(preds.groupBy("run_id").agg(F.count("*").alias("_n")), "run_sizes")
     parts = F.ceil(F.col("_n") / F.lit(record_items))
@@ -89,13 +94,16 @@ def run_records(preds: DataFrame, record_items: int = RECORD_ITEMS) -> DataFrame
 
 
 def write_records(records: DataFrame, path: str) -> None:
-    """One JSON file per record, with nulls kept inside arrays; replaces the folder."""
-    records.write.mode("overwrite").option("maxRecordsPerFile", 1).json(path)
+    """JSON lines, a record each, with nulls kept inside arrays; replaces the folder."""
+    records.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
 
+def read_run_records(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """One row per item of stored run records: run_id, part, pos, item_id, gold, raw, pred.
 
-def read_run_records(spark: SparkSession, path: str) -> DataFrame:
-    """One row per item of stored run records: run_id, part, pos, item_id, gold, raw, pred."""
-    records = spark.read.schema(RUN_RECORD_SCHEMA).option("multiLine", True).json(path)
+    ``multi_line`` reads files that hold one record each, laid out over several lines.
+    """
+    records = spark.read.schema(RUN_RECORD_SCHEMA).option("multiLine", multi_line).json(path)
     # Records without item ids, and arrays cut short, still line up by position.
     places = F.transform("test_labels", lambda _, i: i.cast("long"))
     cells = F.arrays_zip(
@@ -109,25 +117,29 @@ def read_run_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_summaries(summary: DataFrame, path: str) -> None:
-    """Condition summaries as nested JSON, one file each; replaces the folder."""
+    """Condition summaries as nested JSON, a line each; replaces the folder."""
     columns = ["best_run_idx", "best_metrics", "consistency"]
     if "exp_id" not in summary.columns:
         summary = summary.withColumn("exp_id", experiment_id())
     write_records(summary.select("exp_id", *columns), path)
 
 
-def read_metrics(spark: SparkSession, path: str) -> DataFrame:
-    """The five condition columns and eight metrics of every readable summary file.
-
-    Unreadable files and malformed ids drop out; a missing id is the file name without
-    its ending; missing or undefined metrics are null.
-    """
-    files = (
-        spark.read.schema(SUMMARY_SCHEMA).option("multiLine", True)
+def _summary_files(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
+    return (
+        spark.read.schema(SUMMARY_SCHEMA).option("multiLine", multi_line)
         .option("pathGlobFilter", "*.json").json(path)
     )
+
+
+def read_metrics(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """The five condition columns and eight metrics of every readable summary.
+
+    Unreadable records and malformed ids drop out, ``unreadable_summaries`` counts them; a
+    missing id is the file name without its ending; missing or undefined metrics are null.
+    ``multi_line`` reads files that hold one summary each, laid out over several lines.
+    """
     stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "")
-    readable = files.where(F.col("_corrupt_record").isNull()).withColumn(
+    readable = _summary_files(spark, path, multi_line).where(F.col("_corrupt_record").isNull()).withColumn(
         "exp_id", F.coalesce("exp_id", stem)
     )
     metrics = [
@@ -137,6 +149,13 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     return parse_experiment_ids(readable).select(*CONDITION, *metrics)
 
 
+def unreadable_summaries(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """(file, records, named): what ``read_metrics`` had to leave out, and how much of it has an id."""
+    files = _summary_files(spark, path, multi_line).withColumn("file", F.col("_metadata.file_name"))
+    return files.where(F.col("_corrupt_record").isNotNull()).groupBy("file").agg(
+        F.count("*").alias("records"), F.count("exp_id").alias("named"))
+
+
 def write_report_csv(report: DataFrame, path: str) -> None:
     """One CSV file with header; a report has a handful of rows."""
     report.coalesce(1).write.mode("overwrite").option("header", True).csv(path)

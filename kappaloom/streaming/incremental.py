@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kappaloom.operators.annotate import Backend, annotate
+from kappaloom.operators.extract import extract_labels
+from kappaloom.operators.prompts import build_prompts
+
 ITEM_SCHEMA = "dataset string, item_id long, text string, gold string"
+FILES_PER_BATCH = 1000
 
 
-def stream_items(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
-    reader = spark.readStream.schema(ITEM_SCHEMA)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(path)
+def stream_items(spark: SparkSession, path: str, files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
+    """Items as files arrive; a batch takes so many files at most, the rest follow in the next."""
+    return spark.readStream.schema(ITEM_SCHEMA).option(
+        "maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
 def annotate_stream(
@@ -31,3 +35,20 @@ def annotate_stream(
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
+
+
+def annotation_chain(
+    templates: DataFrame, backends: dict[str, Backend], books: Mapping[str, Sequence[str]],
+    keys: Sequence[str] = ("dataset", "item_id", "gold", "exp_id", "run_idx"),
+) -> Callable[[DataFrame], DataFrame]:
+    """Prompts, predictor and extraction as one ``label`` for ``annotate_stream``.
+
+    ``templates`` is a written table, see ``prompt_templates``. The chain joins small tables by
+    broadcast and has no shuffle, so it is the same for a batch and for a stream.
+    """
+
+    def label(items: DataFrame) -> DataFrame:
+        answered = annotate(build_prompts(items, templates), backends, list(keys))
+        return extract_labels(answered, books).select(*keys, "raw", "attempts", "error", "pred", "stage")
+
+    return label

@@ -19,6 +19,7 @@ def spark():
         SparkSession.builder.master("local[8]")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.kappaloom.items.partitions", "8")
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="kappaloom-test-"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

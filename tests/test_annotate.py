@@ -55,7 +55,7 @@ def test_routing_and_wrappers(spark):
     both = prompts_of(spark, ["a", "b"], "one").union(prompts_of(spark, ["c"], "two"))
     backends = {"one": Backend(Echo), "two": Backend(Echo, wrapper=INSTRUCTION_FORMATS["mistral"],
                                                       echo_end=ECHO_END)}
-    got = rows(annotate(both, backends, ["model", "item_id"], concurrency=2))
+    got = rows(annotate(both, backends, ["model", "item_id"]))
     assert got == [("one", 0, "a/0", 1, None), ("one", 1, "b/0", 1, None),
                    ("two", 0, "/0", 1, None)]
     with pytest.raises(ValueError):
@@ -124,3 +124,33 @@ def test_each_distinct_prompt_is_asked_once(spark):
                   for _, i, t in map(tuple, items.collect()) for c in range(3))
     assert rows(got.select("item_id", "cond_id", "raw")) == sorted(
         want, key=lambda r: tuple(map(repr, r)))
+
+
+def test_two_models_read_the_prompts_once_and_nothing_is_shuffled(spark, tmp_path):
+    prompts_of(spark, ["a", "b"]).write.parquet(str(tmp_path / "p"))
+    prompts = spark.read.parquet(str(tmp_path / "p"))
+    plan = annotate(prompts, {m: Backend(Echo) for m in ("m", "n")}, ["item_id"])._jdf.queryExecution()
+    text = plan.executedPlan().toString()
+    assert text.count("FileScan") == 1 and "Exchange" not in text
+
+
+def test_answers_are_saved_before_they_are_grouped(spark, monkeypatch):
+    from kappaloom.operators import dedup
+
+    steps = []
+    plain = dedup.materialize
+
+    def watched(df, name):
+        text = df._jdf.queryExecution().optimizedPlan().toString()
+        steps.append((name, "MapInPandas" in text, "Aggregate" in text.split("MapInPandas")[0]))
+        return plain(df, name)
+
+    monkeypatch.setattr(dedup, "materialize", watched)
+    items = spark.createDataFrame([("d", i, f"t{i % 3}") for i in range(9)], "dataset string, item_id long, text string")
+    templates = distinct_templates(spark.createDataFrame(
+        [("d", "m", 0, 0, "P:", ":S")],
+        "dataset string, model string, cond_id int, run_idx int, prefix string, suffix string"))
+    got = annotate_distinct(items, templates, lambda p: annotate(
+        p, {"m": Backend(Echo)}, ["text_key", "template_id", "run_idx"]), concurrency=2)
+    assert got.count() == 9
+    assert [s for s in steps if s[1]] == [("asked", True, False)]

@@ -8,7 +8,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from kappaloom.functions.fuzzy import best_label
-from kappaloom.operators.extract import extract_labels, stage_audit
+from kappaloom.operators.extract import any_of, extract_labels, stage_audit
 
 LABELS = ["English", "French", "German", "OldEnglish", "PartTimer", "Spanish"]
 GOLDEN = [
@@ -105,3 +105,36 @@ def test_fuzzy_parity_with_plain_search(spark):
     got = [p for p, _ in run(spark, answers, LABELS, stages=("fuzzy",))]
     assert got == expected
     assert sum(e is not None for e in expected) > 50
+
+
+def test_longest_label_of_a_shared_beginning(spark):
+    labels = ["Rye", "Rye bread", "Rye-", "bread", "Bread"]
+    answers = ["a rye breads", "it is rye bread now", "rye-x bread", "x RYE", "new bread here"]
+    assert [p for p, _ in run(spark, answers, labels, stages=("scan",))] == [
+        "Rye", "Rye bread", "bread", "Rye", "bread"]
+
+
+def test_one_pattern_for_many_labels():
+    import re
+    words = {w: "(?!x)" for w in ("ab", "abc", "b", "abd")}
+    pattern = re.sub(r"\\Q(.*?)\\E", lambda m: re.escape(m[1]), any_of(words))
+    assert [re.match(pattern, t) and re.match(pattern, t)[0] for t in ("abcx", "abc", "abx", "abd", "bx", "b")] == [
+        "ab", "abc", None, "abd", None, "b"]
+
+
+def test_large_vocabulary(spark):
+    import time
+
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(8)).title()
+    many = sorted({word() for _ in range(1500)})
+    answers = spark.range(20000).select(F.concat(F.lit("It is a "), F.element_at(
+        F.array(*map(F.lit, many[:50])), (F.col("id") % 50 + 1).cast("int")), F.lit(" thing")).alias("raw")).cache()
+    answers.count()
+    seconds = {}
+    for size in (50, 1500, 50, 1500):
+        start = time.perf_counter()
+        out = extract_labels(answers, many[:size], stages=("exact", "scan", "token"))
+        assert out.where("stage = 'scan'").count() == 20000
+        seconds[size] = time.perf_counter() - start
+    assert seconds[1500] < 3 * seconds[50] + 2

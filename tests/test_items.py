@@ -1,5 +1,7 @@
 """Cleaning, CSV scan, vocabulary, sampling."""
 
+import hashlib
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -60,20 +62,37 @@ def test_pool_and_test_set_partition_the_items(spark, sf_dir):
     assert rows(pool.union(test)) == rows(docs.select("dataset", "item_id"))
 
 
-@pytest.mark.parametrize("n", [1, 6, 40, 10_000])
-def test_large_draw_equals_small_draw(spark, n):
-    """Both ways to draw agree, also when one group holds most rows."""
-    triples = [("a", i, "hot" if i % 3 else "rare") for i in range(500)] + [("b", 9, "hot")]
-    items = items_of(spark, triples)
-    usual = rows(sampling.first_by_hash(items, ["dataset", "gold"], n, 7).drop("draw_rank"))
-    pool = rows(sampling.stratified_pool(items, n, 7))
-    limit = spark.conf.get(sampling.GROUP_LIMIT_CONF)
-    spark.conf.set(sampling.GROUP_LIMIT_CONF, "0")
-    try:
-        assert rows(sampling.first_by_hash(items, ["dataset", "gold"], n, 7)) == usual
-        assert rows(sampling.stratified_pool(items, n, 7)) == pool
-    finally:
-        spark.conf.set(sampling.GROUP_LIMIT_CONF, limit)
+@pytest.mark.parametrize("n", [1, 6, 40, 1000, 1001])
+def test_draws_of_any_size(spark, n):
+    """The smallest hashes of each group, also when one group holds most rows."""
+    triples = [("a", i, "hot" if i % 3 else "rare") for i in range(3000)] + [("b", 9, "hot")]
+    got = sampling.stratified_pool(items_of(spark, triples), n, 7)
+    assert got.columns == ["dataset", "item_id", "label", "rank_in_label"]
+    groups = {}
+    for d, i, g in triples:
+        groups.setdefault((d, g), []).append((hashlib.md5(f"7|{i}".encode()).hexdigest(), i))
+    want = [(d, i, g, r + 1) for (d, g), ids in groups.items() for r, (_, i) in enumerate(sorted(ids)[:n])]
+    assert rows(got) == sorted(want, key=lambda r: tuple(map(repr, r)))
+
+
+def test_csv_ids_do_not_depend_on_the_splits(spark, tmp_path):
+    lines = [f"text {i % 700 if i % 3 else 'hot'},{'AB'[i % 2]}" for i in range(5000)]
+    (tmp_path / "items.csv").write_text("Requirement Statement,Label\n" + "\n".join(lines) + "\n")
+    read = []
+    for size in ("100m", "4k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            df = read_items_csv(spark, str(tmp_path / "items.csv"), "x", multi_line=False)
+            read.append(rows(df.select("item_id", "text", "gold")))
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert read[0] == read[1] and len({r[0] for r in read[0]}) == 5000
+
+
+def test_csv_id_column(spark, tmp_path):
+    (tmp_path / "items.csv").write_text("Requirement Statement,Label,key\nx,A,7\ny,B,9\n")
+    got = read_items_csv(spark, str(tmp_path / "items.csv"), "x", id_col="key")
+    assert rows(got) == [("x", 7, "x", "A"), ("x", 9, "y", "B")]
 
 
 def test_sample_size_is_exact_and_order_free(spark):

@@ -1,7 +1,10 @@
 """Whole experiment, resume, streaming."""
 
+import hashlib
 import os
+from functools import partial
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -12,9 +15,9 @@ from kappaloom.operators.reports import Layout
 from kappaloom.operators.rules import Rule
 from kappaloom.plans.experiment import Experiment, run_experiment
 from kappaloom.plans.predictors import LexiconPredictor
-from kappaloom.plans.queries import SYSTEMS, documents
+from kappaloom.plans.queries import DOC_DATASETS, SYSTEMS, documents, templates_of
 from kappaloom.sources import results
-from kappaloom.streaming.incremental import annotate_stream, stream_items
+from kappaloom.streaming.incremental import annotate_stream, annotation_chain, stream_items
 
 
 class FailsOnLongPrompts(LexiconPredictor):
@@ -27,7 +30,7 @@ class FailsOnLongPrompts(LexiconPredictor):
 def setup(factory, **options):
     grid = Grid(("north", "south"), ("common",), ("zero_shot", "few_shot"), ("short", "medium"),
                 ("no_context",), n_runs=2)
-    options = {"sample_size": 30, **options}
+    options = {"sample_size": 30, "steps": 2, **options}
     return Experiment(
         grid, SYSTEMS, {"common": Backend(factory)},
         layout=Layout(("north", "south"), ("common",)), **options)
@@ -70,28 +73,90 @@ def test_no_skip_replaces_earlier_runs(spark, sf_dir, tmp_path):
 
 
 def test_resume_keys(spark):
-    wanted = spark.createDataFrame(
-        [(r, i) for r in ("r0", "r1", "r2") for i in range(3)], "run_id string, item_id long")
+    items = spark.createDataFrame([("d", i) for i in range(3)], "dataset string, item_id long")
+    runs = spark.createDataFrame([("d", r) for r in range(3)], "dataset string, run_no int")
     saved = spark.createDataFrame(
-        [("r0", 0, None), ("r0", 1, None), ("r0", 2, None), ("r1", 0, None), ("r1", 1, "x"),
-         ("r1", 2, None)], "run_id string, item_id long, error string")
-    left = rows(resume.remaining_items(wanted, saved))
-    assert left == [("r1", 1), ("r2", 0), ("r2", 1), ("r2", 2)]
-    assert rows(resume.remaining_items(wanted, saved, keep_failed=True)) == left[1:]
-    assert rows(resume.finished_runs(saved, wanted)) == [("r0",)]
-    assert rows(resume.finished_runs(saved, wanted, keep_failed=True)) == [("r0",), ("r1",)]
+        [("d", 0, 0, None), ("d", 1, 0, None), ("d", 2, 0, None), ("d", 0, 1, None), ("d", 1, 1, "x"),
+         ("d", 2, 1, None)], "dataset string, item_id long, run_no int, error string")
+    left = resume.open_runs(items, runs, saved)
+    assert rows(resume.open_rows(left)) == [("d", 0, 2), ("d", 1, 1), ("d", 1, 2), ("d", 2, 2)]
+    assert rows(resume.unfinished_runs(left)) == [(1,), (2,)]
+    kept = resume.open_runs(items, runs, saved, keep_failed=True)
+    assert rows(resume.open_rows(kept)) == [("d", 0, 2), ("d", 1, 2), ("d", 2, 2)]
+    assert resume.open_runs(items, runs.where("run_no = 0"), saved).count() == 0
+
+
+class Logged(LexiconPredictor):
+    """Writes down every prompt it is asked; dies where a file says so."""
+
+    def __init__(self, rule, folder):
+        super().__init__(rule)
+        self.folder = folder
+
+    def predict_batch(self, prompts, run_idxs):
+        limit = os.path.join(self.folder, "limit")
+        log = os.path.join(self.folder, "log")
+        if os.path.exists(limit) and os.path.exists(log) and sum(1 for _ in open(log)) > int(open(limit).read()):
+            raise SystemExit("down")
+        answers = super().predict_batch(prompts, run_idxs)
+        with open(log, "a") as f:
+            f.writelines(hashlib.md5(f"{p}{r}".encode()).hexdigest() + "\n" for p, r in zip(prompts, run_idxs))
+        return answers
+
+
+def test_kill_and_resume_repeats_no_finished_request(spark, sf_dir, tmp_path):
+    items = documents(spark, sf_dir).where("dataset = 'north'").withColumn("text", F.concat(
+        F.lit("the "), F.when(F.col("item_id") % 4 == 0, F.lit("der")).otherwise(F.substring("text", 1, 40))))
+    folder = tmp_path / "calls"
+    folder.mkdir()
+    job = lambda: Experiment(
+        Grid(("north",), ("common",), ("zero_shot",), ("short", "medium"), n_runs=1), SYSTEMS,
+        {"common": Backend.batched(partial(Logged, Rule(0, 4), str(folder)), batch_size=4)}, steps=4)
+    out = str(tmp_path / "out")
+    (folder / "limit").write_text("90")
+    with pytest.raises(Exception):
+        run_experiment(items, job(), out)
+    log = folder / "log"
+    saved = results.read_predictions(spark, f"{out}/predictions").count()
+    assert saved > 0
+    killed_after = len(log.read_text().split())
+    (folder / "limit").unlink()
+    run_experiment(items, job(), out)
+    calls = log.read_text().split()
+    stored = results.read_predictions(spark, f"{out}/predictions")
+    # Short prompts do not hold the context: 4 of 6 conditions are different questions.
+    texts = stored.select("item_id").join(items, "item_id").select("text").distinct().count()
+    assert len(set(calls)) == 4 * texts and stored.count() == 6 * stored.select("item_id").distinct().count()
+    # Only the portion that was under way when the service died is asked again.
+    assert len(calls) - len(set(calls)) <= killed_after - saved // 6 and len(calls) < 4 * texts + killed_after
+
+
+def test_readme_example_reports_its_own_names(spark, tmp_path):
+    items = spark.createDataFrame(
+        [("deli", i, f"the {w} of number {i}", w) for i, w in enumerate(["English", "French"] * 6)],
+        "dataset string, item_id long, text string, gold string")
+    job = Experiment(Grid(("deli",), ("mine",), n_runs=1), {"deli": ("Deli", "Sells food.", "Sells bread.")},
+                     {"mine": Backend.batched(lambda: LexiconPredictor(Rule(0, 4)), batch_size=8)}, steps=2)
+    metrics = run_experiment(items, job, str(tmp_path / "out"))
+    assert metrics.count() == 27
+    from kappaloom.operators.reports import REPORTS
+    assert set(os.listdir(tmp_path / "out" / "tables")) == set(REPORTS)
+    for name in REPORTS:
+        report = spark.read.option("header", True).csv(str(tmp_path / "out" / "tables" / name))
+        assert "deli" in str(report.collect()) and "mine" in str([report.columns, report.collect()]), name
+    audit = spark.read.json(str(tmp_path / "out" / "alignment")).collect()
+    assert [(r["status"], r["items"]) for r in audit] == [("matched", 8)]
 
 
 def test_stream_equals_batch_and_never_repeats(spark, sf_dir, tmp_path):
     inbox, out, check = (str(tmp_path / n) for n in ("in", "out", "check"))
     docs = documents(spark, sf_dir)
-
-    def label(items):
-        return rules.predict_one(items, Rule(0, 4), ["dataset", "item_id"])
-
+    templates = templates_of(spark, docs, Grid(DOC_DATASETS, ("common",), ("one_shot",), ("long",), n_runs=2))
+    chain = annotation_chain(
+        templates, {"common": Backend.batched(lambda: LexiconPredictor(Rule(0, 4)), batch_size=16)},
+        {d: rules.LABELS for d in DOC_DATASETS})
     for half in (0, 1):
         docs.where(F.col("item_id") % 2 == half).write.mode("append").parquet(inbox)
-        annotate_stream(stream_items(spark, inbox, files_per_batch=1), label, out, check)
-    annotate_stream(stream_items(spark, inbox), label, out, check)
-    got = spark.read.schema("dataset string, item_id long, pred string").parquet(out)
-    assert rows(got) == rows(label(docs))
+        annotate_stream(stream_items(spark, inbox, files_per_batch=2), chain, out, check)
+    annotate_stream(stream_items(spark, inbox), chain, out, check)
+    assert rows(spark.read.parquet(out)) == rows(chain(docs))

@@ -46,24 +46,33 @@ def test_27_conditions_21_prompts(spark, items):
 
 
 def test_prompt_structure(spark, items):
-    _, prompts = make_prompts(spark, items, 1, 3)
-    by_key = {r["item_id"]: r["prompts"] for r in prompts_by_condition(prompts).collect()}
+    templates, prompts = make_prompts(spark, items, 1, 3)
+    by_key = {r["item_id"]: r["prompts"] for r in prompts_by_condition(items, templates).collect()}
+    assert {(i, k): p for i, m in by_key.items() for k, p in m.items()} == {
+        (r["item_id"], "|".join((r["shot_type"], r["length"], r["context_level"]))): r["prompt"]
+        for r in prompts.collect()}
     one = by_key[1]
     assert len(one) == 27
-    assert all('Text: "red apple"' in p for p in one.values())
+    assert all("Passage: «red apple»" in p for p in one.values())
     assert "rye loaf" not in one["zero_shot|long|full_context"]
-    assert '  "rye loaf" → Bread\n\nText:' in one["one_shot|short|no_context"]
+    assert "[Bread] rye loaf\n\nPassage:" in one["one_shot|short|no_context"]
     few = one["few_shot|long|full_context"]
-    assert "Labels: Bread, Cheese, Fruit\n" in few
-    assert '  Example 2:\n    Text: "what is\nbrie?"\n    Label: Cheese\n\n  Example 3:' in few
-    assert "Sells bread\nand cheese." in few and "4. Which listed label" in few
-    assert "4. Which" not in one["zero_shot|long|full_context"]
+    assert "## Folders\nBread, Cheese, Fruit\n" in few
+    assert "2) folder Cheese\nwhat is\nbrie?\n\n3) folder" in few
+    assert "Sells bread\nand cheese." in few and "filed passages" in few
+    assert "filed passages" not in one["zero_shot|long|full_context"]
     assert "Sells food." in one["zero_shot|medium|some_context"]
-    assert "About the collection" not in one["zero_shot|medium|no_context"]
+    assert "Background" not in one["zero_shot|medium|no_context"]
     assert one["few_shot|short|no_context"] == one["few_shot|short|full_context"]
     assert "{system}" not in "".join(one.values())
 
 
+def test_all_prompts_of_an_item_move_no_prompt(spark, items):
+    templates, _ = make_prompts(spark, items, 1, 3)
+    text = prompts_by_condition(items, templates)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in text and "Aggregate" not in text
+
+
 def test_unknown_values_are_errors():
     with pytest.raises(ValueError):
         Grid(("d",), ("m",), shot_types=("two_shot",))

@@ -1,5 +1,7 @@
 """Every registered query against its SQL, and the shape of the plans that matter."""
 
+import re
+
 import pytest
 from oracle import connect, differences
 
@@ -38,9 +40,14 @@ def test_grid_annotation_shuffles_nothing(spark, sf_dir):
     assert "CartesianProduct" not in text and "NestedLoop" not in text
 
 
-def test_pool_reads_keys_only_and_limits_before_the_shuffle(spark, sf_dir):
-    text = plan(q.sampling.stratified_pool(q.documents(spark, sf_dir), 2))
-    assert "WindowGroupLimit" in text and "text" not in text.split("ReadSchema")[1]
+@pytest.mark.parametrize("n", [2, 1000, 1001])
+def test_pool_reads_keys_only_and_ranks_by_bucket(spark, sf_dir, n):
+    pool = q.sampling.stratified_pool(q.documents(spark, sf_dir), n)
+    text = plan(pool)
+    assert pool.columns == ["dataset", "item_id", "label", "rank_in_label"]
+    windows = re.findall(r"windowspecdefinition\(([^)]*)", text)
+    assert windows and all("_bucket" in w for w in windows)
+    assert "text" not in text.split("ReadSchema")[1].split("\n")[0]
 
 
 def test_test_split_moves_no_text(spark, sf_dir):

@@ -34,39 +34,39 @@ def table(spark):
 
 
 def test_dense_ordered_rounded(spark):
-    got = reports.kappa_by_shot(table(spark))
-    assert got.columns == ["dataset", "shot_type", "LLaMA-2", "Mistral", "GPT-4"]
+    got = reports.kappa_by_shot(table(spark), reports.PUBLISHED)
+    assert got.columns == ["dataset", "shot_type", "LLaMA-2", "Mistral", "GPT-4", "other"]
     assert plain(got) == [
-        ("Library Management", "Zero-shot", None, None, None),
-        ("Library Management", "One-shot", None, None, None),
-        ("Library Management", "Few-shot", None, None, None),
-        ("Smart Home", "Zero-shot", None, None, 0.062),
-        ("Smart Home", "One-shot", None, None, None),
-        ("Smart Home", "Few-shot", None, 0.123, None)]
+        ("Library Management", "Zero-shot", None, None, None, None),
+        ("Library Management", "One-shot", None, None, None, None),
+        ("Library Management", "Few-shot", None, None, None, None),
+        ("Smart Home", "Zero-shot", None, None, 0.062, None),
+        ("Smart Home", "One-shot", None, None, None, None),
+        ("Smart Home", "Few-shot", None, 0.123, None, 0.99)]
 
 
 def test_only_measured_pairs_by_length(spark):
-    assert plain(reports.kappa_by_length(table(spark))) == [
+    assert plain(reports.kappa_by_length(table(spark), reports.PUBLISHED)) == [
         ("smart", "gpt4", None, None, 0.062), ("smart", "mistral", None, None, 0.123),
         ("smart", "other", None, None, 0.99)]
 
 
 def test_context_and_consistency(spark):
-    by_context = plain(reports.kappa_by_context(table(spark)))
+    by_context = plain(reports.kappa_by_context(table(spark), reports.PUBLISHED))
     assert by_context[3:] == [
-        ("Smart Home", "No Context", None, None, None),
-        ("Smart Home", "Some Context", None, None, None),
-        ("Smart Home", "Full Context", None, 0.123, 0.062)]
-    sd = plain(reports.consistency_report(table(spark)))
-    assert sd[3:] == [("Smart Home", "LLaMA-2", None, None), ("Smart Home", "Mistral", 0.012, 0.75),
-                      ("Smart Home", "GPT-4", None, None)]
+        ("Smart Home", "No Context", None, None, None, None),
+        ("Smart Home", "Some Context", None, None, None, None),
+        ("Smart Home", "Full Context", None, 0.123, 0.062, 0.99)]
+    sd = plain(reports.consistency_report(table(spark), reports.PUBLISHED))
+    assert sd[4:] == [("Smart Home", "LLaMA-2", None, None), ("Smart Home", "Mistral", 0.012, 0.75),
+                      ("Smart Home", "GPT-4", None, None), ("Smart Home", "other", 0.5, 0.5)]
 
 
 def test_full_metrics_mix_and_best(spark):
-    mixed = {r[:3]: r[3:] for r in plain(reports.full_metrics(table(spark)))}
-    assert len(mixed) == 18
+    mixed = {r[:3]: r[3:] for r in plain(reports.full_metrics(table(spark), reports.PUBLISHED))}
+    assert len(mixed) == 24
     assert mixed[("Smart Home", "Zero-shot", "GPT-4")] == (0.9, 0.95, 0.1, 0.1)
-    best = {r[:3]: r[3:] for r in plain(reports.full_metrics_best_condition(table(spark)))}
+    best = {r[:3]: r[3:] for r in plain(reports.full_metrics_best_condition(table(spark), reports.PUBLISHED))}
     assert best[("Smart Home", "Zero-shot", "GPT-4")] == (0.9, 0.1, 0.1, 0.1)
 
 
@@ -75,13 +75,15 @@ def test_best_conditions_break_ties_by_id(spark):
         spark, ("smart", "gpt4", "one_shot", "long", "no_context", 0.7),
         ("smart", "gpt4", "few_shot", "short", "no_context", 0.7),
         ("lms", "gpt4", "few_shot", "short", "no_context", NAN))
-    assert plain(reports.best_conditions(rows_)) == [
+    assert plain(reports.best_conditions(rows_, reports.PUBLISHED)) == [
         ("Smart Home", "GPT-4", "few_shot", "short", "no_context", 0.7)]
-    assert plain(reports.shot_by_length(table(spark))) == [
+    assert plain(reports.shot_by_length(table(spark), reports.PUBLISHED)) == [
         ("Smart Home", "Mistral", "Few-shot", None, None, 0.123),
-        ("Smart Home", "GPT-4", "Zero-shot", None, None, 0.062)]
-    assert [r[:3] for r in plain(reports.shot_comparison(table(spark)))] == [
-        ("Smart Home", "Mistral", "Few-shot"), ("Smart Home", "GPT-4", "Zero-shot")]
+        ("Smart Home", "GPT-4", "Zero-shot", None, None, 0.062),
+        ("Smart Home", "other", "Few-shot", None, None, 0.99)]
+    assert [r[:3] for r in plain(reports.shot_comparison(table(spark), reports.PUBLISHED))] == [
+        ("Smart Home", "Mistral", "Few-shot"), ("Smart Home", "GPT-4", "Zero-shot"),
+        ("Smart Home", "other", "Few-shot")]
 
 
 def test_summary_files(spark, tmp_path):
@@ -92,7 +94,7 @@ def test_summary_files(spark, tmp_path):
     (tmp_path / "short.json").write_text('{"exp_id": "a__b__c", "best_metrics": {"kappa": 1}}')
     (tmp_path / "cut.json").write_text('{"exp_id": "a__b__c__d__e", "best_')
     (tmp_path / "notes.txt").write_text("x")
-    got = rows(results.read_metrics(spark, str(tmp_path)))
+    got = rows(results.read_metrics(spark, str(tmp_path), multi_line=True))
     assert got == [
         ("lms", "m", "s", "l", "c", 0.25, *[None] * 7),
         ("smart", "gpt4", "few_shot", "long", "full_context", 0.5, 0.75, *[None] * 6)]
@@ -102,7 +104,7 @@ def test_published_record_format(spark, tmp_path):
     (tmp_path / "r.json").write_text(json.dumps({
         "run_id": "a__b__c__d__e__run0", "test_labels": ["A", "B", "C"],
         "raw_outputs": ["a", None, "c"], "predictions": ["A", None], "elapsed_seconds": 1.5}, indent=1))
-    got = results.read_run_records(spark, str(tmp_path)).orderBy("pos")
+    got = results.read_run_records(spark, str(tmp_path), multi_line=True).orderBy("pos")
     assert [tuple(r) for r in got.select("pos", "item_id", "gold", "raw", "pred").collect()] == [
         (0, 0, "A", "a", "A"), (1, 1, "B", None, None), (2, 2, "C", "c", None)]
 
@@ -120,3 +122,18 @@ def test_long_runs_become_several_records(spark, tmp_path):
     results.write_records(records, path)
     back = results.read_run_records(spark, path).select("run_id", "item_id", "gold", "raw", "pred")
     assert rows(back) == rows(preds)
+
+
+def test_no_measured_row_is_lost(spark):
+    rows_ = metrics(spark, ("deli", "mine", "few_shot", "long", "full_context", 0.5),
+                    ("smart", "gpt4", "few_shot", "long", "full_context", 0.25))
+    for name, report in reports.REPORTS.items():
+        for layout in (reports.Layout(), reports.PUBLISHED, reports.Layout(datasets=("smart",))):
+            got = report(rows_, layout)
+            text = str([got.columns, *map(tuple, got.collect())])
+            assert "deli" in text and "mine" in text, name
+
+
+def test_unreadable_summaries_are_counted(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"exp_id": "a__b__c__d__e", "best_run_idx": 0}\n{"exp_id": "a__b\n')
+    assert [(r.file, r.records, r.named) for r in results.unreadable_summaries(spark, str(tmp_path)).collect()] == [("a.json", 1, 0)]
