@@ -172,7 +172,8 @@ def score(gold: DataFrame, setup: Experiment, out: str) -> DataFrame:
         "overwrite").json(f"{out}/alignment")
     summary = materialize(condition_summary(align(gold, answers), CONDITION), "summary")
     write_summaries(summary, f"{out}/metrics")
-    metrics = metrics_table(summary)
+    # One row for each condition: a report is one small task, without any exchange.
+    metrics = metrics_table(summary).coalesce(1)
     layout = setup.report_layout().covering(metrics)
     for name, report in REPORTS.items():
         write_report_csv(report(metrics, layout), f"{out}/tables/{name}")
