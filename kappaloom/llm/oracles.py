@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from kappaloom.llm import secret_scan as secrets
+
 OP1 = """
 WITH vec AS (
   SELECT vec_id, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
@@ -38,6 +40,98 @@ SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed,
 FROM kept
 """
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _hits(kind: int, pattern: str) -> str:
+    """Places of all matches: what lies between them and they themselves add up."""
+    return f"""SELECT rid, {kind} AS kind, token, length(token) AS n,
+      sum(length(gap) + length(token)) OVER (PARTITION BY rid ORDER BY i) AS "end"
+    FROM (SELECT rid, unnest(pieces[:len(tokens)]) AS gap, unnest(tokens) AS token, unnest(range(len(tokens))) AS i
+      FROM (SELECT rid, string_split_regex(t, {_quoted(pattern)}) AS pieces,
+              regexp_extract_all(t, {_quoted(pattern)}, 0) AS tokens FROM doc))"""
+
+
+def _tail(z: str) -> str:
+    x = f"least(greatest({z}, -12.0::DOUBLE), 12.0::DOUBLE)"
+    return f"(1 / (1 + exp(1.5976::DOUBLE * {x} + 0.07056::DOUBLE * {x} * {x} * {x})))"
+
+
+_ALPHABET = " ".join(f"WHEN regexp_matches(token, {_quoted(p)}) THEN {_quoted(a)}" for p, a, _ in secrets.ENCODINGS)
+_MASS = " ".join(f"WHEN regexp_matches(token, {_quoted(p)}) THEN {m}::DOUBLE" for p, _, m in secrets.ENCODINGS)
+_PAIR, _TRIPLE = f"{secrets.TEXT_PAIR}::DOUBLE", f"{secrets.TEXT_TRIPLE}::DOUBLE"
+
+OP3 = rf"""
+WITH doc AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents
+), hit AS (
+  {_hits(0, secrets.ASSIGN)}
+  UNION ALL {_hits(1, secrets.ACCESS)}
+  UNION ALL {_hits(2, secrets.HEX)}
+  UNION ALL {_hits(3, "[A-Za-z0-9+/_-]{20,}")}
+), span AS (
+  SELECT rid, kind, ("end" - n)::BIGINT AS start, "end"::BIGINT AS "end", token, n FROM hit
+  WHERE CASE kind WHEN 0 THEN length(regexp_extract(token, {_quoted(secrets.ASSIGN)}, 2)) >= {secrets.ASSIGN_LEAST}
+    WHEN 3 THEN regexp_matches(token, '[0-9]') ELSE true END
+), run AS (
+  SELECT * FROM (SELECT *,
+    max("end") FILTER (kind < 3) OVER (PARTITION BY rid ORDER BY start, kind ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
+    min(start) FILTER (kind < 3) OVER (PARTITION BY rid ORDER BY start, kind ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after
+    FROM span)
+  WHERE kind = 3 AND coalesce(before <= start, true) AND coalesce(after >= "end", true) AND regexp_matches(token, '[A-Za-z]')
+), symbols AS (
+  SELECT *, length(alphabet)::DOUBLE AS a, [instr(alphabet, c) - 1 FOR c IN string_split(token, '')] AS v
+  FROM (SELECT *, CASE {_ALPHABET} END AS alphabet, CASE {_MASS} END AS mass FROM run)
+), sums AS (
+  SELECT *, [CASE WHEN 2 * x >= a THEN 1 ELSE 0 END FOR x IN v] AS high,
+    list_sum([len([y FOR y IN v IF y = d]) ** 2 FOR d IN list_distinct(v)]) AS squares,
+    list_sum(v) AS s1, list_sum([x * x FOR x IN v]) AS s2,
+    list_sum([v[i] * v[i % n + 1] FOR i IN range(1, n + 1)]) AS lag
+  FROM symbols
+), moments AS (
+  SELECT *, list_sum(high) AS n1, list_sum([abs(high[i] - high[i + 1]) FOR i IN range(1, n)]) AS changes,
+    2.0::DOUBLE * n1 * (n - n1) / n + 1 AS mu, (mu - 1) * (mu - 2) / (n - 1) AS spread, n * s2 - s1 * s1 AS den,
+    n * (n - 1) / 2.0::DOUBLE AS pairs
+  FROM sums
+), scores AS (
+  SELECT *, (a / n * squares - n - (a - 1)) / sqrt(2 * (a - 1) * (n - 1) / n) AS z_chi,
+    CASE WHEN spread > 0 THEN abs(changes + 1 - mu) / sqrt(spread) ELSE sqrt(n) END AS z_runs,
+    CASE WHEN den > 0 THEN abs((n * lag - s1 * s1) / den + 1.0::DOUBLE / (n - 1)) * (n - 1) * sqrt(n - 2) / n ELSE sqrt(n) END AS z_serial,
+    (squares - n - 2 * pairs * {_PAIR}) / (2 * sqrt(pairs * {_PAIR} * (1 - {_PAIR}) + 2 * pairs * (n - 2) * ({_TRIPLE} - {_PAIR} * {_PAIR}))) AS z_text
+  FROM moments
+), levels AS (
+  SELECT *, least(1.0::DOUBLE, 3 * least({_tail("z_chi")}, 2 * {_tail("z_runs")}, 2 * {_tail("z_serial")})) AS p_random,
+    {_tail("-z_text")} * pow(mass, n) AS p_text
+  FROM scores
+), one AS (
+  SELECT DISTINCT token, n, p_text FROM levels
+), size AS (
+  SELECT count(*) AS m, sum(n) AS len FROM one
+), binned AS (
+  SELECT token, CASE WHEN w > 0 THEN least(greatest(floor(-log2(w) * {secrets.PER_POWER}), 0), {secrets.BINS - 1}) ELSE {secrets.BINS - 1} END AS bin
+  FROM (SELECT token, p_text * len::DOUBLE / (n * m::DOUBLE) AS w FROM one CROSS JOIN size)
+), cut AS (
+  SELECT min(b) AS b FROM (
+    SELECT b, count(*) AS found FROM range({secrets.BINS}) r(b) JOIN binned ON bin >= b GROUP BY b) CROSS JOIN size
+  WHERE m * pow(2.0::DOUBLE, -b / {secrets.PER_POWER}.0::DOUBLE) <= {secrets.FALSE_DISCOVERIES}::DOUBLE * found
+), found AS (
+  SELECT rid, kind, start, "end" FROM span WHERE kind < 3
+  UNION ALL
+  SELECT rid, kind, start, "end" FROM levels JOIN binned USING (token) JOIN cut ON bin >= b
+  WHERE p_random >= {secrets.RANDOM_LEVEL}::DOUBLE
+), said AS (
+  SELECT *, {list(secrets.KINDS)}[kind + 1] || ':' || start || ':' || "end" AS s FROM found
+), listed AS (
+  SELECT rid, {", ".join(f"count(*) FILTER (kind = {k}) AS n_{name}" for k, name in enumerate(secrets.KINDS))},
+    string_agg(s, ',' ORDER BY start, kind) FILTER (kind < 3) AS base, string_agg(s, ',' ORDER BY start, kind) AS spans
+  FROM said GROUP BY rid
+)
+SELECT doc_id, {", ".join(f"coalesce(n_{name}, 0) AS n_{name}" for name in secrets.KINDS)},
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM doc LEFT JOIN listed USING (rid)
+"""
+
 OP4 = r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -154,6 +248,7 @@ SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken, copi
 ORACLES: dict[str, str] = {
     "op1_topk_search": OP1,
     "op2_substring_dedup": OP2,
+    "op3_secret_scan": OP3,
     "op4_chat_format": OP4,
     "op5_decontaminate": OP5,
     "op7_mix_sources": OP7,

@@ -91,3 +91,25 @@ def test_main_path_is_native(docs_of):
 @pytest.mark.parametrize("pattern,alphabet,share", ss.ENCODINGS)
 def test_alphabets_have_distinct_symbols(pattern, alphabet, share):
     assert len(set(alphabet)) == len(alphabet) and re.search(pattern, alphabet)
+
+
+def test_battery_and_discoveries_against_sql(docs_of):
+    import duckdb
+    import pandas as pd
+    from oracle import differences
+
+    from kappaloom.llm.oracles import ORACLES
+
+    rnd = random.Random(9)
+    alphabets = (string.ascii_letters + string.digits, string.digits + "abcdef", string.ascii_uppercase + "234567",
+                 string.ascii_lowercase + string.digits, string.ascii_letters + string.digits + "+/-_")
+    texts = [t for t in TEXTS]
+    for _ in range(150):
+        al = rnd.choice(alphabets)
+        texts.append("é " + "".join(rnd.choice(al) for _ in range(rnd.randint(15, 70))) + rnd.choice([" end", "", ", token=abcdef"]))
+        texts.append("-".join(rnd.choice("release notes for version internal settings".split()) for _ in range(5)) + "7")
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame({"doc_id": range(len(texts)), "text": texts}))
+    report = ss.secret_report(docs_of(list(enumerate(texts))))
+    assert differences(report, con, ORACLES["op3_secret_scan"]) == []
+    assert report.where("n_random > 0").count() > 30
