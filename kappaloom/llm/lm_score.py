@@ -19,7 +19,7 @@ from kappaloom.llm.arrow_text import portions, row_sums, words
 from kappaloom.llm.lattice import WordLattices, trie
 from kappaloom.session import materialize
 
-PORTION_BYTES = 8 << 20
+PORTION_BYTES = 14 << 20
 LATTICE_WORDS = 1 << 14
 #: expected piece counts are summed as whole numbers of this share, in any order the same
 GRAIN = 1 << 16
