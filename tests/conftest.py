@@ -38,8 +38,3 @@ def sf_dir():
 @pytest.fixture(scope="session")
 def sf001_dir():
     return "/root/testdata/sf0.01"
-
-
-def rows(df):
-    """Sorted plain tuples."""
-    return sorted((tuple(r) for r in df.collect()), key=lambda r: tuple(map(repr, r)))

@@ -1,7 +1,7 @@
 """Predictors, retries, deduplication, joins under skew."""
 
 import pytest
-from conftest import rows
+from plain_rows import rows
 from pyspark.sql import functions as F
 
 from kappaloom.fixed_values import INSTRUCTION_FORMATS

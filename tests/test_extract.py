@@ -4,7 +4,7 @@ import random
 from difflib import SequenceMatcher
 
 import pytest
-from conftest import rows
+from plain_rows import rows
 from pyspark.sql import functions as F
 
 from kappaloom.functions.fuzzy import best_label

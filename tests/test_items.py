@@ -3,7 +3,7 @@
 import hashlib
 
 import pytest
-from conftest import rows
+from plain_rows import rows
 from pyspark.sql import functions as F
 
 from kappaloom.operators import sampling

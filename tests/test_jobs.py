@@ -5,7 +5,7 @@ import os
 from functools import partial
 
 import pytest
-from conftest import rows
+from plain_rows import rows
 from pyspark.sql import functions as F
 
 from kappaloom.operators import resume, rules

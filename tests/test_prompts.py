@@ -1,7 +1,7 @@
 """Grid, ids, templates, prompts."""
 
 import pytest
-from conftest import rows
+from plain_rows import rows
 from pyspark.sql import functions as F
 
 from kappaloom.functions.ids import parse_experiment_ids

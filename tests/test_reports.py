@@ -2,7 +2,7 @@
 
 import json
 
-from conftest import rows
+from plain_rows import rows
 from pyspark.sql import functions as F
 
 from kappaloom.operators import reports

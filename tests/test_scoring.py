@@ -1,7 +1,7 @@
 """Metrics, consistency, rule annotator goldens."""
 
 import pytest
-from conftest import rows
+from plain_rows import rows
 from pyspark.sql import functions as F
 
 from kappaloom.operators import consistency, rules, scoring
