@@ -245,6 +245,22 @@ WITH docs AS (
 SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken, copies::BIGINT AS copies FROM mixed
 """
 
+OP11 = r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), line AS (
+  SELECT r, doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM doc
+), keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM line
+), common AS (
+  SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10
+)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(c.key) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (c.key IS NULL), '')) AS kept_sha256
+FROM keyed LEFT JOIN common c USING (key) GROUP BY r
+"""
+
 ORACLES: dict[str, str] = {
     "op1_topk_search": OP1,
     "op2_substring_dedup": OP2,
@@ -252,4 +268,5 @@ ORACLES: dict[str, str] = {
     "op4_chat_format": OP4,
     "op5_decontaminate": OP5,
     "op7_mix_sources": OP7,
+    "op11_line_dedup": OP11,
 }

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from kappaloom.llm import language_id
 from kappaloom.llm.chat_format import chat_digests, format_chats
 from kappaloom.llm.decontaminate import benchmark_blocks, benchmark_leaks
+from kappaloom.llm.line_dedup import drop_common_lines
 from kappaloom.llm.lm_score import lm_scores
 from kappaloom.llm.mixing import mix_sources
 from kappaloom.llm.secret_scan import secret_report
@@ -81,6 +82,12 @@ def op10_simhash_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return simhash_groups(table(spark, sf, "documents"), width=4, radius=4)
 
 
+def op11_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    kept = drop_common_lines(docs, min_docs=10, min_chars=1)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_topk_search": op1_topk_search,
     "op2_substring_dedup": op2_substring_dedup,
@@ -92,4 +99,5 @@ QUERIES = {
     "op8_lm_score": op8_lm_score,
     "op9_token_counts": op9_token_counts,
     "op10_simhash_dedup": op10_simhash_dedup,
+    "op11_line_dedup": op11_line_dedup,
 }
