@@ -261,6 +261,49 @@ SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(c.key) AS n_dropp
 FROM keyed LEFT JOIN common c USING (key) GROUP BY r
 """
 
+_CRC_STEP = "CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END"
+OP12 = f"""
+WITH RECURSIVE crc(i, k, v) AS (
+  SELECT i, 0, i FROM range(256) t(i) UNION ALL SELECT i, k + 1, {_CRC_STEP} FROM crc WHERE k < 8
+), crc_table AS (
+  SELECT list(v ORDER BY i) AS t FROM crc WHERE k = 8
+), turn AS (
+  SELECT conv_id, {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS t, turn
+  FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT conv_id, list(t ORDER BY turn NULLS FIRST, t) AS ts FROM turn GROUP BY conv_id
+), planned AS (
+  SELECT o.conv_id, o.ts, b.ts AS lent, xor(list_reduce(
+      list_prepend(4294967295::BIGINT, [ord(c)::BIGINT FOR c IN string_split(o.conv_id::VARCHAR, '')]),
+      lambda x, y: xor(x >> 8, crc_table.t[xor(x & 255, y) + 1])), 4294967295) % 6 AS h
+  FROM own o CROSS JOIN crc_table LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 100
+), conv AS (
+  SELECT conv_id, list_concat(coalesce(lent[:h], []), ts[h + 1:]) AS ts FROM planned
+), member AS (
+  SELECT conv_id, len(ts) AS n, unnest(range(len(ts) + 1)) AS depth, ts FROM conv
+), placed AS (
+  SELECT conv_id, n, depth, ts[:depth] AS path, ts[:depth - 1] AS above FROM member
+), node AS (
+  SELECT depth, path, any_value(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256
+  FROM placed GROUP BY depth, path
+), child AS (
+  SELECT depth - 1 AS depth, above AS path, count(*) AS n FROM node WHERE depth > 0 GROUP BY ALL
+), full_node AS (
+  SELECT n.*, coalesce(c.n, 0) AS n_children FROM node n LEFT JOIN child c USING (depth, path)
+), up AS (
+  SELECT unnest(range(depth + 1)) AS d, path, n_children, n_convs,
+    CASE WHEN depth > 0 THEN (n_convs - 1) * length(path[depth].text) ELSE 0 END AS saved FROM full_node
+), subtree AS (
+  SELECT d AS depth, path[:d] AS path, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved
+  FROM up GROUP BY ALL
+)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, s.n_leaves,
+  s.saved::BIGINT AS saved_tokens, n.ends_sha256
+FROM full_node n JOIN subtree s USING (depth, path)
+LEFT JOIN node p ON n.depth > 0 AND p.depth = n.depth - 1 AND p.path = n.above
+"""
+
 ORACLES: dict[str, str] = {
     "op1_topk_search": OP1,
     "op2_substring_dedup": OP2,
@@ -269,4 +312,5 @@ ORACLES: dict[str, str] = {
     "op5_decontaminate": OP5,
     "op7_mix_sources": OP7,
     "op11_line_dedup": OP11,
+    "op12_prefix_trie": OP12,
 }

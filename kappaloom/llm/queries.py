@@ -10,6 +10,7 @@ from kappaloom.llm.decontaminate import benchmark_blocks, benchmark_leaks
 from kappaloom.llm.line_dedup import drop_common_lines
 from kappaloom.llm.lm_score import lm_scores
 from kappaloom.llm.mixing import mix_sources
+from kappaloom.llm.prefix_trie import conversation_trie
 from kappaloom.llm.secret_scan import secret_report
 from kappaloom.llm.simhash import simhash_groups
 from kappaloom.llm.substring_dedup import deduplicate_substrings
@@ -88,6 +89,10 @@ def op11_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return conversation_trie(table(spark, sf, "conversations"), every=100, below=6)
+
+
 QUERIES = {
     "op1_topk_search": op1_topk_search,
     "op2_substring_dedup": op2_substring_dedup,
@@ -100,4 +105,5 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_simhash_dedup": op10_simhash_dedup,
     "op11_line_dedup": op11_line_dedup,
+    "op12_prefix_trie": op12_prefix_trie,
 }
