@@ -14,10 +14,12 @@ from kappaloom.llm.prefix_trie import conversation_trie
 from kappaloom.llm.secret_scan import secret_report
 from kappaloom.llm.simhash import simhash_groups
 from kappaloom.llm.substring_dedup import deduplicate_substrings
+from kappaloom.llm.token_align import token_alignment
 from kappaloom.llm.topk_search import top_k
 from kappaloom.llm.token_counts import token_counts
 
 PIECE_MODEL = "piece_bpe_32k.model"
+BYTE_MODEL = "byte_bpe_50k.json"
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -93,6 +95,11 @@ def op12_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
     return conversation_trie(table(spark, sf, "conversations"), every=100, below=6)
 
 
+def op13_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    found = token_alignment(table(spark, sf, "documents"), vocabulary(BYTE_MODEL), vocabulary(PIECE_MODEL))
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
 QUERIES = {
     "op1_topk_search": op1_topk_search,
     "op2_substring_dedup": op2_substring_dedup,
@@ -106,4 +113,5 @@ QUERIES = {
     "op10_simhash_dedup": op10_simhash_dedup,
     "op11_line_dedup": op11_line_dedup,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_token_alignment": op13_token_alignment,
 }
