@@ -58,10 +58,11 @@ def common_lines(keys: DataFrame, min_docs: int) -> DataFrame:
     hits = materialize(skew_join(keys, often, "_key", "_n", total, "_text"), "line_hits")
     # Without an id the text names the document; with one it does not matter.
     document = F.struct(F.col("_doc"), F.when(F.col("_doc").isNull(), F.col("_text")))
-    too_few = (
-        hits.select("_key", document.alias("_d")).distinct()
-        .groupBy("_key").agg(F.count("*").alias("_n")).where(F.col("_n") < min_docs))
-    return hits.join(too_few, "_key", "left_anti")
+    enough = (
+        hits.select("_key", document.alias("_d")).groupBy("_key", "_d").agg(F.count("*").alias("_n"))
+        .groupBy("_key").agg(F.count("*").alias("_docs"), F.sum("_n").alias("_n"))
+        .where(F.col("_docs") >= min_docs).drop("_docs"))
+    return skew_join(hits, materialize(enough, "common_lines"), "_key", "_n", total, "_text")
 
 
 def drop_common_lines(
