@@ -36,9 +36,9 @@ _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _STEP_BACK = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
 
-PLACE_SCHEMA = "bucket long, mark long, doc long, sign int, start int, n int, twice boolean"
-SUPER_SCHEMA = "bucket long, packed string, doc long, sign int, start int"
-SPAN_SCHEMA = "doc long, sign int, start int, n int"
+PLACE_SCHEMA = "bucket long, mark long, doc long, sign long, start int, n int, twice boolean"
+SUPER_SCHEMA = "bucket long, packed string, doc long, sign long, start int"
+SPAN_SCHEMA = "doc long, sign long, start int, n int"
 FOUND_SCHEMA = f"{SPAN_SCHEMA}, open boolean, bucket long"
 
 
@@ -153,6 +153,7 @@ def _places(docs: DataFrame, span: int, gram: int) -> DataFrame:
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in portions(batches):
+            part = _one_of_each_text(part)
             found = SuperKmers(part.column("text"), span, gram)
             if not len(found.first):
                 continue
@@ -171,13 +172,25 @@ def _places(docs: DataFrame, span: int, gram: int) -> DataFrame:
     return docs.mapInArrow(split, PLACE_SCHEMA)
 
 
+def _one_of_each_text(part: pa.RecordBatch) -> pa.RecordBatch:
+    """The portion with one row for each (doc, sign): repeats of a row are one place."""
+    doc, sign = part.column("doc").to_numpy(), part.column("sign").to_numpy()
+    order = np.lexsort([sign, doc])
+    again = (doc[order[1:]] == doc[order[:-1]]) & (sign[order[1:]] == sign[order[:-1]])
+    if not again.any():
+        return part
+    return part.take(pa.array(np.sort(order[np.concatenate([[True], ~again])])))
+
+
 def _meet(places: DataFrame) -> DataFrame:
     """(doc, sign, start, n, open, bucket): known repeats, and with ``open`` what needs its words.
 
     The rows of a bucket stream in order of (mark, doc, start): the first of a mark is the
     earliest, and it stays open where its bucket has another mark or it may repeat itself.
+    Rows of repeated texts are one place and lie side by side: one of them goes on.
     """
-    dealt = places.repartition("bucket").sortWithinPartitions("bucket", "mark", "doc", "start")
+    order = ["bucket", "mark", "doc", "start", "sign"]
+    dealt = places.repartition("bucket").sortWithinPartitions(*order)
 
     names = places.columns
 
@@ -187,6 +200,9 @@ def _meet(places: DataFrame) -> DataFrame:
             rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
             if held is not None:
                 rows = {c: np.concatenate([held[c], rows[c]]) for c in rows}
+            fresh = np.ones(len(rows["n"]), bool)
+            fresh[1:] = np.any([rows[c][1:] != rows[c][:-1] for c in (*order, "n")], axis=0)
+            rows = {c: values[fresh] for c, values in rows.items()}
             bucket, mark, n = rows["bucket"], rows["mark"], rows["n"]
             known = n < 0
             live = np.flatnonzero(~known)
@@ -237,11 +253,12 @@ def _packed(texts: DataFrame, found: DataFrame, span: int) -> DataFrame:
     total = per_bucket.agg(F.sum("count")).first()[0] or 0
     hot_rows = per_bucket.where(F.col("count") > max(HOT_ROWS, total // HOT_BUCKETS)).collect() if total else []
     hot = np.unique(np.array([r["bucket"] for r in hot_rows], np.int64))
-    per_text = wanted.groupBy("doc", "sign").agg(F.collect_list(F.struct("start", "n", "bucket")).alias("wanted"))
+    per_text = wanted.groupBy("doc", "sign").agg(F.collect_set(F.struct("start", "n", "bucket")).alias("wanted"))
     joined = texts.join(per_text, ["doc", "sign"]).select("doc", "sign", "text", "wanted")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in portions(batches):
+            part = _one_of_each_text(part)
             flat, counts = words(part.column("text"))
             text, begin, end = _spaced(flat)
             lists = part.column("wanted")
@@ -368,18 +385,20 @@ def deduplicate_substrings(
     a smaller id, or before in the same text; windows are judged on the input. Kept words are
     joined by one space; with ``digest`` their SHA-256 comes instead. A null text has no words.
     Rows with one id are judged as if they had the same place: a window of one makes no window
-    at the same start of another a repeat. A null id comes after all others. Repeated rows give
-    repeated results, an empty table an empty one; other columns are not read.
+    at the same start of another a repeat. A null id comes after all others; rows without id are
+    told apart by 64 bits of their text. Repeated rows are one place, so their number costs no more
+    than a scan, and give repeated results. An empty table gives an empty one; other columns
+    are not read.
     """
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("doc"),
-        F.hash(F.col(text_col), F.length(text_col)).alias("sign"), F.col(text_col).alias("text"))
+        F.xxhash64(F.col(text_col), F.length(text_col)).alias("sign"), F.col(text_col).alias("text"))
     found = materialize(_meet(_places(rows.select("doc", "sign", "text"), span, gram)), "places")
     texts = rows.select("doc", "sign", "text")
     spans = found.where("not open").select("doc", "sign", "start", "n").unionByName(
         repeated_spans(_packed(texts, found, span), span))
-    per_text = spans.groupBy("doc", "sign").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    per_text = spans.groupBy("doc", "sign").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
     marked = rows.join(per_text, ["doc", "sign"], "left").select("doc_id", "text", "spans")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

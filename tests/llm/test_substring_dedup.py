@@ -68,7 +68,7 @@ def _table(packed):
     import pyarrow as pa
     n = len(packed)
     return pa.table({"bucket": [1] * n, "packed": packed, "doc": list(range(n)),
-                     "sign": pa.array([0] * n, pa.int32()), "start": pa.array([0] * n, pa.int32())})
+                     "sign": pa.array([0] * n, pa.int64()), "start": pa.array([0] * n, pa.int32())})
 
 
 def test_bucket_larger_than_a_buffer(spark):
@@ -111,3 +111,25 @@ def test_windows_with_one_hash_are_told_apart(monkeypatch):
     monkeypatch.setattr(sd, "_rolling", lambda values, width: np.zeros(len(values) - width + 1, np.uint64))
     ids = np.array([1, 2, 3, 1, 2, 4, 1, 2, 3])
     assert sd._first_seen(ids, np.array([0, 3, 6]), 3).tolist() == [0, 1, 0]
+
+
+def test_texts_of_equal_32_bit_hash_without_id(docs_of, spark):
+    """Rows without id whose texts share the hash that once told them apart."""
+    from pyspark.sql import functions as F
+
+    texts = spark.range(250_000).select(F.concat(*[
+        F.concat(F.lit("w"), (F.xxhash64("id", F.lit(j)) % 100_000).cast("string"), F.lit(" ")) for j in range(25)]).alias("text"))
+    pair = texts.groupBy(F.hash("text", F.length("text"))).agg(F.collect_list("text").alias("t")).where("size(t) > 1").head()
+    first, second = pair["t"][:2]
+    rows = [(1, first), (None, first), (None, second)]
+    assert run(docs_of, rows, 20) == brute(rows, 20)
+    kept = {t: n for _, t, _, n in run(docs_of, rows, 20) if n == 0}
+    assert second.strip() in kept
+
+
+def test_many_copies_without_id_are_one_place(docs_of):
+    text = " ".join(f"c{i}" for i in range(60))
+    rows = [(None, text)] * 3_000 + [(3, text)] * 500 + [(5, "y " + text)]
+    got = run(docs_of, rows, 20)
+    assert got == brute(rows, 20)
+    assert sum(n == 60 for *_, n in got) == 3_001
