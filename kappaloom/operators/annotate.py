@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import (
+    BooleanType, DoubleType, IntegerType, StringType, StructField, StructType,
+)
 
 from kappaloom.fixed_values import BACKOFF_BASE, BATCH_SIZE, MAX_ATTEMPTS
 from kappaloom.functions.text import instruction, model_answer
@@ -36,7 +39,8 @@ class Backend:
 
     ``factory`` is picklable and runs once per task, on the worker. ``batch_size``
     above 1 uses ``predict_batch(prompts, run_idxs)`` where the predictor has one; a
-    batch that fails for good yields nulls for all its prompts.
+    batch that fails for good yields nulls for all its prompts. Up to ``in_flight`` requests
+    of a task run at a time, each in a thread of its own; the predictor then has to be thread-safe.
     """
 
     factory: Callable[[], Predictor]
@@ -46,36 +50,53 @@ class Backend:
     wrapper: tuple[str, str] = ("", "")
     echo_end: str | None = None
     sleep: Callable[[float], None] = time.sleep
+    in_flight: int = 1
 
     @classmethod
     def batched(cls, factory, batch_size: int = BATCH_SIZE, **options) -> "Backend":
         return cls(factory, batch_size=batch_size, **options)
 
 
-def call_with_retry(call: Callable, backend: Backend):
-    """(result, attempts, error): transient failures wait base**attempt and try again."""
+def outcome(call: Callable, backend: Backend):
+    """(result, attempts, error, transient, seconds): transient failures wait base**attempt and try again."""
+    begun = time.perf_counter()
     for attempt in range(1, backend.max_attempts + 1):
         try:
-            return call(), attempt, None
+            return call(), attempt, None, False, time.perf_counter() - begun
         except Exception as exc:
-            error = f"{type(exc).__name__}: {exc}"
-            if not getattr(exc, "transient", False) or attempt == backend.max_attempts:
-                return None, attempt, error
+            error, transient = f"{type(exc).__name__}: {exc}", getattr(exc, "transient", False)
+            if not transient or attempt == backend.max_attempts:
+                return None, attempt, error, bool(transient), time.perf_counter() - begun
             backend.sleep(backend.backoff_base ** (attempt - 1))
     raise ValueError("max_attempts must be at least 1")
 
 
+def call_with_retry(call: Callable, backend: Backend):
+    """(result, attempts, error) of ``outcome``."""
+    return outcome(call, backend)[:3]
+
+
+def in_order(calls: list[Callable], in_flight: int) -> list:
+    """Results of the calls in their order, at most ``in_flight`` running at a time."""
+    if in_flight <= 1 or len(calls) <= 1:
+        return [call() for call in calls]
+    with ThreadPoolExecutor(max_workers=in_flight) as pool:
+        return list(pool.map(lambda call: call(), calls))
+
+
 def answer_batch(predictor, backend: Backend, prompts: list[str], runs: list[int]):
-    """(raw, attempts, error) per prompt."""
+    """(raw, attempts, error, transient, seconds) per prompt, in order.
+
+    The requests of a batch share its seconds evenly.
+    """
     bulk = getattr(predictor, "predict_batch", None)
     if backend.batch_size <= 1 or bulk is None:
-        return [
-            call_with_retry(lambda p=p, r=r: predictor.predict(p, r), backend)
+        return in_order([
+            lambda p=p, r=r: outcome(lambda: predictor.predict(p, r), backend)
             for p, r in zip(prompts, runs)
-        ]
-    answers = []
-    for at in range(0, len(prompts), backend.batch_size):
-        part = slice(at, at + backend.batch_size)
+        ], backend.in_flight)
+
+    def ask(part: slice):
         size = len(prompts[part])
 
         def whole_batch():
@@ -84,18 +105,27 @@ def answer_batch(predictor, backend: Backend, prompts: list[str], runs: list[int
                 raise ValueError(f"{len(found)} answers to {size} prompts")
             return found
 
-        found, attempts, error = call_with_retry(whole_batch, backend)
-        answers += [(a, attempts, error) for a in (found or [None] * size)]
-    return answers
+        found, attempts, error, transient, seconds = outcome(whole_batch, backend)
+        return [(a, attempts, error, transient, seconds / size) for a in (found or [None] * size)]
+
+    parts = [slice(at, at + backend.batch_size) for at in range(0, len(prompts), backend.batch_size)]
+    answers = in_order([lambda part=part: ask(part) for part in parts], backend.in_flight)
+    return [a for part in answers for a in part]
+
+
+DETAILS = [StructField("transient", BooleanType()), StructField("seconds", DoubleType())]
 
 
-def annotate(prompts: DataFrame, backends: dict[str, Backend], keys: list[str]) -> DataFrame:
+def annotate(
+    prompts: DataFrame, backends: dict[str, Backend], keys: list[str], details: bool = False, attempt: int = 1,
+) -> DataFrame:
     """``keys`` plus ``raw``, ``attempts`` and ``error``, each prompt by the backend of its model.
 
     ``prompts`` needs ``model``, ``prompt`` and ``run_idx``. One pass over the prompts serves
     all models: a task builds a predictor when its model first comes up. Prompts travel to
-    Python, not back. The number of tasks bounds the calls that run at a time; repartition the
-    items, before the grid repeats them, to choose it.
+    Python, not back. The number of tasks times ``in_flight`` of the backend bounds the calls that
+    run at a time. With ``details`` come ``transient`` (the failure was worth another attempt) and
+    ``seconds``. A predictor with an attribute ``attempt`` is told ``attempt``.
     """
     if not backends:
         raise ValueError("no backend given")
@@ -105,6 +135,7 @@ def annotate(prompts: DataFrame, backends: dict[str, Backend], keys: list[str])
         StructField("raw", StringType()),
         StructField("attempts", IntegerType()),
         StructField("error", StringType()),
+        *DETAILS * details,
     ])
     model = F.col("model")
     wrapped = F.col("prompt")
@@ -121,16 +152,23 @@ def annotate(prompts: DataFrame, backends: dict[str, Backend], keys: list[str])
                 out["raw"] = pd.Series(None, index=out.index, dtype=object)
                 out["attempts"] = pd.Series(0, index=out.index, dtype="int32")
                 out["error"] = pd.Series(None, index=out.index, dtype=object)
+                if details:
+                    out["transient"], out["seconds"] = False, 0.0
                 for name, rows in batch.groupby("_model", sort=False):
                     if name not in predictors:
                         predictors[name] = backends[name].factory()
+                        if hasattr(predictors[name], "attempt"):
+                            predictors[name].attempt = attempt
                     answers = answer_batch(
                         predictors[name], backends[name], rows["_prompt"].tolist(),
                         [int(r) for r in rows["_run"]])
-                    raw, attempts, error = zip(*answers)
+                    raw, attempts, error, transient, seconds = zip(*answers)
                     out.loc[rows.index, "raw"] = pd.Series(raw, index=rows.index, dtype=object)
                     out.loc[rows.index, "attempts"] = pd.Series(attempts, index=rows.index, dtype="int32")
                     out.loc[rows.index, "error"] = pd.Series(error, index=rows.index, dtype=object)
+                    if details:
+                        out.loc[rows.index, "transient"] = pd.Series(transient, index=rows.index, dtype=bool)
+                        out.loc[rows.index, "seconds"] = pd.Series(seconds, index=rows.index, dtype=float)
                 yield out
         finally:
             for predictor in predictors.values():

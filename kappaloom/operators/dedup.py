@@ -34,7 +34,7 @@ def annotate_distinct(
     items: DataFrame, templates: DataFrame, ask: Callable[[DataFrame], DataFrame],
     concurrency: int | None = None,
 ) -> DataFrame:
-    """(dataset, cond_id, item_id, run_idx, raw, attempts, error) for all items.
+    """(dataset, cond_id, item_id, run_idx, raw, attempts, error) for all items, and seconds if ``ask`` gives them.
 
     ``templates`` carries ``template_id`` and ``run_idx``; ``ask`` maps prompts with
     (text_key, template_id, run_idx, model, prompt) to answers with the same keys. Answers are
@@ -70,7 +70,8 @@ def annotate_distinct(
         "text_key", "template_id", "run_idx", "model",
         F.concat("prefix", "text", "suffix").alias("prompt"),
     )), "asked")
-    answer = F.struct("template_id", "run_idx", "raw", "attempts", "error")
+    answer = F.struct("template_id", "run_idx", "raw", "attempts", "error", *[
+        c for c in ("seconds",) if c in asked.columns])
     answers = materialize(
         asked.groupBy("text_key").agg(F.collect_list(answer).alias("answers"))
         .join(firsts.select("text_key", "copies"), "text_key"),

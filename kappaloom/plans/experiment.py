@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -16,11 +17,13 @@ from kappaloom.operators.conditions import Grid, with_runs
 from kappaloom.operators.consistency import condition_summary, metrics_table
 from kappaloom.operators.dedup import annotate_distinct
 from kappaloom.operators.extract import extract_labels
+from kappaloom.operators.label_tables import extract_with_table
 from kappaloom.operators.prompts import (
     distinct_templates, example_blocks, prompt_templates, require_systems, systems_table, text_id,
 )
 from kappaloom.operators.reports import REPORTS, Layout
 from kappaloom.operators.resume import open_runs, run_number
+from kappaloom.operators.retry import annotate_in_rounds
 from kappaloom.operators.scoring import align, alignment_audit
 from kappaloom.operators.sampling import stratified_pool, test_split, uniform_sample
 from kappaloom.session import materialize, scratch_path
@@ -30,6 +33,8 @@ from kappaloom.sources.results import (
 )
 
 DEFAULT_STEPS = 20
+#: labels of all datasets up to which they are brought to the driver for the extractor
+MAX_BOOK_LABELS = 2_000
 
 
 @dataclass(frozen=True)
@@ -39,7 +44,8 @@ class Experiment:
     ``steps`` cuts the work into that many portions of texts. Each portion is saved under the
     output folder before the next one starts, so an interruption loses at most one of them.
     ``max_portions`` ends the annotation after so many of them; another call goes on. The layout
-    of the reports is that of the grid unless another is given.
+    of the reports is that of the grid unless another is given. With ``retry_in_rounds`` failed
+    requests are asked again by later jobs instead of in their tasks.
     """
 
     grid: Grid
@@ -56,6 +62,7 @@ class Experiment:
     steps: int = DEFAULT_STEPS
     max_portions: int | None = None
     layout: Layout | None = None
+    retry_in_rounds: bool = False
 
     def __post_init__(self):
         require_systems(self.grid.datasets, self.systems)
@@ -68,13 +75,29 @@ class Experiment:
 
 
 def codebooks(vocabulary: DataFrame) -> dict[str, list[str]]:
-    """Labels per dataset for the extractor: the same lists that stand in every long prompt."""
+    """Labels per dataset for the extractor: the same lists that stand in every long prompt.
+
+    For a vocabulary of bounded size, see ``few_labels``.
+    """
     books: dict[str, list[str]] = {}
     for row in vocabulary.orderBy("dataset", "label_ord").collect():
         books.setdefault(row["dataset"], []).append(row["label"])
     return books
 
 
+def few_labels(vocabulary: DataFrame, limit: int = MAX_BOOK_LABELS) -> bool:
+    """Whether all labels together are few enough to stand in an expression."""
+    return vocabulary.limit(limit + 1).count() <= limit
+
+
+def label_reader(vocabulary: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """Extraction with this vocabulary: in expressions for few labels, by joins for more; the same answers."""
+    if few_labels(vocabulary):
+        books = codebooks(vocabulary)
+        return lambda rows: extract_labels(rows, books)
+    return lambda rows: extract_with_table(materialize(rows, "answered"), vocabulary)
+
+
 def run_experiment(items: DataFrame, setup: Experiment, out: str) -> DataFrame:
     """Annotate what is missing under ``out``, then score everything wanted.
 
@@ -103,7 +126,7 @@ def run_experiment(items: DataFrame, setup: Experiment, out: str) -> DataFrame:
     work = write_portions(
         open_runs(test, runs, saved_runs(spark, store, runs), keep_failed=not setup.retry_failed),
         setup.steps)
-    books = codebooks(vocabulary)
+    read = label_reader(vocabulary)
     named = materialize(conditions.select("cond_id", "run_idx", "run_id", *CONDITION), "runs")
     done = 0
     for step in range(setup.steps):
@@ -114,15 +137,23 @@ def run_experiment(items: DataFrame, setup: Experiment, out: str) -> DataFrame:
             continue
         answers = annotate_distinct(
             portion, templates,
-            lambda prompts: annotate(prompts, setup.backends, ["text_key", "template_id", "run_idx"]),
-            setup.concurrency)
+            lambda prompts: ask(prompts, setup), setup.concurrency)
         rows = answers.join(F.broadcast(named), ["dataset", "cond_id", "run_idx"]).join(
             portion.select("dataset", "item_id", "gold"), ["dataset", "item_id"])
-        append_predictions(extract_labels(rows, books), store)
+        append_predictions(read(rows), store)
         done += 1
     return score(test.select("dataset", "item_id", "gold"), setup, out)
 
 
+def ask(prompts: DataFrame, setup: Experiment) -> DataFrame:
+    """Answers to the prompts of a portion, with retries inside the tasks or as rounds of jobs."""
+    keys = ["text_key", "template_id", "run_idx"]
+    if not setup.retry_in_rounds:
+        return annotate(prompts, setup.backends, keys, details=True).drop("transient")
+    held = materialize(prompts, "prompts")
+    return annotate_in_rounds(held, setup.backends, keys, scratch_path(prompts.sparkSession, "rounds")).drop("model")
+
+
 def saved_runs(spark: SparkSession, store: str, runs: DataFrame) -> DataFrame:
     """(dataset, item_id, run_no, error) of the stored answers to the wanted runs."""
     saved = saved_predictions(spark, store)

@@ -493,15 +493,24 @@ ORACLES = {
         WHERE model = 'common'"""),
     "annotate_rules": query(*predictions(1), "SELECT exp_id, item_id, gold, pred FROM preds"),
     "annotate_runs": query(*ALL_RUNS, "SELECT exp_id, run_idx, item_id, pred FROM preds"),
-    "annotate_batch": query(DOCS, LEXICON, HITS, BASIC, """late_totals AS (
+    "annotate_batch": query(DOCS, *AXES, LEXICON, HITS, BASIC, """late_totals AS (
           SELECT item_id, label, sum(s) AS s FROM (
             SELECT item_id, label, c AS s FROM hits WHERE rnk >= 4
             UNION ALL SELECT item_id, label, c FROM accents) GROUP BY ALL),
         late AS (
           SELECT * FROM late_totals WHERE s > 0
           QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY s DESC, label) = 1)""", """
-        SELECT 'common' AS model, item_id, pred || '.' AS raw, 1 AS attempts FROM basic
-        UNION ALL SELECT 'rare', item_id, label, 1 FROM docs LEFT JOIN late USING (item_id)"""),
+        SELECT exp_id, item_id, CASE model WHEN 'common' THEN b.pred || '.' ELSE l.label END AS raw, 1 AS attempts
+        FROM basic b JOIN conditions USING (dataset) LEFT JOIN late l USING (item_id)"""),
+    "annotate_retry": query(DOCS, LEXICON, HITS, BASIC, """rated AS (
+          SELECT doc_id AS item_id, max(toxic) AS toxic, min(quality) AS quality FROM labels GROUP BY ALL),
+        asked AS (
+          SELECT item_id, pred, model, most, CASE WHEN toxic = 1 THEN 9 WHEN quality = 0 THEN 2 ELSE 0 END AS fails
+          FROM basic LEFT JOIN rated USING (item_id), (VALUES ('common', 5), ('rare', 2)) m(model, most))""", """
+        SELECT model, item_id, CASE WHEN fails < most THEN pred || '.' END AS raw,
+               least(fails + 1, most)::BIGINT AS attempts,
+               CASE WHEN fails >= most THEN 'TransientError: busy' END AS error
+        FROM asked"""),
     "model_responses": query(DOCS, f"""
         SELECT item_id,
           md5({lit(LLAMA_HEAD.replace('{system}', 'Answer briefly.'))} || text || {lit(LLAMA_TAIL)})
@@ -517,6 +526,13 @@ ORACLES = {
         SELECT dataset, item_id, gold AS pred, 'scan' AS stage FROM corpus"""),
     "extract_large_vocabulary": """
         SELECT p_partkey AS item_id, p_type || ' ' || p_name AS pred, 'scan' AS stage FROM part""",
+    "extract_by_table": extract_query(*ALL_STAGES),
+    "extract_part_table": """
+        SELECT p_partkey AS item_id,
+               CASE WHEN p_partkey % 6 < 4 THEN p_name || ' no ' || p_partkey END AS pred,
+               CASE p_partkey % 6 WHEN 0 THEN 'exact' WHEN 1 THEN 'exact' WHEN 2 THEN 'scan' WHEN 3 THEN 'token'
+                                  WHEN 4 THEN 'none' ELSE 'empty' END AS stage
+        FROM part""",
     "extract_stage_audit": query(DOCS, LEXICON, HITS, BASIC, RAW, extraction(ALL_STAGES), """
         SELECT dataset, stage, count(*) AS answers FROM found GROUP BY ALL"""),
     "align_predictions": query(DOCS, LEXICON, HITS, BASIC, """
@@ -614,7 +630,7 @@ ORACLES = {
     "skip_done": query(*RESUMED, "SELECT DISTINCT run_id FROM todo"),
     "resume_items": query(*RESUMED, "SELECT run_id, item_id FROM todo"),
     "resumed_experiment": query(*ITEMS, POOL, LEXICON, HITS, BASIC, """
-        SELECT dataset, item_id, 4 AS answers, pred FROM basic
+        SELECT dataset, item_id, 54 AS answers, pred FROM basic
         WHERE item_id NOT IN (SELECT item_id FROM pool WHERE dataset <> 'chat')"""),
     "csv_roundtrip": query(DOCS, untidy("docs"), f"""cells AS (
           SELECT CASE WHEN text NOT IN ({', '.join(map(lit, NA_TOKENS))}) THEN text END AS text,
@@ -638,6 +654,10 @@ ORACLES = {
     "stream_annotate": query(DOCS, *AXES, LEXICON, HITS, BASIC, """
         SELECT dataset, item_id, exp_id, gold, pred || '.' AS raw, pred,
                CASE WHEN pred IS NULL THEN 'empty' ELSE 'exact' END AS stage
-        FROM basic JOIN conditions USING (dataset)
-        WHERE shot_type = 'few_shot' AND length = 'medium' AND context_level = 'some_context'"""),
+        FROM basic JOIN conditions USING (dataset)"""),
+    "stream_requests": query(*PROMPTS, """
+        SELECT dataset, count(DISTINCT model || '|' || prompt) AS requests FROM prompts
+        WHERE dataset <> 'chat' GROUP BY ALL"""),
+    "run_elapsed": query(*STORED_RUNS, """
+        SELECT run_id, sum(item_id % 7 * 0.25::DOUBLE) AS elapsed_seconds FROM stored GROUP BY ALL"""),
 }

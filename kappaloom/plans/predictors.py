@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from kappaloom.operators.annotate import TransientError
 from kappaloom.operators.prompts import ITEM_CLOSE, ITEM_OPEN
 from kappaloom.operators.rules import ACCENTS, LABELS, LEXICON, Rule
 
@@ -46,3 +47,14 @@ class LexiconPredictor:
 
     def predict(self, prompt: str, run_idx: int) -> str | None:
         return self.predict_batch([prompt], [run_idx])[0]
+
+
+class BusyPredictor(LexiconPredictor):
+    """Fails for a passing reason as often as the number before the first bar of a prompt says."""
+
+    attempt = 1
+
+    def predict(self, prompt: str, run_idx: int) -> str | None:
+        if self.attempt <= int(prompt.split("|", 1)[0]):
+            raise TransientError("busy")
+        return super().predict(prompt, run_idx)

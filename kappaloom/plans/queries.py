@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kappaloom.fixed_values import INSTRUCTION_FORMATS, NA_TOKENS
@@ -12,18 +14,20 @@ from kappaloom.operators.annotate import Backend, annotate
 from kappaloom.operators.cleaning import clean_items, label_vocabulary
 from kappaloom.operators.conditions import Grid, expand, with_runs
 from kappaloom.operators.dedup import annotate_distinct, distinct_texts
-from kappaloom.operators.extract import extract_labels, stage_audit
+from kappaloom.operators.extract import STAGES, extract_labels, stage_audit
+from kappaloom.operators.label_tables import extract_with_table
 from kappaloom.operators.prompts import (
-    build_prompts, distinct_templates, example_blocks, prompt_templates, prompts_by_condition,
+    ITEM_CLOSE, ITEM_OPEN, build_prompts, distinct_templates, example_blocks, prompt_templates, prompts_by_condition,
     systems_table,
 )
+from kappaloom.operators.retry import annotate_in_rounds
 from kappaloom.operators.rules import Rule
 from kappaloom.plans.experiment import Experiment, codebooks, run_experiment
-from kappaloom.plans.predictors import LexiconPredictor
+from kappaloom.plans.predictors import BusyPredictor, LexiconPredictor
 from kappaloom.session import materialize, scratch_path
 from kappaloom.sources import results
 from kappaloom.sources.items import read_items_csv, read_table_items
-from kappaloom.streaming.incremental import annotate_stream, annotation_chain, stream_items
+from kappaloom.streaming.incremental import annotate_stream_once, answer_table, stream_items
 
 LANGUAGES = {"en": "English", "fr": "French", "de": "German", "es": "Spanish"}
 ROLES = {"user": "User", "assistant": "Assistant", "system": "System"}
@@ -293,26 +297,38 @@ def q_annotate_runs(spark, sf):
         "run_idx", F.col("run_idx").cast("long"))
 
 
-def one_prompt_per_document(spark, sf) -> DataFrame:
-    """Few-shot prompts of medium length, two models."""
-    items = documents(spark, sf)
-    g = grid(1).restrict(
-        shot_types=["few_shot"], lengths=["medium"], context_levels=["some_context"])
-    return build_prompts(items, templates_of(spark, items, g))
-
-
 def q_annotate_batch(spark, sf):
-    prompts = one_prompt_per_document(spark, sf)
-    wrapper = INSTRUCTION_FORMATS["mistral"]
+    """All 27 conditions and both models over every document, a request for each distinct prompt."""
+    items = documents(spark, sf)
+    g = grid(1)
+    templates = distinct_templates(templates_of(spark, items, g))
     backends = {
-        "common": Backend.batched(lambda: LexiconPredictor(BASIC)),
-        "rare": Backend(
-            lambda: LexiconPredictor(Rule(4, 4, 1), "[INST] echo [/INST] {label}"),
-            wrapper=wrapper, echo_end=ECHO_END,
+        "common": Backend.batched(lambda: LexiconPredictor(BASIC), batch_size=64, in_flight=4),
+        "rare": Backend.batched(
+            lambda: LexiconPredictor(Rule(4, 4, 1), "[INST] echo [/INST] {label}"), batch_size=64, in_flight=4,
+            wrapper=INSTRUCTION_FORMATS["mistral"], echo_end=ECHO_END,
         ),
     }
-    return annotate(prompts, backends, ["model", "item_id"]).select(
-        "model", "item_id", "raw", F.col("attempts").cast("long").alias("attempts"))
+
+    def ask(prompts):
+        return annotate(prompts, backends, ["text_key", "template_id", "run_idx"])
+
+    answers = annotate_distinct(items, templates, ask)
+    return with_exp_id(answers.select("cond_id", "item_id", "raw", F.col("attempts").cast("long").alias("attempts")), g)
+
+
+def q_annotate_retry(spark, sf):
+    """Requests that fail as often as the labels say: toxic documents for good, poor ones twice."""
+    rated = ratings(spark, sf).groupBy(F.col("doc_id").alias("item_id")).agg(
+        F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
+    fails = F.when(F.col("toxic") == 1, 9).when(F.col("quality") == 0, 2).otherwise(0)
+    docs = documents(spark, sf).join(rated, "item_id", "left").select(
+        "item_id", F.lit(0).alias("run_idx"), F.explode(F.array(F.lit("common"), F.lit("rare"))).alias("model"),
+        F.concat(fails.cast("string"), F.lit("|"), F.lit(ITEM_OPEN), "text", F.lit(ITEM_CLOSE)).alias("prompt"))
+    busy = partial(BusyPredictor, BASIC)
+    backends = {"common": Backend(busy, backoff_base=0.0), "rare": Backend(busy, max_attempts=2, backoff_base=0.0)}
+    found = annotate_in_rounds(materialize(docs, "prompts"), backends, ["item_id"], scratch_path(spark, "rounds"))
+    return found.select("model", "item_id", "raw", F.col("attempts").cast("long").alias("attempts"), "error")
 
 
 def q_model_responses(spark, sf):
@@ -370,6 +386,43 @@ def q_extract_large_vocabulary(spark, sf):
     return extract_labels(items.withColumn("raw", raw), books).select("item_id", "pred", "stage")
 
 
+def kinds_of_part(spark, sf) -> DataFrame:
+    """Every part with a name of its own as its label: as many labels as parts."""
+    kind = F.concat_ws(" ", "p_name", F.lit("no"), "p_partkey")
+    return spark.read.parquet(f"{sf}/part.parquet").select(
+        F.lit("parts").alias("dataset"), F.col("p_partkey").alias("item_id"), kind.alias("gold"))
+
+
+def part_answers(spark, sf) -> DataFrame:
+    """Parts named in six ways: as they are, joined up, in a sentence, as one token, misspelt, not at all."""
+    p = F.col("gold")
+    style = F.pmod("item_id", F.lit(6))
+    raw = (
+        F.when(style == 0, F.upper(p))
+        .when(style == 1, F.concat(F.lit("'"), F.replace(p, F.lit(" "), F.lit("-")), F.lit("'.")))
+        .when(style == 2, F.concat(F.lit("It must be the "), p, F.lit(", I think.")))
+        .when(style == 3, F.concat(F.lit("see_"), F.replace(p, F.lit(" "), F.lit("")), F.lit("_there")))
+        .when(style == 4, F.concat(F.lit("t"), F.replace(p, F.lit(" no "), F.lit(" on "))))
+        .otherwise(F.lit(" ")))
+    return kinds_of_part(spark, sf).withColumn("raw", raw)
+
+
+def q_extract_part(*stages):
+    """A vocabulary as large as the table, read by joins and an index of signatures."""
+    def query(spark, sf):
+        vocabulary = materialize(label_vocabulary(kinds_of_part(spark, sf)), "vocabulary")
+        return extract_with_table(part_answers(spark, sf), vocabulary, stages=stages).select("item_id", "pred", "stage")
+    return query
+
+
+def q_extract_by_table(spark, sf):
+    """The answers of ``extract_label`` with the labels as a table."""
+    vocabulary = documents(spark, sf).select("dataset").distinct().select(
+        "dataset", F.posexplode(F.array(*map(F.lit, rules.LABELS))).alias("label_ord", "label"))
+    answers = materialize(raw_answers(spark, sf), "raw_answers")
+    return extract_with_table(answers, materialize(vocabulary, "vocabulary")).select("item_id", "pred", "stage")
+
+
 def q_extract_stage_audit(spark, sf):
     return stage_audit(extracted(spark, sf, ("exact", "scan", "token", "fuzzy")), ["dataset"])
 
@@ -582,11 +635,11 @@ def q_resume_items(spark, sf):
 
 
 def q_resumed_experiment(spark, sf):
-    """An experiment over all documents that ended after one of three portions, and went on."""
+    """The whole grid, both models: an experiment that ended after one of three portions, and went on."""
     items = documents(spark, sf)
     out = scratch_path(spark, "experiment")
-    g = Grid(DOC_DATASETS, ("common",), ("zero_shot", "few_shot"), ("short", "medium"), ("no_context",), 1)
-    backends = {"common": Backend.batched(lambda: LexiconPredictor(BASIC), batch_size=64)}
+    g = grid(1)
+    backends = {m: Backend.batched(lambda: LexiconPredictor(BASIC), batch_size=64) for m in rules.RULE_MODELS}
     for portions in (1, None):
         run_experiment(items, Experiment(g, SYSTEMS, backends, steps=3, max_portions=portions), out)
     return results.read_predictions(spark, f"{out}/predictions").groupBy("dataset", "item_id").agg(
@@ -650,20 +703,38 @@ def q_report_csv(spark, sf):
     return spark.read.schema(report.schema).option("header", True).csv(path)
 
 
-def q_stream_annotate(spark, sf):
-    """Documents arrive as files in two portions; each goes through the whole chain once."""
+def streamed(spark, sf) -> str:
+    """Where the rows and answers of a stream lie: documents come in two portions, copies of texts in both."""
     inbox, out, checkpoint = (
         scratch_path(spark, n) for n in ("inbox", "annotated", "stream_checkpoint"))
     docs = documents(spark, sf)
-    templates = templates_of(spark, docs, grid(1).restrict(
-        shot_types=["few_shot"], lengths=["medium"], context_levels=["some_context"]))
-    chain = annotation_chain(
-        templates, {m: Backend.batched(lambda: LexiconPredictor(BASIC), batch_size=64) for m in rules.RULE_MODELS},
-        {d: rules.LABELS for d in DOC_DATASETS})
-    for dataset in DOC_DATASETS:
-        docs.where(F.col("dataset") == dataset).write.mode("append").parquet(inbox)
-        annotate_stream(stream_items(spark, inbox), chain, out, checkpoint)
-    return spark.read.parquet(out).select("dataset", "item_id", "exp_id", "gold", "raw", "pred", "stage")
+    templates = materialize(distinct_templates(templates_of(spark, docs, grid(1))), "stream_templates")
+    backends = {m: Backend.batched(lambda: LexiconPredictor(BASIC), batch_size=64) for m in rules.RULE_MODELS}
+    for portion in (0, 1):
+        docs.where(F.pmod("item_id", F.lit(2)) == portion).write.mode("append").parquet(inbox)
+        annotate_stream_once(
+            stream_items(spark, inbox), templates, backends, lambda rows: extract_labels(rows, rules.LABELS), out, checkpoint)
+    return out
+
+
+def q_stream_annotate(spark, sf):
+    """All 27 conditions and both models over documents that arrive as files."""
+    return spark.read.parquet(f"{streamed(spark, sf)}/rows").select(
+        "dataset", "item_id", "exp_id", "gold", "raw", "pred", "stage")
+
+
+def q_stream_requests(spark, sf):
+    """What such a stream asked: every distinct prompt once, also of texts that came again later."""
+    answers = answer_table(spark, f"{streamed(spark, sf)}/answers")
+    return answers.groupBy(F.substring_index("text_key", ":", 1).alias("dataset")).agg(F.count("*").alias("requests"))
+
+
+def q_run_elapsed(spark, sf):
+    """Seconds of each run, from the requests' seconds by way of run records."""
+    path = scratch_path(spark, "run_records")
+    rows = prediction_rows(spark, sf).withColumn("seconds", F.pmod("item_id", F.lit(7)) * 0.25)
+    results.write_records(results.run_records(materialize(rows, "prediction_rows"), 100), path)
+    return results.run_seconds(spark, path)
 
 
 QUERIES = {
@@ -686,6 +757,7 @@ QUERIES = {
     "annotate_rules": q_annotate_rules,
     "annotate_runs": q_annotate_runs,
     "annotate_batch": q_annotate_batch,
+    "annotate_retry": q_annotate_retry,
     "model_responses": q_model_responses,
     "extract_exact": q_extract("exact"),
     "extract_scan": q_extract("scan"),
@@ -694,6 +766,9 @@ QUERIES = {
     "extract_label": q_extract("exact", "scan", "token", "fuzzy"),
     "extract_codebooks": q_extract_codebooks,
     "extract_large_vocabulary": q_extract_large_vocabulary,
+    "extract_by_table": q_extract_by_table,
+    "extract_part_table": q_extract_part("exact", "scan", "token"),
+    "extract_part_fuzzy": q_extract_part(*STAGES),
     "extract_stage_audit": q_extract_stage_audit,
     "align_predictions": q_align_predictions,
     "alignment_audit": q_alignment_audit,
@@ -727,5 +802,7 @@ QUERIES = {
     "run_json_roundtrip": q_run_json_roundtrip,
     "metrics_json_roundtrip": q_metrics_json_roundtrip,
     "report_csv": q_report_csv,
+    "run_elapsed": q_run_elapsed,
     "stream_annotate": q_stream_annotate,
+    "stream_requests": q_stream_requests,
 }

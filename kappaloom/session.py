@@ -61,3 +61,9 @@ def literal_table(spark: SparkSession, schema: pa.Schema, rows: list[tuple]) ->
     columns = list(zip(*rows)) if rows else [()] * len(schema)
     arrays = [pa.array(list(c), type=f.type) for c, f in zip(columns, schema)]
     return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=schema))
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether the file or folder is there, in any store that Spark reads."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)

@@ -7,12 +7,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from kappaloom.functions.ids import CONDITION, experiment_id, parse_experiment_ids
 from kappaloom.operators.conditions import Grid
 from kappaloom.operators.joins import lookup_join
-from kappaloom.session import materialize
+from kappaloom.session import materialize, path_exists
 
 PREDICTION_SCHEMA = (
     "dataset string, model string, shot_type string, length string, context_level string, "
     "run_idx int, run_id string, item_id long, gold string, raw string, attempts int, "
-    "error string, pred string, stage string"
+    "error string, pred string, stage string, seconds double"
 )
 PARTITION = [*CONDITION, "run_idx"]
 
@@ -40,8 +40,10 @@ def append_predictions(preds: DataFrame, path: str) -> None:
 
     The rebalance hint groups rows by folder and splits or merges the groups to
     the advisory size, so neither many tiny files nor one huge one appear. The commit
-    of the write makes the rows visible at once or not at all.
+    of the write makes the rows visible at once or not at all. Rows without ``seconds`` have a null.
     """
+    if "seconds" not in preds.columns:
+        preds = preds.withColumn("seconds", F.lit(None).cast("double"))
     columns = [f.split()[0] for f in PREDICTION_SCHEMA.split(", ")]
     rows = preds.select(*columns).hint("rebalance", *PARTITION)
     rows.write.partitionBy(*PARTITION).mode("append").parquet(path)
@@ -64,10 +66,7 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
 
 def saved_predictions(spark: SparkSession, path: str) -> DataFrame | None:
     """The prediction table, or None where nothing was saved yet."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        return read_predictions(spark, path)
-    return None
+    return read_predictions(spark, path) if path_exists(spark, path) else None
 
 
 def run_records(preds: DataFrame, record_items: int = RECORD_ITEMS) -> DataFrame:
@@ -75,20 +74,24 @@ def run_records(preds: DataFrame, record_items: int = RECORD_ITEMS) -> DataFrame
 
     A record is built inside one task, so every run comes in parts of about ``record_items``
     items, numbered from 0. The prediction table is the form for large results; this one is
-    for exchange.
+    for exchange. ``elapsed_seconds`` is what the requests of the part took one after another; an
+    answer that several items share counts for each of them, as in a run that asks them all.
     """
+    if "seconds" not in preds.columns:
+        preds = preds.withColumn("seconds", F.lit(None).cast("double"))
     sizes = materialize(preds.groupBy("run_id").agg(F.count("*").alias("_n")), "run_sizes")
     parts = F.ceil(F.col("_n") / F.lit(record_items))
     cell = F.struct("item_id", "gold", "raw", "pred")
     return (
-        lookup_join(preds.select("run_id", "item_id", "gold", "raw", "pred"), sizes, ["run_id"])
+        lookup_join(preds.select("run_id", "item_id", "gold", "raw", "pred", "seconds"), sizes, ["run_id"])
         .withColumn("part", F.pmod(F.xxhash64("item_id"), parts).cast("int"))
         .groupBy("run_id", "part")
-        .agg(F.array_sort(F.collect_list(cell)).alias("c"))
+        .agg(F.array_sort(F.collect_list(cell)).alias("c"), F.sum("seconds").alias("elapsed_seconds"))
         .select(
             "run_id", "part",
             F.col("c.item_id").alias("item_ids"), F.col("c.gold").alias("test_labels"),
             F.col("c.raw").alias("raw_outputs"), F.col("c.pred").alias("predictions"),
+            "elapsed_seconds",
         )
     )
 
@@ -116,6 +119,13 @@ def read_run_records(spark: SparkSession, path: str, multi_line: bool = False) -
     ).select("run_id", "part", "pos", "c.item_id", "c.gold", "c.raw", "c.pred")
 
 
+def run_seconds(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """(run_id, elapsed_seconds) of stored run records, all parts of a run added up; null where none says."""
+    records = spark.read.schema(RUN_RECORD_SCHEMA).option("multiLine", multi_line).json(path)
+    return records.where(F.col("run_id").isNotNull()).groupBy("run_id").agg(
+        F.sum("elapsed_seconds").alias("elapsed_seconds"))
+
+
 def write_summaries(summary: DataFrame, path: str) -> None:
     """Condition summaries as nested JSON, a line each; replaces the folder."""
     columns = ["best_run_idx", "best_metrics", "consistency"]

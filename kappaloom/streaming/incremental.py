@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kappaloom.operators.annotate import Backend, annotate
+from kappaloom.operators.dedup import annotate_distinct
 from kappaloom.operators.extract import extract_labels
 from kappaloom.operators.prompts import build_prompts
+from kappaloom.session import materialize, path_exists
 
 ITEM_SCHEMA = "dataset string, item_id long, text string, gold string"
 FILES_PER_BATCH = 1000
@@ -52,3 +54,72 @@ def annotation_chain(
         return extract_labels(answered, books).select(*keys, "raw", "attempts", "error", "pred", "stage")
 
     return label
+
+
+REQUEST = ["text_key", "template_id", "run_idx"]
+
+
+def answer_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """(batch, text_key, template_id, run_idx, raw, attempts, error): all answers of a stream so far."""
+    return spark.read.parquet(path) if path_exists(spark, path) else None
+
+
+def remembering(
+    ask: Callable[[DataFrame], DataFrame], path: str, batch: int
+) -> Callable[[DataFrame], DataFrame]:
+    """``ask`` for ``annotate_distinct`` that puts only such prompts as no earlier batch has an answer to.
+
+    The answers of a batch are a folder of the table under ``path``. A batch that runs again
+    after a failure finds its folder whole, or writes it anew: it never sees its own answers as old ones.
+    Failed requests are no answers. Of the table only the keys of the batch's texts are
+    looked up, and only they are joined to the prompts.
+    """
+
+    def ask_new(prompts: DataFrame) -> DataFrame:
+        spark = prompts.sparkSession
+        folder = f"{path}/batch={batch}"
+        texts = materialize(prompts.select("text_key").distinct(), "batch_texts")
+        if not path_exists(spark, f"{folder}/_SUCCESS"):
+            saved, new = answer_table(spark, path), prompts
+            if saved is not None:
+                known = saved.where((F.col("batch") != batch) & F.col("error").isNull()).join(
+                    texts, "text_key", "left_semi").select(*REQUEST)
+                new = prompts.join(materialize(known, "known_answers"), REQUEST, "left_anti")
+            ask(new).write.mode("overwrite").parquet(folder)
+        usable = F.col("error").isNull() | (F.col("batch") == batch)
+        return answer_table(spark, path).where(usable & (F.col("batch") <= batch)).drop("batch").join(
+            texts, "text_key", "left_semi")
+
+    return ask_new
+
+
+def annotate_stream_once(
+    items: DataFrame, templates: DataFrame, backends: dict[str, Backend],
+    read: Callable[[DataFrame], DataFrame], out: str, checkpoint: str,
+) -> None:
+    """Label all files that arrived since the last call; a text seen before is not asked again.
+
+    ``templates`` is a written table with ``template_id``, see ``distinct_templates``; ``read`` turns
+    answered rows (dataset, item_id, gold, cond_id, exp_id, run_idx, raw, attempts, error) into result rows.
+    Every distinct text and wording is asked once in the life of the stream: answers lie
+    under ``out``/answers, the rows of each batch under ``out``/rows. Both are written by batch number, so
+    a batch that Spark repeats after a failure leaves each row once.
+    """
+    names = materialize(templates.select("dataset", "cond_id", "run_idx", "exp_id").distinct(), "stream_conditions")
+
+    def process(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        folder = f"{out}/rows/batch={number}"
+        if path_exists(spark, f"{folder}/_SUCCESS"):
+            return
+        ask = remembering(lambda prompts: annotate(prompts, backends, REQUEST), f"{out}/answers", number)
+        held = materialize(batch, "stream_batch")
+        answers = annotate_distinct(held, templates, ask)
+        rows = answers.join(F.broadcast(names), ["dataset", "cond_id", "run_idx"]).join(
+            held.select("dataset", "item_id", "gold"), ["dataset", "item_id"])
+        read(rows).write.mode("overwrite").parquet(folder)
+
+    query = (
+        items.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start())
+    query.awaitTermination()
