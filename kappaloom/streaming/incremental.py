@@ -103,7 +103,7 @@ def annotate_stream_once(
     answered rows (dataset, item_id, gold, cond_id, exp_id, run_idx, raw, attempts, error) into result rows.
     Every distinct text and wording is asked once in the life of the stream: answers lie
     under ``out``/answers, the rows of each batch under ``out``/rows. Both are written by batch number, so
-    a batch that Spark repeats after a failure leaves each row once.
+    a batch that Spark repeats after a failure leaves each row once. ``out`` belongs to one ``checkpoint``.
     """
     names = materialize(templates.select("dataset", "cond_id", "run_idx", "exp_id").distinct(), "stream_conditions")
 

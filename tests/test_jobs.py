@@ -11,13 +11,18 @@ from pyspark.sql import functions as F
 from kappaloom.operators import resume, rules
 from kappaloom.operators.annotate import Backend
 from kappaloom.operators.conditions import Grid
+from kappaloom.operators.extract import extract_labels
+from kappaloom.operators.prompts import distinct_templates
 from kappaloom.operators.reports import Layout
 from kappaloom.operators.rules import Rule
 from kappaloom.plans.experiment import Experiment, run_experiment
 from kappaloom.plans.predictors import LexiconPredictor
 from kappaloom.plans.queries import DOC_DATASETS, SYSTEMS, documents, templates_of
+from kappaloom.session import materialize
 from kappaloom.sources import results
-from kappaloom.streaming.incremental import annotate_stream, annotation_chain, stream_items
+from kappaloom.streaming.incremental import (
+    annotate_stream, annotate_stream_once, annotation_chain, answer_table, stream_items,
+)
 
 
 class FailsOnLongPrompts(LexiconPredictor):
@@ -160,3 +165,74 @@ def test_stream_equals_batch_and_never_repeats(spark, sf_dir, tmp_path):
         annotate_stream(stream_items(spark, inbox, files_per_batch=2), chain, out, check)
     annotate_stream(stream_items(spark, inbox), chain, out, check)
     assert rows(spark.read.parquet(out)) == rows(chain(docs))
+
+
+def test_stream_asks_a_text_once_and_repeats_no_batch(spark, sf_dir, tmp_path):
+    inbox, out, check = (str(tmp_path / n) for n in ("in", "out", "check"))
+    (tmp_path / "calls").mkdir()
+    docs = documents(spark, sf_dir).where("dataset = 'north'").withColumn("text", F.concat(
+        F.lit("the "), F.when(F.col("item_id") % 3 == 0, F.lit("der")).otherwise(F.substring("text", 1, 40))))
+    templates = materialize(distinct_templates(templates_of(
+        spark, docs, Grid(("north",), ("common",), ("zero_shot",), ("short", "medium"), n_runs=1))), "t")
+    backends = {"common": Backend.batched(partial(Logged, Rule(0, 4), str(tmp_path / "calls")), batch_size=4)}
+    read = lambda rows: extract_labels(rows, rules.LABELS)
+    for half in (0, 1):
+        docs.where(F.col("item_id") % 2 == half).write.mode("append").parquet(inbox)
+        annotate_stream_once(stream_items(spark, inbox), templates, backends, read, out, check)
+    annotate_stream_once(stream_items(spark, inbox), templates, backends, read, out, check)
+    calls = (tmp_path / "calls" / "log").read_text().split()
+    texts, wordings = docs.select("text").distinct().count(), templates.select("template_id").distinct().count()
+    assert len(calls) == len(set(calls)) == texts * wordings == answer_table(spark, f"{out}/answers").count()
+    got = spark.read.parquet(f"{out}/rows")
+    assert got.count() == got.select("item_id", "exp_id").distinct().count() == docs.count() * 6
+
+
+def test_failed_requests_of_a_stream_are_no_answers(spark, tmp_path):
+    from kappaloom.streaming.incremental import remembering
+
+    prompts = spark.createDataFrame([("d:a", "t", 0, "m", "ok"), ("d:b", "t", 0, "m", "bad")],
+                                    "text_key string, template_id string, run_idx int, model string, prompt string")
+    asked = []
+
+    def ask(fail):
+        def answer(p):
+            asked.append(sorted(r.prompt for r in p.collect()))
+            bad = (F.col("prompt") == "bad") & F.lit(fail)
+            return p.select("text_key", "template_id", "run_idx", F.when(~bad, F.upper("prompt")).alias("raw"),
+                            F.lit(1).alias("attempts"), F.when(bad, "down").alias("error"))
+        return answer
+
+    path = str(tmp_path / "answers")
+    first = remembering(ask(True), path, 0)(prompts)
+    assert rows(first.select("text_key", "raw")) == [("d:a", "OK"), ("d:b", None)]
+    second = remembering(ask(False), path, 1)(prompts)
+    assert rows(second.select("text_key", "raw")) == [("d:a", "OK"), ("d:b", "BAD")]
+    again = remembering(ask(False), path, 1)(prompts)
+    assert rows(again.select("text_key", "raw")) == [("d:a", "OK"), ("d:b", "BAD")]
+    assert asked == [["bad", "ok"], ["bad"]]
+
+
+def test_experiment_with_rounds_and_many_labels(spark, sf_dir, tmp_path, monkeypatch):
+    from kappaloom.plans import experiment
+
+    items = documents(spark, sf_dir).where("dataset = 'north'")
+    job = lambda **more: Experiment(
+        Grid(("north",), ("common",), ("zero_shot",), ("short",), ("no_context",), 1), SYSTEMS,
+        {"common": Backend.batched(lambda: LexiconPredictor(Rule(0, 4)))}, steps=1, **more)
+    few = run_experiment(items, job(), str(tmp_path / "few"))
+    monkeypatch.setattr(experiment, "MAX_BOOK_LABELS", 1)
+    monkeypatch.setattr(experiment.few_labels, "__defaults__", (1,))
+    many = run_experiment(items, job(retry_in_rounds=True), str(tmp_path / "many"))
+    assert rows(many) == rows(few)
+    saved = results.read_predictions(spark, str(tmp_path / "many" / "predictions"))
+    assert saved.where("seconds is null or attempts <> 1").count() == 0
+
+
+def test_seconds_of_a_run_add_up(spark, tmp_path):
+    preds = spark.createDataFrame(
+        [("r", i, "g", "x", "p", 0.5) for i in range(300)] + [("s", 1, "g", None, None, None)],
+        "run_id string, item_id long, gold string, raw string, pred string, seconds double")
+    results.write_records(results.run_records(preds, record_items=50), str(tmp_path / "r"))
+    assert rows(results.run_seconds(spark, str(tmp_path / "r"))) == [("r", 150.0), ("s", None)]
+    results.write_records(results.run_records(preds.drop("seconds")), str(tmp_path / "none"))
+    assert {r[1] for r in rows(results.run_seconds(spark, str(tmp_path / "none")))} == {None}

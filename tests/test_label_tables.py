@@ -113,3 +113,27 @@ def test_datasets_without_labels_and_empty_tables(spark):
     assert got == {("deli", 0): ("Cheese", "exact"), ("deli", 1): (None, "empty"), ("other", 0): (None, "none"), ("other", 1): (None, "empty")}
     assert extract_with_table(df.limit(0), vocabulary(spark, LABELS)).collect() == []
     assert {r.stage for r in extract_with_table(df, vocabulary(spark, {})).collect()} == {"none", "empty"}
+
+
+def test_query_over_all_parts_as_the_plain_matcher(spark, sf_dir):
+    from kappaloom.plans.queries import kinds_of_part, part_answers, q_extract_part
+
+    labels = sorted(r[0] for r in kinds_of_part(spark, sf_dir).select("gold").distinct().collect())
+    golds = {r.item_id: r for r in part_answers(spark, sf_dir).collect()}
+    got = {r.item_id: (r.pred, r.stage) for r in q_extract_part(*STAGES)(spark, sf_dir).collect()}
+    assert got.keys() == golds.keys() and len(labels) == len(golds)
+    read = 0
+    for i, r in golds.items():
+        want = (r.gold, ("exact", "exact", "scan", "token")[i % 6]) if i % 6 < 4 else (None, "empty")
+        if i % 6 == 4:
+            pred = best_label(r.raw.lower()[:30], labels, 0.8)
+            want, read = (pred, "fuzzy" if pred else "none"), read + (pred == r.gold)
+        assert got[i] == want
+    assert read > len(golds) / 10
+
+
+def test_few_labels_stay_in_expressions(spark):
+    from kappaloom.plans.experiment import few_labels
+
+    table = vocabulary(spark, {"d": [f"l{i}" for i in range(20)]})
+    assert few_labels(table) and few_labels(table, 20) and not few_labels(table, 19)
