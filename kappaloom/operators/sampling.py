@@ -12,6 +12,8 @@ from kappaloom.fixed_values import DEFAULT_POOL_PER_LABEL, DEFAULT_SEED
 from kappaloom.session import materialize
 
 BUCKET_HEX_DIGITS = 4  # 65,536 hash buckets per group
+#: draws of up to so many rows are one pass: the planner's group limit leaves as many of a task's rows
+SMALL_DRAW, SALTS = 100, 64
 
 
 def draw_key(seed: int, item_col: str = "item_id") -> Column:
@@ -25,7 +27,12 @@ def first_by_hash(df: DataFrame, groups: list[str], n: int, seed: int) -> DataFr
     group's buckets, not its rows, tells how many rows lie before each bucket; buckets that
     begin beyond the n-th row are left out and the rows of the others are ranked bucket by
     bucket. So no group is ever ranked in one task, whatever its size and ``n``.
+
+    A small ``n`` needs one pass and no table: each task sends its ``n`` smallest of every group and
+    salt, the salts of a group keep ``n`` each, and at most SALTS * ``n`` rows are ranked.
     """
+    if n <= SMALL_DRAW:
+        return _few_by_hash(df, groups, n, seed)
     keyed = df.withColumn("_key", draw_key(seed)).withColumn(
         "_bucket", F.substring("_key", 1, BUCKET_HEX_DIGITS))
     per_bucket = keyed.groupBy(*groups, "_bucket").agg(F.count("*").alias("_rows"))
@@ -42,6 +49,15 @@ def first_by_hash(df: DataFrame, groups: list[str], n: int, seed: int) -> DataFr
     )
 
 
+def _few_by_hash(df: DataFrame, groups: list[str], n: int, seed: int) -> DataFrame:
+    keyed = df.withColumn("_key", draw_key(seed)).withColumn(
+        "_salt", F.pmod(F.xxhash64("item_id"), F.lit(SALTS)).cast("int"))
+    for inside in ([*groups, "_salt"], groups):
+        order = Window.partitionBy(*inside).orderBy("_key", "item_id")
+        keyed = keyed.withColumn("draw_rank", F.row_number().over(order)).where(F.col("draw_rank") <= n)
+    return keyed.select(*df.columns, "draw_rank")
+
+
 def stratified_pool(
     items: DataFrame, n_per_label: int = DEFAULT_POOL_PER_LABEL, seed: int = DEFAULT_SEED
 ) -> DataFrame:

@@ -28,7 +28,7 @@ from kappaloom.operators.scoring import align, alignment_audit
 from kappaloom.operators.sampling import stratified_pool, test_split, uniform_sample
 from kappaloom.session import materialize, scratch_path
 from kappaloom.sources.results import (
-    append_predictions, drop_predictions, read_predictions, saved_predictions, write_report_csv,
+    append_predictions, compact_predictions, drop_predictions, read_predictions, saved_predictions, write_report_csv,
     write_summaries,
 )
 
@@ -142,6 +142,8 @@ def run_experiment(items: DataFrame, setup: Experiment, out: str) -> DataFrame:
             portion.select("dataset", "item_id", "gold"), ["dataset", "item_id"])
         append_predictions(read(rows), store)
         done += 1
+    if done:
+        compact_predictions(spark, store)
     return score(test.select("dataset", "item_id", "gold"), setup, out)
 
 

@@ -644,6 +644,8 @@ ORACLES = {
         FROM copies WHERE {strip('text')} <> '' AND {strip('gold')} <> ''"""),
     "prediction_table": query(*STORED_RUNS, """
         SELECT run_id, item_id, gold, raw, pred, stage FROM stored WHERE shot_type = 'one_shot'"""),
+    "compacted_predictions": query(*predictions(1), STORED, """
+        SELECT run_id, item_id, gold, raw, pred FROM stored"""),
     "run_json_roundtrip": query(*STORED_RUNS, """
         SELECT run_id, item_id, gold, raw, pred FROM stored"""),
     "metrics_json_roundtrip": query(*FULL, f"""

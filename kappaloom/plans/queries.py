@@ -659,9 +659,9 @@ def q_csv_roundtrip(spark, sf):
         "dataset", "item_id", "gold", F.md5("text").alias("text_md5"))
 
 
-def prediction_rows(spark, sf) -> DataFrame:
+def prediction_rows(spark, sf, n_runs=N_RUNS) -> DataFrame:
     """Extracted answers of the whole grid in the shape of the prediction table."""
-    g = grid(N_RUNS)
+    g = grid(n_runs)
     preds = rules.predict_grid(documents(spark, sf), g)
     raw = preds.withColumn("raw", F.concat(F.lit("Label: "), F.col("pred"))).drop("pred")
     return (
@@ -683,6 +683,19 @@ def q_prediction_table(spark, sf):
         "run_id", "item_id", "gold", "raw", "pred", "stage")
 
 
+def q_compacted_predictions(spark, sf):
+    """Three appends of portions of the items, merged into one generation, read back whole."""
+    path = scratch_path(spark, "predictions")
+    rows = prediction_rows(spark, sf, 1).withColumn("portion", F.pmod("item_id", F.lit(3)).cast("int"))
+    dealt = scratch_path(spark, "portions")
+    rows.write.partitionBy("portion").parquet(dealt)
+    saved = spark.read.schema(rows.schema).parquet(dealt)
+    for portion in range(3):
+        results.append_predictions(saved.where(F.col("portion") == portion), path)
+    results.compact_predictions(spark, path)
+    return results.read_predictions(spark, path).select("run_id", "item_id", "gold", "raw", "pred")
+
+
 def q_run_json_roundtrip(spark, sf):
     path = scratch_path(spark, "run_records")
     rows = materialize(prediction_rows(spark, sf), "prediction_rows")
@@ -799,6 +812,7 @@ QUERIES = {
     "resumed_experiment": q_resumed_experiment,
     "csv_roundtrip": q_csv_roundtrip,
     "prediction_table": q_prediction_table,
+    "compacted_predictions": q_compacted_predictions,
     "run_json_roundtrip": q_run_json_roundtrip,
     "metrics_json_roundtrip": q_metrics_json_roundtrip,
     "report_csv": q_report_csv,

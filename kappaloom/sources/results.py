@@ -8,6 +8,8 @@ from kappaloom.functions.ids import CONDITION, experiment_id, parse_experiment_i
 from kappaloom.operators.conditions import Grid
 from kappaloom.operators.joins import lookup_join
 from kappaloom.session import materialize, path_exists
+from kappaloom.sources import manifest
+from kappaloom.sources.manifest import has_manifest
 
 PREDICTION_SCHEMA = (
     "dataset string, model string, shot_type string, length string, context_level string, "
@@ -39,29 +41,36 @@ def append_predictions(preds: DataFrame, path: str) -> None:
     """Append finished rows to the prediction table, one folder per condition and run.
 
     The rebalance hint groups rows by folder and splits or merges the groups to
-    the advisory size, so neither many tiny files nor one huge one appear. The commit
-    of the write makes the rows visible at once or not at all. Rows without ``seconds`` have a null.
+    the advisory size, so neither many tiny files nor one huge one appear. The manifest
+    makes the rows visible at once or not at all; ``compact_predictions`` merges many small appends. Rows without ``seconds`` have a null.
     """
     if "seconds" not in preds.columns:
         preds = preds.withColumn("seconds", F.lit(None).cast("double"))
     columns = [f.split()[0] for f in PREDICTION_SCHEMA.split(", ")]
-    rows = preds.select(*columns).hint("rebalance", *PARTITION)
-    rows.write.partitionBy(*PARTITION).mode("append").parquet(path)
+    manifest.append(preds.select(*columns), path, PARTITION)
+
+
+def compact_predictions(spark: SparkSession, path: str) -> int:
+    """Merge the appends whose files are small; returns how many were merged."""
+    return manifest.compact(spark, path, PREDICTION_SCHEMA, PARTITION)
 
 
 def drop_predictions(spark: SparkSession, path: str, grid: Grid) -> None:
     """Remove the folders of all runs of the grid, whether or not new rows will come."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    system = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not has_manifest(spark, path):
+        return
+    folders = []
     for _, *condition in grid.rows():
         folder = "/".join(f"{name}={value}" for name, value in zip(CONDITION, condition))
-        for run in range(grid.n_runs):
-            system.delete(hadoop(f"{path}/{folder}/run_idx={run}"), True)
+        folders += [f"{folder}/run_idx={run}" for run in range(grid.n_runs)]
+    manifest.drop_partitions(spark, path, folders)
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     """The prediction table; filters on condition columns skip whole folders."""
-    return spark.read.schema(PREDICTION_SCHEMA).parquet(path)
+    if not has_manifest(spark, path):  # one plain write
+        return spark.read.schema(PREDICTION_SCHEMA).parquet(path)
+    return manifest.read(spark, path, PREDICTION_SCHEMA)
 
 
 def saved_predictions(spark: SparkSession, path: str) -> DataFrame | None:

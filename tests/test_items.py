@@ -115,3 +115,17 @@ def test_round_robin_takes_labels_in_turn(spark):
     assert picked(1) == [1]
     assert picked(4) == [1, 4, 5, 2]
     assert picked(5) == picked(9) == [1, 2, 3, 4, 5]
+
+
+def test_a_small_draw_is_one_pass(spark, tmp_path):
+    spark.range(5_000).selectExpr("'d' AS dataset", "id AS item_id", "'hot' AS gold").write.parquet(str(tmp_path / "i"))
+    plan = sampling.stratified_pool(spark.read.parquet(str(tmp_path / "i")), 2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("WindowGroupLimit") >= 2
+
+
+@pytest.mark.parametrize("n", [1, 3, 99, 100, 101])
+def test_both_ways_to_draw_agree(spark, monkeypatch, n):
+    df = items_of(spark, [("d", i, "AB"[i % 3 == 0]) for i in range(400)]).unionByName(items_of(spark, [("d", 5, "B")] * 3))
+    one = rows(sampling.first_by_hash(df, ["dataset", "gold"], n, 3))
+    monkeypatch.setattr(sampling, "SMALL_DRAW", 0)
+    assert rows(sampling.first_by_hash(df, ["dataset", "gold"], n, 3)) == one
