@@ -58,9 +58,8 @@ def _tail(z: str) -> str:
     return f"(1 / (1 + exp(1.5976::DOUBLE * {x} + 0.07056::DOUBLE * {x} * {x} * {x})))"
 
 
-_ALPHABET = " ".join(f"WHEN regexp_matches(token, {_quoted(p)}) THEN {_quoted(a)}" for p, a, _ in secrets.ENCODINGS)
-_MASS = " ".join(f"WHEN regexp_matches(token, {_quoted(p)}) THEN {m}::DOUBLE" for p, _, m in secrets.ENCODINGS)
-_PAIR, _TRIPLE = f"{secrets.TEXT_PAIR}::DOUBLE", f"{secrets.TEXT_TRIPLE}::DOUBLE"
+_ALPHABET = " ".join(f"WHEN regexp_matches(token, {_quoted(p)}) THEN {_quoted(a)}" for p, a in secrets.ENCODINGS)
+_EVEN = " ".join(f"WHEN regexp_matches(token, {_quoted(p)}) THEN {e}" for (p, _), e in zip(secrets.ENCODINGS, secrets.EVEN))
 
 OP3 = rf"""
 WITH doc AS (
@@ -73,7 +72,7 @@ WITH doc AS (
 ), span AS (
   SELECT rid, kind, ("end" - n)::BIGINT AS start, "end"::BIGINT AS "end", token, n FROM hit
   WHERE CASE kind WHEN 0 THEN length(regexp_extract(token, {_quoted(secrets.ASSIGN)}, 2)) >= {secrets.ASSIGN_LEAST}
-    WHEN 3 THEN regexp_matches(token, '[0-9]') ELSE true END
+    ELSE true END
 ), run AS (
   SELECT * FROM (SELECT *,
     max("end") FILTER (kind < 3) OVER (PARTITION BY rid ORDER BY start, kind ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
@@ -82,7 +81,9 @@ WITH doc AS (
   WHERE kind = 3 AND coalesce(before <= start, true) AND coalesce(after >= "end", true) AND regexp_matches(token, '[A-Za-z]')
 ), symbols AS (
   SELECT *, length(alphabet)::DOUBLE AS a, [instr(alphabet, c) - 1 FOR c IN string_split(token, '')] AS v
-  FROM (SELECT *, CASE {_ALPHABET} END AS alphabet, CASE {_MASS} END AS mass FROM run)
+  FROM (SELECT *, CASE {_ALPHABET} END AS alphabet, CASE {_EVEN} END AS even,
+    [instr({_quoted(secrets.SYMBOLS)}, c) FOR c IN string_split(token, '')] AS s,
+    [{secrets.KIND_OF}[x] FOR x IN s] AS k FROM run)
 ), sums AS (
   SELECT *, [CASE WHEN 2 * x >= a THEN 1 ELSE 0 END FOR x IN v] AS high,
     list_sum([len([y FOR y IN v IF y = d]) ** 2 FOR d IN list_distinct(v)]) AS squares,
@@ -92,17 +93,17 @@ WITH doc AS (
 ), moments AS (
   SELECT *, list_sum(high) AS n1, list_sum([abs(high[i] - high[i + 1]) FOR i IN range(1, n)]) AS changes,
     2.0::DOUBLE * n1 * (n - n1) / n + 1 AS mu, (mu - 1) * (mu - 2) / (n - 1) AS spread, n * s2 - s1 * s1 AS den,
-    n * (n - 1) / 2.0::DOUBLE AS pairs
+    {secrets.FIRST}[k[1] + 1] + list_sum([{secrets.WITHIN}[x] FOR x IN s])
+      + list_sum([{secrets.NEXT}[4 * k[i] + k[i + 1] + 1] FOR i IN range(1, n)]) AS cost
   FROM sums
 ), scores AS (
   SELECT *, (a / n * squares - n - (a - 1)) / sqrt(2 * (a - 1) * (n - 1) / n) AS z_chi,
     CASE WHEN spread > 0 THEN abs(changes + 1 - mu) / sqrt(spread) ELSE sqrt(n) END AS z_runs,
-    CASE WHEN den > 0 THEN abs((n * lag - s1 * s1) / den + 1.0::DOUBLE / (n - 1)) * (n - 1) * sqrt(n - 2) / n ELSE sqrt(n) END AS z_serial,
-    (squares - n - 2 * pairs * {_PAIR}) / (2 * sqrt(pairs * {_PAIR} * (1 - {_PAIR}) + 2 * pairs * (n - 2) * ({_TRIPLE} - {_PAIR} * {_PAIR}))) AS z_text
+    CASE WHEN den > 0 THEN abs((n * lag - s1 * s1) / den + 1.0::DOUBLE / (n - 1)) * (n - 1) * sqrt(n - 2) / n ELSE sqrt(n) END AS z_serial
   FROM moments
 ), levels AS (
   SELECT *, least(1.0::DOUBLE, 3 * least({_tail("z_chi")}, 2 * {_tail("z_runs")}, 2 * {_tail("z_serial")})) AS p_random,
-    {_tail("-z_text")} * pow(mass, n) AS p_text
+    pow(2.0::DOUBLE, -greatest(cost - n * even, 0) / {secrets.PER_BIT}.0::DOUBLE) AS p_text
   FROM scores
 ), one AS (
   SELECT DISTINCT token, n, p_text FROM levels

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import log2
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kappaloom.session import materialize
@@ -16,26 +18,49 @@ ASSIGN_LEAST = 6
 #: 20 and 24 characters at least; runs are maximal, so a minimum in the pattern drops the same.
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-#: A whole run of at least 20 encoding characters with a digit in it.
-CANDIDATE = r"(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}+"
+#: A whole run of at least 20 encoding characters.
+CANDIDATE = r"[A-Za-z0-9+/_-]{20,}+"
 
-#: Encodings by the smallest alphabet that holds the run: (pattern, alphabet, share of the
-#: characters of ordinary text that lie in the alphabet).
+LOWER, UPPER, DIGITS, SIGNS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "+/-_"
+#: Encodings by the smallest alphabet that holds the run: (pattern, alphabet).
 ENCODINGS = (
-    ("^[0-9a-f]+$", "0123456789abcdef", 0.3),
-    ("^[0-9A-F]+$", "0123456789ABCDEF", 0.3),
-    ("^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 1.0),
-    ("^[0-9a-z]+$", "0123456789abcdefghijklmnopqrstuvwxyz", 1.0),
-    ("^[0-9A-Z]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", 1.0),
-    ("^[0-9A-Za-z]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", 1.0),
-    ("", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_", 1.0),
+    ("^[0-9a-f]+$", DIGITS + "abcdef"),
+    ("^[0-9A-F]+$", DIGITS + "ABCDEF"),
+    ("^[a-z]+$", LOWER),
+    ("^[A-Z]+$", UPPER),
+    ("^[A-Z2-7]+$", UPPER + "234567"),
+    ("^[0-9a-z]+$", DIGITS + LOWER),
+    ("^[0-9A-Z]+$", DIGITS + UPPER),
+    ("^[A-Za-z]+$", UPPER + LOWER),
+    ("^[0-9A-Za-z]+$", DIGITS + UPPER + LOWER),
+    ("", UPPER + LOWER + DIGITS + SIGNS),
 )
-#: Chance that two, and three, characters of ordinary text are equal.
-TEXT_PAIR, TEXT_TRIPLE = 0.0667, 0.0054
+#: Ordinary text as a chain of character kinds (lower case, upper case, digit, sign): how often each
+#: begins a run and follows each other, in percent ...
+BEGINS = (50, 30, 15, 5)
+FOLLOWS = ((93, 1.5, 1.5, 4), (55, 38, 3, 4), (8, 4, 68, 20), (68, 12, 17, 3))
+#: ... and the letters a to z among letters, in per mille of English text.
+LETTERS = (82, 15, 28, 43, 127, 22, 20, 61, 70, 1.5, 7.7, 40, 24, 67, 75, 19, 0.95, 60, 63, 91, 28, 9.8, 24, 1.5, 20, 0.74)
+#: Costs are whole numbers of this share of a bit, so that sums are exact.
+PER_BIT = 64
+
+
+def _cost(chance: float) -> int:
+    return round(-log2(chance) * PER_BIT)
+
+
+#: Symbols by kind; what each costs within its kind, and each kind at the beginning and after each other.
+SYMBOLS = LOWER + UPPER + DIGITS + SIGNS
+KIND_OF = [0] * 26 + [1] * 26 + [2] * 10 + [3] * 4
+WITHIN = [_cost(p / sum(LETTERS)) for p in LETTERS] * 2 + [_cost(0.1)] * 10 + [_cost(0.25)] * 4
+FIRST = [_cost(p / 100) for p in BEGINS]
+NEXT = [_cost(p / 100) for row in FOLLOWS for p in row]
+#: Cost of a symbol of an even draw, by alphabet.
+EVEN = [_cost(1 / len(alphabet)) for _, alphabet in ENCODINGS]
 #: A run whose randomness is rejected at this level is no secret.
 RANDOM_LEVEL = 0.001
 #: Share of ordinary text that may be among the runs added.
-FALSE_DISCOVERIES = 0.001
+FALSE_DISCOVERIES = 0.01
 #: P values are counted in bins of sixteenths of a power of two.
 BINS, PER_POWER = 4096, 16
 
@@ -62,17 +87,22 @@ def battery(runs: DataFrame) -> DataFrame:
     The encoding is the smallest alphabet that holds the run. p_random is the combined level
     (Bonferroni) at which three tests reject an even draw from it: chi-squared of the symbol
     counts, runs above and below the middle of the alphabet, and circular serial correlation.
-    p_text is the chance that ordinary text of that length lies in the alphabet and repeats its
-    characters as seldom.
+    p_text compares the run's chance as ordinary text, by the frequency of its letters and the changes
+    between lower case, upper case, digits and signs, with that of an even draw. Text is t times less
+    likely than the draw with a chance of 1 / t at most, whatever the length: the ratio itself is a level.
     """
-    alphabet, mass = F.lit(""), F.lit(1.0)
-    for pattern, letters, share in reversed(ENCODINGS):
+    alphabet, even = F.lit(""), F.lit(0)
+    for (pattern, letters), cost in reversed(list(zip(ENCODINGS, EVEN))):
         fits = F.col("token").rlike(pattern)
         alphabet = F.when(fits, F.lit(letters)).otherwise(alphabet)
-        mass = F.when(fits, F.lit(share)).otherwise(mass)
+        even = F.when(fits, F.lit(cost)).otherwise(even)
+
+    def listed(numbers) -> str:
+        return f"array({', '.join(map(str, numbers))})"
+
     total = "0L, (s, x) -> s + x"
     steps = (
-        ("alphabet", alphabet), ("mass", mass),
+        ("alphabet", alphabet), ("even", even),
         ("a", F.length("alphabet").cast("double")),
         ("chars", F.split("token", "")),
         ("v", F.transform("chars", lambda c: (F.instr(F.col("alphabet"), c) - 1).cast("long"))),
@@ -92,11 +122,13 @@ def battery(runs: DataFrame) -> DataFrame:
             "if(den > 0, abs((n * lag - s1 * s1) / den + 1.0D / (n - 1)) * (n - 1) * sqrt(n - 2) / n, sqrt(n))")),
         ("p_random", F.least(F.lit(1.0), 3 * F.least(
             _tail(F.col("z_chi")), 2 * _tail(F.col("z_runs")), 2 * _tail(F.col("z_serial"))))),
-        ("pairs", F.expr("n * (n - 1) / 2.0D")),
-        ("z_text", F.expr(
-            f"(squares - n - 2 * pairs * {TEXT_PAIR}D) / (2 * sqrt(pairs * {TEXT_PAIR}D * (1 - {TEXT_PAIR}D)"
-            f" + 2 * pairs * (n - 2) * ({TEXT_TRIPLE}D - {TEXT_PAIR}D * {TEXT_PAIR}D)))")),
-        ("p_text", _tail(-F.col("z_text")) * F.pow("mass", F.col("n"))),
+        ("s", F.transform("chars", lambda c: F.instr(F.lit(SYMBOLS), c))),
+        ("k", F.expr(f"transform(s, x -> element_at({listed(KIND_OF)}, x))")),
+        ("cost", F.expr(
+            f"element_at({listed(FIRST)}, k[0] + 1) + aggregate(transform(s, x -> cast(element_at({listed(WITHIN)}, x) as long)), {total})"
+            f" + aggregate(zip_with(slice(k, 1, size(k) - 1), slice(k, 2, size(k) - 1),"
+            f" (x, y) -> cast(element_at({listed(NEXT)}, 4 * x + y + 1) as long)), {total})")),
+        ("p_text", F.expr(f"pow(2.0D, -greatest(cost - n * even, 0L) / {PER_BIT}.0D)")),
     )
     out = runs
     for name, column in steps:

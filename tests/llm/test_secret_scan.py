@@ -88,8 +88,8 @@ def test_main_path_is_native(docs_of):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
-@pytest.mark.parametrize("pattern,alphabet,share", ss.ENCODINGS)
-def test_alphabets_have_distinct_symbols(pattern, alphabet, share):
+@pytest.mark.parametrize("pattern,alphabet", ss.ENCODINGS)
+def test_alphabets_have_distinct_symbols(pattern, alphabet):
     assert len(set(alphabet)) == len(alphabet) and re.search(pattern, alphabet)
 
 
@@ -113,3 +113,49 @@ def test_battery_and_discoveries_against_sql(docs_of):
     report = ss.secret_report(docs_of(list(enumerate(texts))))
     assert differences(report, con, ORACLES["op3_secret_scan"]) == []
     assert report.where("n_random > 0").count() > 30
+
+
+ALPHABETS = {
+    "base62": string.ascii_letters + string.digits, "lower": string.ascii_lowercase + string.digits,
+    "letters": string.ascii_lowercase, "mixed letters": string.ascii_letters, "base32": string.ascii_uppercase + "234567",
+}
+
+
+def slugs(rnd, n):
+    """Ordinary long runs: titles, paths, names in camel case, words run together, with numbers and years."""
+    words = ("annual report release notes version internal settings service account user data table index quarterly "
+             "summary image header footer green mountain river customer order invoice payment monthly weather station "
+             "Donau schiff fahrt gesellschaft bibliothek entreprise developpement ventana biblioteca").split()
+    out = []
+    while len(out) < n:
+        ws = [rnd.choice(words) for _ in range(rnd.randint(3, 7))]
+        kind = rnd.randrange(5)
+        run = ("-".join(ws), "/".join(ws), "".join(w.title() for w in ws), "_".join(ws).upper(), "".join(ws))[kind]
+        run += rnd.choice(["", "", str(rnd.randint(1, 9)), f"-{rnd.randint(1990, 2030)}", f"_v{rnd.randint(1, 20)}"])
+        if len(run) >= 20:
+            out.append(run)
+    return out
+
+
+def test_recall_beside_thousands_of_ordinary_runs(docs_of):
+    rnd = random.Random(11)
+    keys = [(name, n, "".join(rnd.choice(alphabet) for _ in range(n)))
+            for name, alphabet in ALPHABETS.items() for n in (20, 24, 32, 40) for _ in range(150)]
+    plain = slugs(rnd, 5_000)
+    rows = [(i, f"see {k} here") for i, (_, _, k) in enumerate(keys)] + [(100_000 + i, f"see {k} here") for i, k in enumerate(plain)]
+    got = {r.doc_id: r.n_random for r in ss.secret_report(docs_of(rows)).select("doc_id", "n_random").collect()}
+    found = {}
+    for i, (name, n, _) in enumerate(keys):
+        found.setdefault((name, n), []).append(got[i])
+    recall = {k: sum(v) / len(v) for k, v in found.items()}
+    false = sum(got[100_000 + i] for i in range(len(plain)))
+    print(recall, false)
+    assert false <= 0.01 * len(plain)
+    assert all(r >= 0.9 for (name, n), r in recall.items() if name in ("base62", "lower", "mixed letters", "base32"))
+    assert all(r >= 0.9 for (name, n), r in recall.items() if name == "letters" and n >= 32)
+
+
+def test_recall_of_a_few_keys_alone(docs_of):
+    rnd = random.Random(12)
+    rows = [(i, f"key {random_token(rnd, 20 + i % 3)}.") for i in range(100)]
+    assert sum(r.n_random for r in ss.secret_report(docs_of(rows)).collect()) >= 90
