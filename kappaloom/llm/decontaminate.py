@@ -225,20 +225,15 @@ def benchmark_leaks(
 
 def without_leaks(docs: DataFrame, blocks: list[Benchmark]) -> DataFrame:
     """The rows of ``docs`` (with a column text) in which no item is found, all columns kept."""
-    at = docs.columns.index("text")
+    names, at = docs.columns, docs.columns.index("text")
+    numbers = [f"_{i}" for i in range(len(names))]  # names of the caller's table may clash
+    kept = docs.toDF(*numbers)
     for block in blocks:
         def keep(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            for part in portions(_numbered(batches, at), f"_{at}"):
+            for part in portions(batches, numbers[at]):
                 stay = np.ones(part.num_rows, bool)
                 stay[[x[0] for x in block.find(part.column(at))]] = False
-                yield pa.RecordBatch.from_arrays(part.filter(pa.array(stay)).columns, docs_columns)
+                yield part.filter(pa.array(stay))
 
-        docs_columns = docs.columns
-        docs = docs.mapInArrow(keep, docs.schema)
-    return docs
-
-
-def _numbered(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
-    """Columns by number: names of the caller's table may clash."""
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays(batch.columns, [f"_{i}" for i in range(batch.num_columns)])
+        kept = kept.mapInArrow(keep, kept.schema)
+    return kept.toDF(*names)

@@ -182,9 +182,11 @@ def keep_identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
         compressors = model.compressors()
         for part in portions(_named(batches, at)):
             stay = [not model.classify(t.as_py(), compressors)[2] for t in part.column(at)]
-            yield pa.RecordBatch.from_arrays(part.filter(pa.array(stay, pa.bool_())).columns, names)
+            yield pa.RecordBatch.from_arrays(part.filter(pa.array(stay, pa.bool_())).columns, numbers)
 
-    return docs.mapInArrow(keep, docs.schema)
+    numbers = [f"_{i}" for i in range(len(names))]
+    numbered = docs.toDF(*numbers)
+    return numbered.mapInArrow(keep, numbered.schema).toDF(*names)
 
 
 def _named(batches: Iterator[pa.RecordBatch], at: int = 1) -> Iterator[pa.RecordBatch]:

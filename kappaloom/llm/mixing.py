@@ -94,13 +94,14 @@ def mix_sources(
     are taken in that order until their words come nearest to the rest: a sample of fixed size
     in words. No row gets more than ``cap`` copies.
 
-    Random numbers are a hash of seed and id: reruns agree, whatever the partitioning. Repeated
+    Random numbers are a hash of seed and id, or text without one: reruns agree, whatever the partitioning. Repeated
     rows have one place in the order, rows of one id too; ties are taken in any order. A row
     without words is taken with 0. An empty table gives an empty one.
     """
     picked = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.when(F.col(id_col).isNull(), F.concat(F.lit("-"), F.xxhash64(text_col).cast("string"))).alias("stand_in"),
         *[F.col(c).alias(f"_keep_{c}") for c in keep])
     sized = materialize(picked, "sizes")
     # Whole thousandths: their sums are the same in any order.
@@ -116,7 +117,7 @@ def mix_sources(
         "mean_merit", F.when(some, F.col("merits") / F.col("source_size")).otherwise(F.lit(0.0)))
     targets = materialize(targets.withColumnRenamed("source", "_source").drop("merits", "weight"), "targets")
     drawn = F.conv(F.substring(F.md5(F.concat(
-        F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 13), 16, 10).cast("long")
+        F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.col("stand_in"), F.lit("")))), 1, 13), 16, 10).cast("long")
     u = (drawn + F.lit(0.5)) / F.lit(float(1 << 52))
     lean = F.lit(LEAN) * F.least(F.col("share"), 1 - F.col("share")) * (
         (merit - F.col("mean_merit")) / 1000)
@@ -128,7 +129,7 @@ def mix_sources(
         .withColumn("place", F.col("rank") / (1 + F.col("rank")))
         .withColumn("cell", F.floor(F.col("place") * CELLS).cast("int"))
         .withColumn("fine", F.floor(F.col("place") * (CELLS * CELLS)).cast("int"))
-        .drop("u", "chance", "rank", "share", "mean_merit")
+        .drop("u", "chance", "rank", "share", "mean_merit", "stand_in")
     )
     ranked = materialize(ranked, "ranked")
     sums = lambda rows, *by: rows.groupBy("no", *by).agg(

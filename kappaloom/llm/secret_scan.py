@@ -231,8 +231,9 @@ def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span of ``secret_spans`` replaced by ``mark`` and n_chars renewed.
 
-    Touching and overlapping spans become one mark. Rows without a span come back as they are;
-    a row's text moves only in the join that brings its cuts.
+    Touching and overlapping spans become one mark. Rows without a span come back as they are,
+    null texts too; repeated rows share one result; all other columns are kept whatever their names. A
+    row's text moves only in the join that brings its cuts.
     """
     rows, spans = secret_spans(docs)
     order = Window.partitionBy("row").orderBy("start", "kind", "end")
@@ -243,15 +244,18 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         F.array_sort(F.collect_list(F.struct("start", "kind", "end", "done", "marks"))).alias("cuts"),
         F.max("end").alias("last"))
     per_text = rows.join(per_row, "row").dropDuplicates(["doc_id", "sign"]).select(
-        F.col("doc_id").alias("_id"), F.col("sign").alias("_sign"), "cuts", "last")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    piece = F.transform("cuts", lambda x: F.concat(
+        F.col("doc_id").alias("_id"), F.col("sign").alias("_sign"), F.col("cuts").alias("_cuts"), F.col("last").alias("_last"))
+    held = docs.select(
+        F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_key"),
+        F.coalesce(F.col("text"), F.lit("")).alias("_text")).withColumn("_own", F.xxhash64("_text"))
+    met = held.join(per_text, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sign")), "left")
+    text, none = F.col("_text"), F.col("_cuts").isNull()
+    piece = F.transform("_cuts", lambda x: F.concat(
         F.substring(text, (x["done"] + 1).cast("int"), F.greatest(x["start"] - x["done"], F.lit(0)).cast("int")),
         F.when(x["marks"], F.lit(mark)).otherwise(F.lit(""))))
-    clean = F.when(F.col("cuts").isNull(), F.col("text")).otherwise(F.concat(
-        F.array_join(piece, ""), F.substring(text, (F.col("last") + 1).cast("int"), F.length(text))))
-    return docs.join(per_text, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_sign")), "left").withColumn(
-        "_clean", clean).select(*[
-            F.col("_clean").alias("text") if c == "text" else
-            F.when(F.col("cuts").isNull(), F.col("n_chars")).otherwise(F.length("_clean")).alias("n_chars") if c == "n_chars"
-            else F.col(c) for c in docs.columns])
+    clean = F.when(none, F.col("_row.text")).otherwise(F.concat(
+        F.array_join(piece, ""), F.substring(text, (F.col("_last") + 1).cast("int"), F.length(text))))
+    made = {"text": F.col("_clean"), "n_chars": F.when(none, F.col("_row.n_chars")).otherwise(F.length("_clean"))
+            if "n_chars" in docs.columns else None}
+    return met.withColumn("_clean", clean).select(*[
+        made[c].alias(c) if c in made else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])

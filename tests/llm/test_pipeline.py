@@ -84,3 +84,58 @@ def test_run_is_all_stages(spark, sf_dir, stages):
     key = ["doc_id", "taken"]
     assert sorted(map(tuple, cp.run(spark, sf_dir).select(*key).collect())) == sorted(map(tuple, stages[-1].select(*key).collect()))
     assert __spark_entry__.queries()["pipeline"] is cp.run
+
+
+NAMES = ["cuts", "last", "size", "copies", "target", "taken", "source_size", "_id", "_own", "_sign", "_row", "_key", "fp", "a.b"]
+
+
+def awkward(spark, rows):
+    """documents with null ids, null and empty texts, repeats, and columns of the stages' own names."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in NAMES)
+    return spark.createDataFrame(
+        [(i, t, lang, source, None if t is None else len(t), *[f"{n}!" for n in NAMES]) for i, t, lang, source in rows], schema)
+
+
+def awkward_rows(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40).collect()
+    rows = [(r.doc_id, r.text, r.lang, r.source) for r in docs]
+    text = rows[0][1]
+    return rows + [
+        (None, text + " token=abcdefgh", None, None), (None, text + " token=abcdefgh", None, None), (None, None, None, "s"),
+        (9001, None, "en", None), (9002, "", None, "s"), (9003, "1234 5678", "en", "s"), rows[1], rows[1],
+        (9004, "secret=abcdefgh " + " ".join(f"word{i}" for i in range(30_000)), "en", "s"),
+        (rows[2][0], "another text of that id " + rows[3][1], "en", "s")]
+
+
+@pytest.mark.parametrize("stage", [f for _, f in cp.STAGES], ids=[n for n, _ in cp.STAGES])
+def test_stages_keep_awkward_rows_and_columns(spark, sf_dir, stage):
+    docs = awkward(spark, awkward_rows(spark, sf_dir))
+    got = stage(spark, docs, sf_dir)
+    made = ["size", "source_size", "target", "taken", "copies"] if stage is cp.mix else []
+    assert sorted(got.columns) == sorted(set(docs.columns) | set(made))
+    rows = got.collect()
+    assert rows
+    for r in rows:
+        assert all(r[n] == f"{n}!" for n in NAMES if n not in made)
+    ids = [r.doc_id for r in rows]
+    if stage is cp.redact_secrets:
+        assert len(rows) == docs.count() and sum("[SECRET]" in (r.text or "") for r in rows) >= 3
+        assert {r.n_chars for r in rows if r.text is None} == {None}
+    if stage is cp.drop_near_copies:
+        assert len(set(map(str, rows))) == len(rows) and sum(not r.text for r in rows) == 1
+    if stage is cp.identify_language:
+        assert all(r.text for r in rows) and 9003 not in ids
+    if stage is cp.drop_contaminated:
+        assert sum(r.text is None for r in rows) == 2 and 9002 in ids
+
+
+@pytest.mark.parametrize("stage", [f for _, f in cp.STAGES], ids=[n for n, _ in cp.STAGES])
+def test_stages_of_an_empty_table(spark, sf_dir, stage):
+    got = stage(spark, awkward(spark, []), sf_dir)
+    assert got.count() == 0 and set(got.columns) >= {"doc_id", "text", "lang", "source", "n_chars", *NAMES[:2]}
+
+
+def test_an_empty_benchmark_leaves_everything(spark, sf_dir, tmp_path):
+    spark.read.parquet(f"{sf_dir}/benchmark.parquet").limit(0).write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = awkward(spark, awkward_rows(spark, sf_dir))
+    assert cp.drop_contaminated(spark, docs, str(tmp_path)).count() == docs.count()
