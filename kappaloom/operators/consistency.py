@@ -14,21 +14,41 @@ from kappaloom.operators.scoring import METRICS, known, metrics_from_confusion
 from kappaloom.session import materialize
 
 
-def rating_patterns(preds: DataFrame, keys: list[str]) -> DataFrame:
+def item_mark():
+    """A hash of an item and its gold label; the exclusive or of many tells one set of them from another."""
+    return F.xxhash64("dataset", "item_id", "gold")
+
+
+def rating_patterns(preds: DataFrame, keys: list[str], marked: bool = False) -> DataFrame:
     """``keys``, gold, ratings (struct run_idx, pred in run order), n.
 
     One shuffle by item, whose groups hold one row per run, then a count of equal
-    patterns that combines inside each task.
+    patterns that combines inside each task. ``marked`` adds the exclusive or of the item marks.
     """
     rating = F.struct("run_idx", known("pred").alias("pred"))
     return (
         preds.groupBy(*keys, "dataset", "item_id", "gold")
         .agg(F.array_sort(F.collect_list(rating)).alias("ratings"))
         .groupBy(*keys, "gold", "ratings")
-        .agg(F.count("*").alias("n"))
+        .agg(F.count("*").alias("n"), *[F.bit_xor(item_mark()).alias("mark")] * marked)
     )
 
 
+def merge_patterns(patterns: DataFrame, keys: list[str]) -> DataFrame:
+    """Marked pattern counts of several parts of the items as those of all: counts add up."""
+    return patterns.groupBy(*keys, "gold", "ratings").agg(F.sum("n").alias("n"), F.bit_xor("mark").alias("mark"))
+
+
+def covers(patterns: DataFrame, keys: list[str], gold: DataFrame, n_runs: int) -> bool:
+    """Whether merged patterns hold each row of ``gold`` (dataset, item_id, gold) once in every one of
+    their ``keys``, with all ``n_runs`` answers, and nothing else."""
+    wanted = gold.groupBy("dataset").agg(F.count("*").alias("items"), F.bit_xor(item_mark()).alias("items_mark"))
+    held = patterns.groupBy(*keys).agg(
+        F.sum("n").alias("n"), F.bit_xor("mark").alias("mark"), F.max(F.size("ratings") != n_runs).alias("short"))
+    return held.join(wanted, "dataset", "left").where(
+        "short or items is null or n <> items or mark <> items_mark").isEmpty()
+
+
 def _long(patterns: DataFrame, keys: list[str]) -> DataFrame:
     return patterns.select(*keys, "gold", "n", F.inline("ratings"))
 

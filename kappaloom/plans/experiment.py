@@ -14,7 +14,9 @@ from kappaloom.functions.ids import CONDITION
 from kappaloom.operators.annotate import Backend, annotate
 from kappaloom.operators.cleaning import clean_items, label_vocabulary
 from kappaloom.operators.conditions import Grid, with_runs
-from kappaloom.operators.consistency import condition_summary, metrics_table
+from kappaloom.operators.consistency import (
+    condition_summary, covers, merge_patterns, metrics_table, rating_patterns, summary_from_patterns,
+)
 from kappaloom.operators.dedup import annotate_distinct
 from kappaloom.operators.extract import extract_labels
 from kappaloom.operators.label_tables import extract_with_table
@@ -27,8 +29,9 @@ from kappaloom.operators.retry import annotate_in_rounds
 from kappaloom.operators.scoring import align, alignment_audit
 from kappaloom.operators.sampling import stratified_pool, test_split, uniform_sample
 from kappaloom.session import materialize, scratch_path
+from kappaloom.sources import manifest
 from kappaloom.sources.results import (
-    append_predictions, compact_predictions, drop_predictions, read_predictions, saved_predictions, write_report_csv,
+    PREDICTION_SCHEMA, append_predictions, compact_predictions, drop_predictions, read_predictions, saved_predictions, write_report_csv,
     write_summaries,
 )
 
@@ -122,6 +125,7 @@ def run_experiment(items: DataFrame, setup: Experiment, out: str) -> DataFrame:
     store = f"{out}/predictions"
     if not setup.skip_existing:
         drop_predictions(spark, store, grid)
+        manifest.clear(spark, f"{out}/patterns")
     runs = conditions.select("run_no", "run_id", "run_idx", *CONDITION)
     work = write_portions(
         open_runs(test, runs, saved_runs(spark, store, runs), keep_failed=not setup.retry_failed),
@@ -141,6 +145,7 @@ def run_experiment(items: DataFrame, setup: Experiment, out: str) -> DataFrame:
         rows = answers.join(F.broadcast(named), ["dataset", "cond_id", "run_idx"]).join(
             portion.select("dataset", "item_id", "gold"), ["dataset", "item_id"])
         append_predictions(read(rows), store)
+        count_portion(spark, store, f"{out}/patterns")
         done += 1
     if done:
         compact_predictions(spark, store)
@@ -176,6 +181,44 @@ def write_portions(items: DataFrame, steps: int) -> DataFrame:
     return items.sparkSession.read.schema(dealt.schema).parquet(path)
 
 
+PATTERN_SCHEMA = (
+    "dataset string, model string, shot_type string, length string, context_level string, gold string, "
+    "ratings array<struct<run_idx:int,pred:string>>, n long, mark long")
+
+
+def count_portion(spark: SparkSession, store: str, path: str) -> None:
+    """Add the pattern counts of the newest predictions to the table of counts.
+
+    Only what was just written is read; a portion has few patterns, whatever its number of items.
+    """
+    newest = manifest.read_last(spark, store, PREDICTION_SCHEMA)
+    manifest.append(rating_patterns(newest, CONDITION, marked=True), path, [])
+
+
+def counted_patterns(gold: DataFrame, setup: Experiment, out: str) -> DataFrame | None:
+    """The pattern counts of all portions, merged; None where they are not those of the wanted answers.
+
+    They are if every condition of the grid has each wanted item once, with its gold label and all runs,
+    and nothing else was saved. Else some item was answered in several goes, or asked again, or another grid or set of items
+    left its counts here, and the predictions have to be read.
+    """
+    spark = gold.sparkSession
+    if not manifest.has_manifest(spark, f"{out}/patterns"):
+        return None
+    merged = materialize(merge_patterns(
+        manifest.read(spark, f"{out}/patterns", PATTERN_SCHEMA), CONDITION), "merged_patterns")
+    gold = materialize(gold, "gold")
+    conditions = setup.grid.table(spark).select(*CONDITION).join(gold.select("dataset").distinct(), "dataset")
+    found = merged.select(*CONDITION).distinct()
+    same = conditions.join(found, CONDITION, "left_anti").isEmpty() and found.join(
+        conditions, CONDITION, "left_anti").isEmpty()
+    if not same or not covers(merged, CONDITION, gold, setup.grid.n_runs):
+        return None
+    answers = merged.agg(F.sum(F.col("n") * F.size("ratings"))).first()[0] or 0
+    # The rows of the table are counted from its files' footers.
+    return merged if answers == read_predictions(spark, f"{out}/predictions").count() else None
+
+
 def usable_answers(saved: DataFrame) -> DataFrame:
     """One answer per run and item: a failed one only where no later attempt succeeded.
 
@@ -189,9 +232,8 @@ def usable_answers(saved: DataFrame) -> DataFrame:
     )
 
 
-def score(gold: DataFrame, setup: Experiment, out: str) -> DataFrame:
-    """Summaries, flat metrics and report files from the stored predictions."""
-    spark = gold.sparkSession
+def wanted_answers(spark: SparkSession, setup: Experiment, out: str) -> DataFrame:
+    """One usable answer per wanted run and item, from the stored predictions."""
     saved = read_predictions(spark, f"{out}/predictions")
     for axis, values in (
         ("dataset", setup.grid.datasets), ("model", setup.grid.models),
@@ -200,10 +242,25 @@ def score(gold: DataFrame, setup: Experiment, out: str) -> DataFrame:
     ):
         saved = saved.where(F.col(axis).isin(*values))
     saved = saved.where(F.col("run_idx") < setup.grid.n_runs)
-    answers = materialize(usable_answers(saved.drop("gold")), "usable_answers")
-    alignment_audit(gold, answers.select("dataset", "item_id")).coalesce(1).write.mode(
-        "overwrite").json(f"{out}/alignment")
-    summary = materialize(condition_summary(align(gold, answers), CONDITION), "summary")
+    return materialize(usable_answers(saved.drop("gold")), "usable_answers")
+
+
+def score(gold: DataFrame, setup: Experiment, out: str) -> DataFrame:
+    """Summaries, flat metrics and report files.
+
+    From the pattern counts that each portion left, where they cover the wanted answers: then of the
+    predictions only item ids are read again. Else from the stored predictions.
+    """
+    spark = gold.sparkSession
+    patterns = counted_patterns(gold, setup, out)
+    if patterns is not None:
+        answered = read_predictions(spark, f"{out}/predictions").select("dataset", "item_id").distinct()
+        summary = materialize(summary_from_patterns(patterns, CONDITION), "summary")
+    else:
+        answers = wanted_answers(spark, setup, out)
+        answered = answers.select("dataset", "item_id")
+        summary = materialize(condition_summary(align(gold, answers), CONDITION), "summary")
+    alignment_audit(gold, answered).coalesce(1).write.mode("overwrite").json(f"{out}/alignment")
     write_summaries(summary, f"{out}/metrics")
     # One row for each condition: a report is one small task, without any exchange.
     metrics = metrics_table(summary).coalesce(1)

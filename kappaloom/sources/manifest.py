@@ -66,7 +66,8 @@ def _publish(spark: SparkSession, path: str, live: list[str]) -> None:
 
 def _write(rows: DataFrame, path: str, partition: list[str]) -> str:
     name = f"gen={uuid.uuid4().hex}"
-    rows.hint("rebalance", *partition).write.partitionBy(*partition).parquet(f"{path}/data/{name}")
+    dealt = rows.hint("rebalance", *partition) if partition else rows.coalesce(1)  # few rows
+    dealt.write.partitionBy(*partition).parquet(f"{path}/data/{name}")
     return name
 
 
@@ -83,6 +84,11 @@ def read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return _read(spark, path, live, schema) if live else spark.createDataFrame([], schema)
 
 
+def read_last(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of the newest live generation alone."""
+    return _read(spark, path, live_generations(spark, path)[-1:], schema)
+
+
 def _read(spark: SparkSession, path: str, generations: list[str], schema: str) -> DataFrame:
     reader = spark.read.schema(schema).option("basePath", f"{path}/data")
     return reader.parquet(*[f"{path}/data/{g}" for g in generations]).drop("gen")
@@ -121,6 +127,12 @@ def drop_partitions(spark: SparkSession, path: str, folders: list[str]) -> None:
             system.delete(place, True)
 
 
+def clear(spark: SparkSession, path: str) -> None:
+    """Make the table empty; its files stay until ``remove_dead``."""
+    if has_manifest(spark, path):
+        _publish(spark, path, [])
+
+
 def remove_dead(spark: SparkSession, path: str) -> int:
     """Delete generations and manifests that are no longer live; for when nobody reads an older view."""
     live, latest = set(live_generations(spark, path)), _latest(spark, path)

@@ -236,3 +236,29 @@ def test_seconds_of_a_run_add_up(spark, tmp_path):
     assert rows(results.run_seconds(spark, str(tmp_path / "r"))) == [("r", 150.0), ("s", None)]
     results.write_records(results.run_records(preds.drop("seconds")), str(tmp_path / "none"))
     assert {r[1] for r in rows(results.run_seconds(spark, str(tmp_path / "none")))} == {None}
+
+
+def test_scores_follow_from_the_counts_of_the_portions(spark, sf_dir, tmp_path, monkeypatch):
+    from kappaloom.operators.scoring import align
+    from kappaloom.operators.consistency import condition_summary, metrics_table
+    from kappaloom.plans import experiment as e
+
+    items = materialize(documents(spark, sf_dir).where("dataset = 'north'"), "items")
+    job = lambda runs=2, steps=3, **more: Experiment(
+        Grid(("north",), ("common",), ("zero_shot",), ("short",), ("no_context", "full_context"), runs), SYSTEMS,
+        {"common": Backend.batched(lambda: LexiconPredictor(Rule(0, 4)))}, steps=steps, **more)
+    used = []
+    monkeypatch.setattr(e, "counted_patterns", lambda *a, real=e.counted_patterns: used.append(real(*a)) or used[-1])
+    out = str(tmp_path / "out")
+    run_experiment(items, job(max_portions=1), out)
+    assert used[-1] is None  # two thirds of the items have no answer yet
+    metrics = run_experiment(items, job(), out)
+    assert used[-1] is not None
+    gold = e.test_split(e.clean_items(items), e.stratified_pool(e.clean_items(items), 2, 42)).select("dataset", "item_id", "gold")
+    recount = metrics_table(condition_summary(align(gold, e.wanted_answers(spark, job(), out)), e.CONDITION))
+    assert rows(metrics.select(*recount.columns)) == rows(recount)
+    # More runs are answered apart from the first ones; other labels are other items.
+    run_experiment(items, job(runs=3), out)
+    assert used[-1] is None
+    swapped = items.withColumn("gold", F.when(F.col("item_id") % 2 == 0, "German").otherwise(F.col("gold")))
+    assert e.counted_patterns(swapped.select("dataset", "item_id", "gold"), job(), out) is None
