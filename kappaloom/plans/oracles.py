@@ -582,6 +582,8 @@ ORACLES = {
                       f"SELECT exp_id, best_run_idx, items, {rounded(FIVE)} FROM best"),
     "condition_summary": query(*FULL, f"""
         SELECT exp_id, {rounded(FIVE + ', mean_kappa, std_kappa, icc')} FROM summary"""),
+    "merged_summary": query(*FULL, f"""
+        SELECT exp_id, {rounded(FIVE + ', mean_kappa, std_kappa, icc')} FROM summary"""),
     "report_by_shot": query(*FULL, *NAMES, f"""
         SELECT d_name AS dataset, s_name AS shot_type, {BY_MODEL}
         FROM dataset_names CROSS JOIN shot_names LEFT JOIN metrics USING (dataset, shot_type) GROUP BY ALL"""),

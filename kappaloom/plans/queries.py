@@ -569,6 +569,19 @@ def q_condition_summary(spark, sf):
         rows.select("exp_id", *SUMMARY_METRICS), SUMMARY_METRICS)
 
 
+def q_merged_summary(spark, sf):
+    """The summary from the pattern counts of three portions of the items, added up."""
+    g = grid(N_RUNS)
+    preds = materialize(rules.predict_grid(documents(spark, sf), g), "predictions")
+    parts = [consistency.rating_patterns(preds.where(F.pmod("item_id", F.lit(3)) == k), ["cond_id"], marked=True)
+             for k in range(3)]
+    merged = consistency.merge_patterns(parts[0].unionByName(parts[1]).unionByName(parts[2]), ["cond_id"])
+    rows = consistency.summary_from_patterns(materialize(merged, "merged"), ["cond_id"])
+    conditions = g.table(spark).withColumn("exp_id", experiment_id())
+    flat = consistency.metrics_table(conditions.join(rows, "cond_id").drop("cond_id"))
+    return rounded6(flat.select("exp_id", *SUMMARY_METRICS), SUMMARY_METRICS)
+
+
 SUMMARY_METRICS = [*scoring.METRICS, "mean_kappa", "std_kappa", "icc"]
 
 # ---------------------------------------------------------------- reports
@@ -797,6 +810,7 @@ QUERIES = {
     "icc_two_way": q_icc_two_way,
     "best_run": q_best_run,
     "condition_summary": q_condition_summary,
+    "merged_summary": q_merged_summary,
     "report_by_shot": q_report(reports.kappa_by_shot),
     "report_by_length": q_report(reports.kappa_by_length),
     "report_consistency": q_report(reports.consistency_report),
