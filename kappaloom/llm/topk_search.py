@@ -83,7 +83,7 @@ def _best(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
 
 
 def top_k(
-    vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = 64, sample_rows: int = 4096,
+    vectors: DataFrame, is_query: Column, k: int = 5, pivots: int | None = None, sample_rows: int = 4096,
     id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for every query row the k best other rows.
@@ -94,11 +94,12 @@ def top_k(
     rows of one id count once, with its smallest vector. Fewer than k candidates are all told;
     an empty table gives an empty result. Sums beyond a long wrap around.
 
-    The pivots are chosen from ``sample_rows`` rows at most, drawn by a hash of the id; every
-    row is indexed. Equal vectors are one entry with its k + 1 smallest ids, which decide every
+    The pivots, as many as the square root of the rows, 64 at least and a quarter of the sample at
+    most unless ``pivots`` says so, are chosen from ``sample_rows`` rows at most, drawn by a hash of the id;
+    every row is indexed. Equal vectors are one entry with its k + 1 smallest ids, which decide every
     search, so a very common vector is no large group. A pivot's entries are cut into blocks of
     about ``BLOCK_ROWS`` by a hash, sorted by distance; the queries that cannot rule out a pivot
-    visit its blocks in portions of about ``QUERY_ROWS``. What is known to the driver is the
+    visit its blocks in portions of about ``QUERY_ROWS``; a block is sent to the portions that visit it. What is known to the driver is the
     bounded sample and a row of bounds for each pivot.
     """
     spark = vectors.sparkSession
@@ -119,7 +120,7 @@ def top_k(
     matrix = np.zeros((len(sample), width))
     for i, row in enumerate(sorted(sample)):
         matrix[i, :len(row["v"])] = row["v"]
-    index = Pivots(matrix, pivots, top)
+    index = Pivots(matrix, pivots or max(64, min(math.isqrt(n), sample_rows // 4)), top)
 
     by_id = Window.partitionBy("v").orderBy("id")
     entries = rows.select("v", "id").withColumn("nth", F.row_number().over(by_id)).where(
@@ -190,11 +191,12 @@ def top_k(
 
     def run(asked: DataFrame, first: bool) -> DataFrame:
         part = F.pmod(F.xxhash64("q_id"), F.lit(parts)).cast("int").alias("part")
-        visit = asked.mapInArrow(lambda b: visits(b, first), visit_schema).withColumn("part", part)
+        visit = materialize(asked.mapInArrow(lambda b: visits(b, first), visit_schema).withColumn("part", part), "visits")
+        wanted = visit.select("pivot", "block", F.col("part").alias("to")).distinct()
         cut = F.create_map(*[x for p, b in blocks.items() for x in (F.lit(p), F.lit(b))])
         held = keyed.withColumn("block", F.pmod(F.xxhash64("v"), F.element_at(cut, F.col("pivot"))).cast("int"))
-        held = held.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-        found = held.groupBy("pivot", "block", "part").cogroup(
+        held = held.join(wanted, ["pivot", "block"])
+        found = held.groupBy("pivot", "block", "to").cogroup(
             visit.groupBy("pivot", "block", "part")).applyInArrow(
             search, "q_id long, ids array<long>, score long")
         return found.select("q_id", "score", F.explode("ids").alias("vec_id"))
