@@ -402,7 +402,7 @@ def part_answers(spark, sf) -> DataFrame:
         .when(style == 1, F.concat(F.lit("'"), F.replace(p, F.lit(" "), F.lit("-")), F.lit("'.")))
         .when(style == 2, F.concat(F.lit("It must be the "), p, F.lit(", I think.")))
         .when(style == 3, F.concat(F.lit("see_"), F.replace(p, F.lit(" "), F.lit("")), F.lit("_there")))
-        .when(style == 4, F.concat(F.lit("t"), F.replace(p, F.lit(" no "), F.lit(" on "))))
+        .when(style == 4, F.concat(F.lit("t"), p))
         .otherwise(F.lit(" ")))
     return kinds_of_part(spark, sf).withColumn("raw", raw)
 
