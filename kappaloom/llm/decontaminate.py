@@ -1,11 +1,12 @@
 """Benchmark decontamination: SimHash of item-sized windows, then exact shingle similarity.
 
-A window has as many words as a benchmark item, or is the whole text if that is shorter. Only
-windows that hold a shingle of an item can be similar to it at all, so only those get a
-fingerprint. Their fingerprints look up items of that length in a multi-index: 64 bits are
-cut into radius + 1 blocks, and any fingerprint within the radius agrees on a block. What is
-found is verified on the words themselves by weighted shingle similarity, the sum of the lesser
-counts over the sum of the greater.
+A window has as many words as a benchmark item, or is the whole text if that is shorter. A
+window similar to an item holds most of its shingles, so it holds one of the item's rarest: these
+anchors lead from the words of a text to the few items, and to the windows around the place, that
+can be similar at all. Such windows get a fingerprint. Of a window and an item of its anchors, 64
+bits are compared in radius + 1 blocks (fingerprints within the radius agree on one of them), then
+in whole. What is within the radius is verified on the words themselves by weighted shingle
+similarity, the sum of the lesser counts over the sum of the greater.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from kappaloom.llm.substring_dedup import _rolling, _word_hashes
 LEAK_SCHEMA = "doc_id long, item_id long, similarity double, start long, n_words long"
 #: text of benchmark items that is held by every task at a time; more items take more scans
 BLOCK_BYTES = 16 << 20
+#: pairs of window and item that are compared at a time
+PAIRS = 1 << 19
 _POSITIVE = np.uint64((1 << 63) - 1)
 
 
@@ -72,20 +75,39 @@ class LeakFinder:
         n = self.size - k + 1
         at = np.repeat(start - starts_of(n)[:-1], n) + np.arange(n.sum())
         owner = np.repeat(np.arange(len(items)), n)
-        pair = np.unique(np.column_stack([(sums[at] & _POSITIVE).astype(np.int64), owner]), axis=0)
-        self.of_shingle = _Lists(pair[:, 0], pair[:, 1])
+        place = (sums[at] & _POSITIVE).astype(np.int64)
+        self.of_anchor = _Lists(*self._anchors(place, owner, n, threshold))
         votes = np.add.reduceat(_bits(sums[at]).astype(np.int64), starts_of(n)[:-1], axis=0)
         self.prints = _fold(2 * votes > n[:, None])
         self.cuts = [64 * b // (radius + 1) for b in range(radius + 2)]
         self.lengths, self.length_of = np.unique(self.size, return_inverse=True)
-        self.by_block = _Lists(
-            np.concatenate([self._block_keys(self.prints, self.length_of, b) for b in range(radius + 1)]),
-            np.tile(np.arange(len(items)), radius + 1))
 
-    def _block_keys(self, prints: np.ndarray, length: np.ndarray, block: int) -> np.ndarray:
-        lo, hi = self.cuts[block], self.cuts[block + 1]
-        value = (prints >> np.uint64(lo)) & np.uint64((1 << (hi - lo)) - 1)
-        return (length * (self.radius + 1) + block) << 40 | value.astype(np.int64)
+    @staticmethod
+    def _anchors(place: np.ndarray, owner: np.ndarray, n: np.ndarray, threshold: float):
+        """(shingle, item) of the rarest shingles of each item, which no similar window is without.
+
+        Of an item's n shingles such a window holds at least threshold * n; those left out as
+        anchors, with their counts, are fewer.
+        """
+        pair, count = np.unique(np.column_stack([place, owner]), axis=0, return_counts=True)
+        _, which, items_of = np.unique(pair[:, 0], return_inverse=True, return_counts=True)
+        order = np.lexsort((pair[:, 0], -items_of[which], pair[:, 1]))  # the commonest first
+        pair, count = pair[order], count[order]
+        total = np.cumsum(count)
+        first = np.searchsorted(pair[:, 1], np.arange(len(n)))
+        upto = total - (total - count)[first][pair[:, 1]]
+        spare = np.ceil(threshold * n - 1e-9)[pair[:, 1]]
+        anchor = pair[upto >= spare]
+        return anchor[:, 0], anchor[:, 1]
+
+    def _near(self, prints: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """The pairs within the radius, found among those that agree on a block."""
+        differ = prints ^ self.prints[item]
+        agree = np.zeros(len(differ), bool)
+        for lo, hi in zip(self.cuts[:-1], self.cuts[1:]):
+            agree |= differ & np.uint64(((1 << (hi - lo)) - 1) << lo) == 0
+        at = np.flatnonzero(agree)
+        return at[np.bitwise_count(differ[at]) <= self.radius]
 
     def find(self, flat: pa.Array, hashes: np.ndarray, counts: np.ndarray) -> list[tuple[int, int, float, int, int]]:
         """(text, item, similarity, start, words) of the best window for each text and item."""
@@ -94,37 +116,40 @@ class LeakFinder:
             return []
         sums = _rolling(hashes, self.k)
         places = (sums & _POSITIVE).astype(np.int64)
-        hit = np.flatnonzero(self.of_shingle.table.find(places) >= 0)
+        hit = np.flatnonzero(self.of_anchor.table.find(places) >= 0)
         owner = np.searchsorted(first, hit, "right") - 1
         inside = hit + self.k <= first[owner] + counts[owner]
         hit, owner = hit[inside], owner[inside]
-        q, item = self.of_shingle.find(places[hit])
-        if not len(q):
-            return []
-        # Every window of the item's size around the shingle, once for each length.
-        hit, owner = hit[q], owner[q]
+        q, item = self.of_anchor.find(places[hit])
+        best: dict[tuple[int, int], tuple[float, int, int]] = {}
+        for item, owner, start in self._windows(item, hit[q], owner[q], first, counts):
+            n = np.minimum(self.size[item], counts[owner]) - self.k + 1
+            window, which = np.unique(start * (len(self.lengths) + 1) + self.length_of[item], return_inverse=True)
+            one = np.zeros(len(window), np.int64)
+            one[which] = np.arange(len(which))
+            near = self._near(self._window_prints(sums, start[one], n[one])[which], item)
+            self._verify(best, flat, first, owner[near], start[near], n[near], item[near])
+        return [(text, int(self.ids[item]), -b[0], b[1], b[2]) for (text, item), b in sorted(best.items())]
+
+    def _windows(self, item, hit, owner, first, counts):
+        """(item, text, start) of every window of the item's size around an anchor, once, some at a time."""
+        order = np.lexsort((hit, owner, item))
+        item, hit, owner = item[order], hit[order], owner[order]
         n = np.minimum(self.size[item], counts[owner])
         lo = np.maximum(hit - (n - self.k), first[owner])
         hi = np.minimum(hit, first[owner] + counts[owner] - n)
-        key = np.unique(np.column_stack([self.length_of[item], owner, lo, hi]), axis=0)
-        length, owner, start = self._starts(key)
-        n = np.minimum(self.lengths[length], counts[owner]) - self.k + 1
-        prints = self._window_prints(sums, start, n)
-        pairs = [np.zeros((0, 2), np.int64)]
-        for block in range(self.radius + 1):
-            w, found = self.by_block.find(self._block_keys(prints, length, block))
-            near = np.bitwise_count(prints[w] ^ self.prints[found]) <= self.radius
-            pairs.append(np.column_stack([w[near], found[near]]))
-        pairs = np.unique(np.concatenate(pairs), axis=0)
-        return self._verified(flat, first, owner, start, n, pairs)
-
-    @staticmethod
-    def _starts(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        size = key[:, 3] - key[:, 2] + 1
-        row = np.repeat(np.arange(len(key)), size)
-        start = key[row, 2] + np.arange(len(row)) - np.repeat(starts_of(size)[:-1], size)
-        each = np.unique(np.column_stack([key[row, 0], key[row, 1], start]), axis=0)
-        return each[:, 0], each[:, 1], each[:, 2]
+        again = np.flatnonzero((item[1:] == item[:-1]) & (owner[1:] == owner[:-1])) + 1
+        lo[again] = np.maximum(lo[again], hi[again - 1] + 1)
+        size = np.maximum(hi - lo + 1, 0)
+        edge = starts_of(size)
+        begin = 0
+        while begin < len(size):
+            end = max(int(np.searchsorted(edge, edge[begin] + PAIRS, "right")) - 1, begin + 1)
+            row = np.repeat(np.arange(begin, end), size[begin:end])
+            start = lo[row] + np.arange(len(row)) - (edge[row] - edge[begin])
+            if len(row):
+                yield item[row], owner[row], start
+            begin = end
 
     @staticmethod
     def _window_prints(sums: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -145,10 +170,9 @@ class LeakFinder:
             out[some] = _fold(2 * (total[at + n[some]] - total[at]) > n[some][:, None])
         return out
 
-    def _verified(self, flat, first, owner, start, n, pairs):
-        best: dict[tuple[int, int], tuple[float, int, int]] = {}
-        for w, item in pairs.tolist():
-            at, size = int(start[w]), int(n[w])
+    def _verify(self, best, flat, first, owner, start, n, items):
+        """Note in ``best`` what the words themselves say of pairs of window and item."""
+        for text, at, size, item in zip(owner.tolist(), start.tolist(), n.tolist(), items.tolist()):
             ws = flat.slice(at, size + self.k - 1).to_pylist()
             seen = Counter(tuple(ws[j:j + self.k]) for j in range(size))
             own = self.shingles[item]
@@ -156,10 +180,8 @@ class LeakFinder:
             similarity = common / (size + sum(own.values()) - common)
             if similarity < self.threshold:
                 continue
-            text = int(owner[w])
             place = (-similarity, at - int(first[text]), len(ws))
             best[text, item] = min(best.get((text, item), place), place)
-        return [(text, int(self.ids[item]), -b[0], b[1], b[2]) for (text, item), b in sorted(best.items())]
 
 
 class Benchmark:

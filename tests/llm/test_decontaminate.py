@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
+
 from kappaloom.llm import decontaminate as dc
 from kappaloom.llm.decontaminate import benchmark_blocks, benchmark_leaks, without_leaks
 
@@ -84,3 +86,31 @@ def test_empty_tables(spark, docs_of):
     docs, items = make(5)
     assert run(spark, docs_of, [], items) == [] and run(spark, docs_of, docs, []) == []
     assert without_leaks(docs_of(docs), []).count() == len(docs)
+
+
+def test_pairs_compared_do_not_grow_with_the_benchmark(monkeypatch):
+    """Items with a common phrase, of which few have anything else in common with the texts."""
+    rnd = random.Random(6)
+    words = lambda n: " ".join(f"w{rnd.randint(0, 3000)}" for _ in range(n))
+    items = [(i, "which of the following is true about " + words(30)) for i in range(4000)]
+    texts = [words(200) + " which of the following is true about " + words(200) for _ in range(20)]
+    texts += [words(50) + " " + items[i][1] + " " + words(50) for i in range(10)]
+    compared = []
+    near = dc.LeakFinder._near
+    monkeypatch.setattr(dc.LeakFinder, "_near", lambda self, p, item: compared.append(len(item)) or near(self, p, item))
+    seen = {}
+    for n in (200, 4000):
+        compared.clear()
+        found = dc.Benchmark(items[:n], 5, 24, 0.8).find(pa.array(texts))
+        assert [(t, i, s) for t, i, s, *_ in found] == [(20 + i, i, 1.0) for i in range(10)]
+        seen[n] = sum(compared)
+    assert seen[4000] <= 1.1 * seen[200] < 2000
+
+
+def test_windows_in_small_portions(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(dc, "PAIRS", 7)
+    docs, items = make(7)
+    assert dc.Benchmark([(i, t) for i, t in items if t], 5, 24, 0.8).find(
+        pa.array([t for _, t in docs])) == sorted(
+        [(d, *found) for d, (i, t) in enumerate(docs) for (_, *found) in brute([(i, t)], items)],
+        key=lambda r: (min(5, len(tokens(dict(items)[r[1]]))), r[0], [i for i, t in items if t].index(r[1])))
