@@ -89,13 +89,14 @@ def top_k(
     """(query_id, rank, vec_id, score): for every query row the k best other rows.
 
     Vectors are ``quantised``; the score is their inner product, ties go to the smaller id. A
-    row's own id is no candidate, nor are other rows of that id. Vectors of unequal lengths
-    compare as if zeros followed the shorter ones. Null ids and unusable vectors take no part;
-    rows of one id count once, with its smallest vector. Fewer than k candidates are all told;
+    row is no candidate for itself. Equal rows count once; rows of one id with different vectors
+    are candidates each, also for one another, and a query id with several vectors is a query
+    with ranks of its own for each. Vectors of unequal lengths compare as if zeros followed the
+    shorter ones. Null ids and unusable vectors take no part. Fewer than k candidates are all told;
     an empty table gives an empty result. Sums beyond a long wrap around.
 
     The pivots, as many as the square root of the rows, 64 at least and a quarter of the sample at
-    most unless ``pivots`` says so, are chosen from ``sample_rows`` rows at most, drawn by a hash of the id;
+    most unless ``pivots`` says so, are chosen from ``sample_rows`` rows at most, drawn by a hash;
     every row is indexed. Equal vectors are one entry with its k + 1 smallest ids, which decide every
     search, so a very common vector is no large group. A pivot's entries are cut into blocks of
     about ``BLOCK_ROWS`` by a hash, sorted by distance; the queries that cannot rule out a pivot
@@ -106,7 +107,7 @@ def top_k(
     rows = vectors.select(
         F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("v"),
         F.coalesce(is_query, F.lit(False)).alias("q"),
-    ).where("id is not null and v is not null").groupBy("id").agg(F.min("v").alias("v"), F.max("q").alias("q"))
+    ).where("id is not null and v is not null").groupBy("id", "v").agg(F.max("q").alias("q"))
     rows = materialize(rows, "vectors")
     measure = rows.agg(
         F.count("*"), F.max(F.size("v")), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x.cast("double"))),
@@ -115,7 +116,7 @@ def top_k(
     out_schema = "query_id long, rank int, vec_id long, score long"
     if not n or not n_queries:
         return spark.createDataFrame([], out_schema)
-    drawn = rows.where(F.pmod(F.xxhash64("id"), F.lit(max(n // sample_rows, 1))) == 0).select("id", "v")
+    drawn = rows.where(F.pmod(F.xxhash64("id", "v"), F.lit(max(n // sample_rows, 1))) == 0).select("id", "v")
     sample = drawn.limit(2 * sample_rows).collect() or rows.select("id", "v").limit(1).collect()
     matrix = np.zeros((len(sample), width))
     for i, row in enumerate(sorted(sample)):
@@ -125,7 +126,8 @@ def top_k(
     by_id = Window.partitionBy("v").orderBy("id")
     entries = rows.select("v", "id").withColumn("nth", F.row_number().over(by_id)).where(
         F.col("nth") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    queries = rows.where("q").groupBy("v").agg(F.min("id").alias("q_id"))
+    # Equal query vectors are one search; its number is fixed by being written.
+    queries = materialize(rows.where("q").select("v").distinct().withColumn("q_id", F.monotonically_increasing_id()), "queries")
 
     def key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,11 +172,12 @@ def top_k(
     visit_schema = "q_id long, v array<long>, pivot int, block int, q_away double, reach double"
 
     def search(key, entry: pa.Table, query: pa.Table) -> pa.Table:
-        found = {"q_id": [], "ids": [], "score": []}
+        found = {"q_id": [], "ids": [], "score": [], "same": []}
         if entry.num_rows and query.num_rows:
             entry = entry.sort_by("away")
             away = entry["away"].to_numpy()
             vectors_ = _matrix(entry["v"].combine_chunks(), width)
+            size, asked_size = (x["v"].combine_chunks().value_lengths().to_numpy() for x in (entry, query))
             ids = entry["ids"].to_pylist()
             count = np.array([len(x) for x in ids])
             first_id = np.array([x[0] for x in ids])
@@ -186,8 +189,10 @@ def top_k(
                 found["q_id"] += [q_id] * len(pick)
                 found["ids"] += [ids[i] for i in pick.tolist()]
                 found["score"] += score.tolist()
+                same = (size[pick] == asked_size[j]) & (vectors_[pick] == asked[j]).all(1)
+                found["same"] += same.tolist()
         return pa.table(found, pa.schema([
-            ("q_id", pa.int64()), ("ids", pa.list_(pa.int64())), ("score", pa.int64())]))
+            ("q_id", pa.int64()), ("ids", pa.list_(pa.int64())), ("score", pa.int64()), ("same", pa.bool_())]))
 
     def run(asked: DataFrame, first: bool) -> DataFrame:
         part = F.pmod(F.xxhash64("q_id"), F.lit(parts)).cast("int").alias("part")
@@ -198,14 +203,14 @@ def top_k(
         held = held.join(wanted, ["pivot", "block"])
         found = held.groupBy("pivot", "block", "to").cogroup(
             visit.groupBy("pivot", "block", "part")).applyInArrow(
-            search, "q_id long, ids array<long>, score long")
-        return found.select("q_id", "score", F.explode("ids").alias("vec_id"))
+            search, "q_id long, ids array<long>, score long, same boolean")
+        return found.select("q_id", "score", "same", F.explode("ids").alias("vec_id"))
 
     best = Window.partitionBy("q_id").orderBy(F.desc("score"), "vec_id")
     keep = lambda found: found.withColumn("nth", F.row_number().over(best)).where(
         F.col("nth") <= k + 1).drop("nth")
     start = materialize(keep(run(queries, True)), "nearest")
-    # The own id may be among the k + 1: the k-th best other row is not below the (k + 1)-th.
+    # The row itself may be among the k + 1: the k-th best other row is not below the (k + 1)-th.
     floor = start.groupBy("q_id").agg(F.count("*").alias("n"), F.min("score").alias("low"))
     norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x.cast("double"))
     reach = F.when(F.col("n") > k, F.sqrt(F.greatest(
@@ -214,8 +219,8 @@ def top_k(
     found = keep(start.unionByName(run(asked, False)))
     # Back to every query row; equal query vectors were searched once.
     each = rows.where("q").select(F.col("id").alias("query_id"), F.col("v")).join(queries, "v").drop("v")
-    mine = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return each.join(found, "q_id").where("vec_id <> query_id").withColumn(
+    mine = Window.partitionBy("query_id", "q_id").orderBy(F.desc("score"), "vec_id")
+    return each.join(found, "q_id").where("not (same and vec_id = query_id)").withColumn(
         "rank", F.row_number().over(mine).cast("int")).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")
 

@@ -11,17 +11,13 @@ SCHEMA = "vec_id long, embedding array<float>, label int"
 
 def brute(rows, k=5):
     import math
-    vec = {}
-    for i, v in rows:
-        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            vec.setdefault(i, []).append([math.floor(256 * x) for x in v])
-    vec = {i: min(vs) for i, vs in vec.items()}
+    usable = {(i, tuple(math.floor(256 * x) for x in v)) for i, v in rows
+              if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
     out = []
-    for q in vec:
-        if q % 50:
-            continue
-        scored = sorted((-sum(a * b for a, b in zip(vec[q], v)), i) for i, v in vec.items() if i != q)
-        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:k])]
+    for q, own in usable:
+        if q % 50 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(own, v)), i) for i, v in usable if (i, v) != (q, own))
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:k])]
     return sorted(out)
 
 
@@ -46,6 +42,16 @@ def test_unusable_vectors_and_few_rows(spark):
     assert run(spark, rows) == brute(rows)
 
 
+def test_repeated_ids(spark):
+    """Each different vector of an id is a candidate, and a query of its own; equal rows count once."""
+    assert (50, 1, 1, 5 * 256 * 256) in run(spark, [(50, [1.0, 0.0]), (1, [0.1, 0.0]), (1, [5.0, 0.0]), (2, [3.0, 0.0])])
+    rnd = random.Random(3)
+    rows = [(rnd.choice([0, 0, 50, 7, 7, *range(20)]), [rnd.randint(-2, 2) / 2 for _ in range(rnd.choice([2, 3]))])
+            for _ in range(200)]
+    rows += [(50, [1.0, 0.5]), (50, [1.0, 0.5, 0.0]), (0, [1.0, 0.5])] * 2
+    assert run(spark, rows) == brute(rows)
+
+
 def test_empty(spark):
     assert run(spark, []) == [] and run(spark, [(1, [1.0])]) == [] and run(spark, [(0, [])]) == []
 
