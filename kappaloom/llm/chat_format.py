@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from kappaloom.llm.arrow_text import offsets_of, starts_of
+from kappaloom.llm.arrow_text import offsets_of, portions, starts_of
 
 # Fixed values of the template.
 HEAD, MIDDLE, TAIL = b"### ", b":\n", b"</turn>\n"
@@ -84,23 +84,22 @@ def assemble(roles: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray,
 
 
 def _by_turns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Turns in portions that end with a conversation where that is possible."""
+    """Turns in portions of some ``PORTION_BYTES`` and at most one longer turn, that end with a
+    conversation where that is possible."""
     held: list[pa.RecordBatch] = []
     size = 0
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 1024):
-            part = batch.slice(lo, 1024)
-            held.append(part)
-            size += part.get_total_buffer_size() * part.num_rows // max(batch.num_rows, 1)
-            if size < PORTION_BYTES:
-                continue
-            rows = pa.Table.from_batches(held).combine_chunks()
-            key = pc.fill_null(rows["conv"], 0).to_numpy() * 2 + pc.is_null(rows["conv"]).to_numpy(zero_copy_only=False)
-            other = np.flatnonzero(key != key[-1])
-            cut = int(other[-1]) + 1 if len(other) else rows.num_rows
-            yield rows.slice(0, cut)
-            rows = rows.slice(cut).combine_chunks()
-            held, size = rows.to_batches(), rows.nbytes
+    for part in portions(batches, limit=PORTION_BYTES):
+        held.append(part)
+        size += part.nbytes
+        if size < PORTION_BYTES:
+            continue
+        rows = pa.Table.from_batches(held).combine_chunks()
+        key = pc.fill_null(rows["conv"], 0).to_numpy() * 2 + pc.is_null(rows["conv"]).to_numpy(zero_copy_only=False)
+        other = np.flatnonzero(key != key[-1])
+        cut = int(other[-1]) + 1 if len(other) else rows.num_rows
+        yield rows.slice(0, cut)
+        rows = rows.slice(cut).combine_chunks()
+        held, size = rows.to_batches(), rows.nbytes
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
 
@@ -136,6 +135,8 @@ def format_chats(
             first = [i for i in range(len(conv)) if i == 0 or conv[i] != conv[i - 1]]
             cut = np.append(np.array(first)[1:], len(conv)) - 1
             edge = np.concatenate([[0], end[cut]])
+            if edge[-1] > np.iinfo(np.int32).max:
+                raise OverflowError(f"a turn of conversation {conv[-1]} is too long for a string")
             # Code points before a byte: bytes that do not continue a character.
             points = starts_of(((out & 0xC0) != 0x80).astype(np.int64))
             learned = np.flatnonzero(pc.equal(roles, LEARNED_ROLE).to_numpy(zero_copy_only=False))

@@ -54,6 +54,16 @@ def test_large_conversation_comes_in_parts(spark):
     assert all((r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == want[c] for c, r in got.items())
 
 
+def test_portions_are_cut_by_bytes():
+    """Long turns do not gather in a portion, whatever their number; every turn comes once, in order."""
+    texts = ["x" * size for size in [3 << 20] * 6 + [9 << 20, 10, 10, 5 << 20, 0]]
+    rows = pa.RecordBatch.from_arrays(
+        [pa.array([1] * 4 + [2] * 7), pa.array(["user"] * 11), pa.array(texts)], ["conv", "role", "text"])
+    parts = list(cf._by_turns(iter([rows.slice(0, 0), rows.slice(0, 5), rows.slice(5)])))
+    assert pa.concat_tables(parts).combine_chunks().equals(pa.Table.from_batches([rows]))
+    assert max(p.nbytes for p in parts) < 18 << 20 and len(parts) >= 4
+
+
 def test_empty(spark):
     assert run(spark, []) == ([], {})
 
