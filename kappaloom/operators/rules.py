@@ -189,11 +189,14 @@ def rule_table(spark: SparkSession, grid: Grid) -> DataFrame:
 def _item_conditions(items: DataFrame, grid: Grid) -> DataFrame:
     """One narrow row per item and condition, ready to be scored for any run.
 
-    The literal rule table is joined by broadcast after the texts are gone.
+    The literal rule table is joined by broadcast after the texts are gone. An item becomes hundreds
+    of rows here, so the short evidence is dealt to all tasks first, by item: a scan may be few
+    tasks, and whoever groups the rows by item finds them together.
     """
     rules = rule_table(items.sparkSession, grid)
-    rows = weighted(evidence(items, ["dataset", "item_id", "gold"]))
-    return rows.join(rules, ["dataset", "length"])
+    tasks = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = evidence(items, ["dataset", "item_id", "gold"]).repartition(tasks, "dataset", "item_id")
+    return weighted(found).join(rules, ["dataset", "length"])
 
 
 def _run_scores(first_rank: str) -> list[str]:

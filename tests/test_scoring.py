@@ -152,3 +152,16 @@ def test_best_run_ties_and_undefined(spark):
 def test_rule_annotator_golden(spark, sf001_dir, size, accent, kappa):
     preds = rules.predict_one(documents(spark, sf001_dir), Rule(0, size, accent), ["gold"])
     assert one(scoring.agreement_metrics(preds, []))["kappa"] == pytest.approx(kappa, abs=1e-6)
+
+
+def test_patterns_of_a_grid_move_no_row_per_run(spark, sf_dir):
+    """The rows of an item are made in one task: what is shuffled is the evidence of each text and the counts."""
+    from kappaloom.operators import consistency, rules
+    from kappaloom.plans.queries import documents, grid
+
+    patterns = consistency.rating_patterns(rules.predict_grid(documents(spark, sf_dir), grid(5)), ["cond_id"])
+    plan = patterns._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert not [line for line in dealt if "cond_id" in line and "item_id" in line]
+    assert [line for line in dealt if "cond_id" in line and "ratings" in line]
+    assert rows(patterns.select("n").agg(F.sum("n"))) == [(documents(spark, sf_dir).count() * 54,)]
