@@ -19,7 +19,8 @@ from kappaloom.functions.fuzzy import fuzzy_label
 from kappaloom.functions.text import (
     WORD, clean_answer, is_word_char, normal_form, normal_form_py, quoted, strip_space,
 )
-from kappaloom.session import literal_table
+from kappaloom.operators.joins import BROADCAST_BYTES, skew_join, table_bytes
+from kappaloom.session import literal_table, materialize
 
 STAGES = ("exact", "scan", "token", "fuzzy")
 Vocabulary = Sequence[str]
@@ -186,6 +187,28 @@ def extract_labels(
     )
 
 
+def extract_distinct(
+    df: DataFrame, vocabularies: Mapping[str, Vocabulary] | Vocabulary, raw: str = "raw",
+    salt_by: str = "item_id", limit: int = BROADCAST_BYTES, **options,
+) -> DataFrame:
+    """``extract_labels`` that reads each distinct answer of a dataset once, for rows that repeat answers.
+
+    ``df`` is read twice: write it first. Up to ``limit`` bytes the readings go to the rows, which stay in
+    place; beyond it both meet by the answer, frequent answers salted by ``salt_by``.
+    """
+    given = df.groupBy("dataset", raw).agg(F.count("*").alias("_copies"))
+    read = materialize(extract_labels(given, vocabularies, raw, **options), "readings")
+    if table_bytes(read) <= limit:
+        own = read.select(F.col("dataset").alias("_dataset"), F.col(raw).alias("_raw"), "pred", "stage")
+        same = F.col("dataset").eqNullSafe(F.col("_dataset")) & F.col(raw).eqNullSafe(F.col("_raw"))
+        return df.join(F.broadcast(own), same).select(*df.columns, "pred", "stage")
+    key = F.sha2(F.to_json(F.struct("dataset", raw), {"ignoreNullFields": "false"}), 256)
+    total = read.agg(F.sum("_copies")).first()[0] or 0
+    keyed = read.select(key.alias("_answer"), "_copies", "pred", "stage")
+    return skew_join(df.withColumn("_answer", key), keyed, "_answer", "_copies", total, salt_by).select(
+        *df.columns, "pred", "stage")
+
+
 def stage_audit(extracted: DataFrame, keys: Sequence[str]) -> DataFrame:
     """How many answers each stage read, per ``keys``."""
     return extracted.groupBy(*keys, "stage").agg(F.count("*").alias("answers"))

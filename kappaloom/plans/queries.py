@@ -7,14 +7,14 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kappaloom.fixed_values import INSTRUCTION_FORMATS, NA_TOKENS
-from kappaloom.functions.ids import CONDITION, experiment_id, parse_experiment_ids, run_id
+from kappaloom.functions.ids import CONDITION, experiment_id, parse_experiment_ids
 from kappaloom.functions.text import ECHO_END, instruction, model_answer
 from kappaloom.operators import consistency, reports, resume, rules, sampling, scoring
 from kappaloom.operators.annotate import Backend, annotate
 from kappaloom.operators.cleaning import clean_items, label_vocabulary
 from kappaloom.operators.conditions import Grid, expand, with_runs
 from kappaloom.operators.dedup import annotate_distinct, distinct_texts
-from kappaloom.operators.extract import STAGES, extract_labels, stage_audit
+from kappaloom.operators.extract import STAGES, extract_distinct, extract_labels, stage_audit
 from kappaloom.operators.label_tables import extract_with_table
 from kappaloom.operators.prompts import (
     ITEM_CLOSE, ITEM_OPEN, build_prompts, distinct_templates, example_blocks, prompt_templates, prompts_by_condition,
@@ -678,9 +678,8 @@ def prediction_rows(spark, sf, n_runs=N_RUNS) -> DataFrame:
     preds = rules.predict_grid(documents(spark, sf), g)
     raw = preds.withColumn("raw", F.concat(F.lit("Label: "), F.col("pred"))).drop("pred")
     return (
-        extract_labels(raw, rules.LABELS, stages=("exact", "scan", "token"))
-        .join(g.table(spark), ["cond_id", "dataset"])
-        .withColumn("run_id", run_id(experiment_id(), "run_idx"))
+        extract_distinct(materialize(raw, "raw_answers"), rules.LABELS, stages=("exact", "scan", "token"))
+        .join(F.broadcast(with_runs(g.table(spark), n_runs).drop("exp_id")), ["cond_id", "dataset", "run_idx"])
         .withColumn("attempts", F.lit(1))
         .withColumn("error", F.lit(None).cast("string"))
     )
@@ -689,7 +688,7 @@ def prediction_rows(spark, sf, n_runs=N_RUNS) -> DataFrame:
 def q_prediction_table(spark, sf):
     """Appends of different runs to one partitioned table, read back with a filter."""
     path = scratch_path(spark, "predictions")
-    rows = materialize(prediction_rows(spark, sf), "prediction_rows")
+    rows = prediction_rows(spark, sf)
     for first in (True, False):
         results.append_predictions(rows.where((F.col("run_idx") == 0) == F.lit(first)), path)
     return results.read_predictions(spark, path).where(F.col("shot_type") == "one_shot").select(
@@ -711,7 +710,7 @@ def q_compacted_predictions(spark, sf):
 
 def q_run_json_roundtrip(spark, sf):
     path = scratch_path(spark, "run_records")
-    rows = materialize(prediction_rows(spark, sf), "prediction_rows")
+    rows = prediction_rows(spark, sf)
     results.write_records(results.run_records(rows), path)
     return results.read_run_records(spark, path).select("run_id", "item_id", "gold", "raw", "pred")
 
@@ -759,7 +758,7 @@ def q_run_elapsed(spark, sf):
     """Seconds of each run, from the requests' seconds by way of run records."""
     path = scratch_path(spark, "run_records")
     rows = prediction_rows(spark, sf).withColumn("seconds", F.pmod("item_id", F.lit(7)) * 0.25)
-    results.write_records(results.run_records(materialize(rows, "prediction_rows"), 100), path)
+    results.write_records(results.run_records(rows, 100), path)
     return results.run_seconds(spark, path)
 
 

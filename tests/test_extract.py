@@ -138,3 +138,27 @@ def test_large_vocabulary(spark):
         assert out.where("stage = 'scan'").count() == 20000
         seconds[size] = time.perf_counter() - start
     assert seconds[1500] < 3 * seconds[50] + 2
+
+
+def test_distinct_answers_are_read_once_for_all_their_rows(spark, monkeypatch):
+    from kappaloom.operators import extract
+
+    texts = ["English", "it is french.", None, "  ", "Germn", "nothing", "ENGLISH"]
+    df = spark.createDataFrame(
+        [(d, i, texts[i % 7], i) for d in ("a", None) for i in range(140)],
+        "dataset string, item_id int, raw string, kept int").withColumn("item_id", F.nullif("item_id", F.lit(3)))
+    labels = ["English", "French", "German"]
+    want = extract_labels(df, labels)
+    real, seen = extract.extract_labels, []
+
+    def counted(rows, *args, **options):
+        seen.append(rows.count())
+        return real(rows, *args, **options)
+
+    monkeypatch.setattr(extract, "extract_labels", counted)
+    for limit in (extract.BROADCAST_BYTES, 0):
+        got = extract.extract_distinct(df, labels, limit=limit)
+        assert got.columns == want.columns
+        assert rows(got) == rows(want)
+    assert seen == [14, 14]
+    assert extract.extract_distinct(df.limit(0), labels).collect() == []
