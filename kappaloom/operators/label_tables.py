@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from difflib import SequenceMatcher
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -27,6 +28,9 @@ BLOCK_LABELS, BLOCK_ANSWERS = 20_000, 5_000
 #: label lengths of one band
 BAND = 8
 CHAR_BITS, PAIR_BITS = 128, 256
+#: characters of a run by which misspelt answers find labels, and labels that one answer meets that way;
+#: answers that would meet more are compared block by block
+GRAM, GRAM_LABELS = 6, 1_000
 
 
 def key_table(vocabulary: DataFrame) -> DataFrame:
@@ -70,8 +74,13 @@ def whole_words(parts: Column, most: Column) -> Column:
     return F.when(n > 0, F.array_distinct(F.flatten(F.transform(starts, runs))))
 
 
+def key_mark() -> Column:
+    """128 bits that stand for book, kind and key: pieces are many, and their texts need not travel."""
+    return F.unhex(F.md5(F.concat_ws("\0", "book", "kind", "key")))
+
+
 def pieces(answers: DataFrame, limits: DataFrame, stages: Sequence[str]) -> DataFrame:
-    """(answer, book, kind, key, place): all that an answer could be read by.
+    """(answer, mark, place): all that an answer could be read by, see ``key_mark``.
 
     ``answers`` has answer, dataset and cleaned; ``limits`` the most segments and characters of a
     label of each book.
@@ -94,7 +103,8 @@ def pieces(answers: DataFrame, limits: DataFrame, stages: Sequence[str]) -> Data
         found.append(F.transform(fitting, lambda w: piece("word", w, F.char_length(w))))
     if "token" in stages:
         found.append(F.transform(F.col("tokens"), lambda w, i: piece("token", F.lower(w), i)))
-    return known.select("answer", "book", F.inline(F.concat(none, *found)))
+    found = known.select("answer", "book", F.inline(F.concat(none, *found)))
+    return found.select("answer", key_mark().alias("mark"), "place")
 
 
 def read_by_keys(answers: DataFrame, vocabulary: DataFrame, stages: Sequence[str]) -> DataFrame:
@@ -106,8 +116,8 @@ def read_by_keys(answers: DataFrame, vocabulary: DataFrame, stages: Sequence[str
     size = F.size(segments(F.lower("label")))
     limits = materialize(vocabulary.groupBy(F.col("dataset").alias("book")).agg(
         F.max(size).alias("most"), F.max(F.char_length(F.lower("label"))).alias("longest")), "limits")
-    keys = materialize(key_table(vocabulary), "label_keys")
-    met = pieces(answers, limits, stages).join(keys, ["book", "kind", "key"])
+    keys = materialize(key_table(vocabulary).select(key_mark().alias("mark"), "kind", "label", "ord"), "label_keys")
+    met = pieces(answers, limits, stages).join(keys, "mark")
     kind, label = F.col("kind"), F.col("label")
     return met.groupBy("answer").agg(
         F.coalesce(F.max(F.when(kind == "normal", label)), F.max(F.when(kind == "as", label))).alias("exact"),
@@ -191,12 +201,16 @@ def fuzzy_matches(candidates: DataFrame, vocabulary: DataFrame, threshold: float
     """(book, candidate, label): the most similar label of each distinct (book, candidate), where one
     reaches ``threshold``.
 
-    A ratio can only be reached by labels of a length near the candidate's. Labels lie in bands of
+    Candidates that have a close label are settled by what they share with it, see ``matches_by_grams``.
+    For the others: a ratio can only be reached by labels of a length near the candidate's. Labels lie in bands of
     lengths, cut into blocks; candidates go to every block of the bands that fit, also in
     blocks. A task compares one block with one other: hot lengths and books are many tasks.
     """
     if threshold <= 0:
         raise ValueError("the threshold has to be above 0")
+    candidates = materialize(candidates, "candidates")
+    settled = materialize(matches_by_grams(candidates, vocabulary, threshold), "settled")
+    candidates = candidates.join(settled, ["book", "candidate"], "left_anti")
     lower = F.lower("label")
     labels = vocabulary.select(
         F.col("dataset").alias("book"), "label", lower.alias("lower"), F.col("label_ord").cast("int").alias("ord"),
@@ -240,9 +254,65 @@ def fuzzy_matches(candidates: DataFrame, vocabulary: DataFrame, threshold: float
 
     found = left.groupBy(*place).cogroup(right.groupBy(*place)).applyInArrow(
         compare, "book string, candidate string, ratio double, ord int, label string")
+    return settled.unionByName(most_similar(found))
+
+
+def most_similar(found: DataFrame) -> DataFrame:
+    """(book, candidate, label): the label of the highest ratio, first in order on ties."""
     return found.groupBy("book", "candidate").agg(F.max_by("label", F.struct("ratio", -F.col("ord"))).alias("label"))
 
 
+def grams(text: Column) -> Column:
+    """All runs of ``GRAM`` characters, in order; none of a shorter text."""
+    places = F.sequence(F.lit(1), F.greatest(F.char_length(text) - (GRAM - 1), F.lit(1)))
+    return F.when(F.char_length(text) >= GRAM, F.transform(places, lambda i: F.substr(text, i, F.lit(GRAM))))
+
+
+def ratios(candidates: pd.Series, labels: pd.Series) -> pd.Series:
+    return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(candidates, labels)], dtype=float)
+
+
+def matches_by_grams(candidates: DataFrame, vocabulary: DataFrame, threshold: float) -> DataFrame:
+    """``fuzzy_matches`` of the candidates that share rare runs of characters with a close label; no others.
+
+    The nearest of the labels that share one of a candidate's rarest runs gives a ratio r that the best
+    label reaches too. From a candidate of n characters to a label with that ratio lead at most 2 n (1 - r) / r
+    deletions and insertions, and each spoils at most one of several runs that do not overlap. So of one run more
+    the label has one as it is: the labels that hold such runs, the rarest ones, are all that can win.
+    Where these are more than ``GRAM_LABELS``, or the candidate is too short, nothing is said of it.
+    """
+    similarity = F.pandas_udf(ratios, "double")
+    labels = vocabulary.select(
+        F.col("dataset").alias("book"), "label", F.lower("label").alias("lower"), F.col("label_ord").cast("int").alias("ord")).repartition("book", "lower")
+    held = labels.select("book", "label", "lower", "ord", F.explode(F.array_distinct(grams(F.col("lower")))).alias("gram"))
+    often = held.groupBy("book", "gram").agg(F.count("*").alias("n"))
+    asked = candidates.select("book", "candidate", F.posexplode(grams(F.col("candidate"))).alias("pos", "gram"))
+    run = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "pos", "gram")
+    runs = materialize(asked.join(often, ["book", "gram"], "left").groupBy("book", "candidate").agg(
+        F.sort_array(F.collect_list(run)).alias("runs")), "candidate_runs")
+
+    rare = F.slice(F.filter("runs", lambda x: (x["n"] > 0) & (x["n"] <= GRAM_LABELS)), 1, 3)
+    met = runs.select("book", "candidate", F.explode(F.array_distinct(F.transform(rare, lambda x: x["gram"]))).alias("gram")).join(
+        held, ["book", "gram"])
+    nearest = met.groupBy("book", "candidate").agg(
+        F.min_by("lower", F.struct(F.levenshtein("candidate", "lower"), "ord")).alias("lower"))
+    reached = nearest.select("book", "candidate", similarity("candidate", "lower").alias("r")).where(F.col("r") >= threshold)
+    changes = F.floor(2 * F.char_length("candidate") * (1 - F.col("r")) / F.col("r") + 1e-6).cast("int")
+    known = materialize(reached.withColumn("changes", changes), "reached").join(runs, ["book", "candidate"])
+    apart = F.expr(
+        "aggregate(runs, slice(runs, 1, 0), (got, x) -> if(size(got) <= changes and "
+        f"not exists(got, y -> abs(y.pos - x.pos) < {GRAM}), concat(got, array(x)), got))")
+    even = F.filter("runs", lambda x: (x["pos"] % GRAM == 0) & (x["pos"] <= F.col("changes") * GRAM))
+    chosen = known.withColumn("apart", apart).withColumn(
+        "chosen", F.when(F.size("apart") > F.col("changes"), F.col("apart")).otherwise(even)).where(
+        (F.size("chosen") > F.col("changes"))
+        & (F.aggregate("chosen", F.lit(0).cast("long"), lambda total, x: total + x["n"]) <= GRAM_LABELS))
+    pairs = chosen.select("book", "candidate", "changes", F.explode(F.filter("chosen", lambda x: x["n"] > 0)["gram"]).alias("gram")).join(
+        held, ["book", "gram"]).where(F.expr("levenshtein(candidate, lower, changes) >= 0"))
+    found = pairs.dropDuplicates(["book", "candidate", "ord"]).withColumn("ratio", similarity("candidate", "lower"))
+    return most_similar(found.where(F.col("ratio") >= threshold))
+
+
 def read_answers(
     answers: DataFrame, vocabulary: DataFrame, stages: Sequence[str] = STAGES,
     threshold: float = FUZZY_THRESHOLD, fuzzy_chars: int = FUZZY_CHARS,
@@ -285,10 +355,12 @@ def extract_with_table(
         F.sha2(F.concat_ws("\0", "dataset", "_cleaned"), 256)).otherwise(nobody))
     given = keyed.where("_cleaned is not null and dataset is not null").groupBy("answer").agg(
         F.first("dataset").alias("dataset"), F.first("_cleaned").alias("cleaned"), F.count("*").alias("copies"))
-    answers = materialize(given, "answers")
+    # A written answer has a number of its own: of its many pieces each takes along eight bytes.
+    answers = materialize(given.withColumn("number", F.monotonically_increasing_id()), "answers")
     total = answers.agg(F.sum("copies")).first()[0] or 0
-    readings = read_answers(answers.drop("copies"), vocabulary, stages, threshold, fuzzy_chars).join(
-        answers.select("answer", "copies"), "answer")
+    numbered = answers.select(F.col("number").alias("answer"), "dataset", "cleaned")
+    readings = read_answers(numbered, vocabulary, stages, threshold, fuzzy_chars).withColumnRenamed(
+        "answer", "number").join(answers.select("number", "answer", "copies"), "number").drop("number")
     out = skew_join(keyed, materialize(readings, "readings"), "answer", "copies", total, salt_by, how="left")
     empty = F.col("_cleaned").isNull()
     return out.withColumn("stage", F.when(empty, "empty").otherwise(F.coalesce("stage", F.lit("none")))).drop(

@@ -137,3 +137,43 @@ def test_few_labels_stay_in_expressions(spark):
 
     table = vocabulary(spark, {"d": [f"l{i}" for i in range(20)]})
     assert few_labels(table) and few_labels(table, 20) and not few_labels(table, 19)
+
+
+@pytest.mark.parametrize("most", [1_000, 3])
+def test_runs_of_characters_settle_what_the_plain_matcher_says(spark, monkeypatch, most):
+    monkeypatch.setattr(lt, "GRAM", 4)
+    monkeypatch.setattr(lt, "GRAM_LABELS", most)
+    rng = random.Random(10)
+    words = ["large", "ring", "bolt", "gear", "größe", "cold"]
+    labels = list(dict.fromkeys(f"{rng.choice(words)} {rng.choice(words)} no {rng.randint(1, 400)}" for _ in range(400)))
+    labels += ["Cold Ring no 7", "cold ring NO 7"]
+
+    def spoilt(text):
+        for _ in range(rng.randint(0, 3)):
+            i = rng.randint(0, len(text))
+            text = text[:i] + rng.choice(["", "x", "no"]) + text[i + rng.randint(0, 1):]
+        return text
+
+    asked = sorted({spoilt(l.lower())[:30] for l in labels[::2]} | {"", "no", "cold ring no 7", "zzzz zzzz zzzz"})
+    asked_rows = spark.createDataFrame([("d", a) for a in asked], "book string, candidate string")
+    want = {a: best_label(a, labels, 0.8) for a in asked}
+    settled = {r.candidate: r.label for r in lt.matches_by_grams(asked_rows, vocabulary(spark, {"d": labels}), 0.8).collect()}
+    assert settled == {a: want[a] for a in settled} and len(settled) > (len(asked) / 2 if most > 3 else 0)
+    got = {r.candidate: r.label for r in fuzzy_matches(asked_rows, vocabulary(spark, {"d": labels}), 0.8).collect()}
+    assert got == {a: w for a, w in want.items() if w is not None}
+
+
+def test_answers_with_a_close_label_are_not_held_against_all_labels(spark, monkeypatch):
+    labels = [f"large ring no {i}" for i in range(10_000, 12_000)]
+    asked = spark.createDataFrame([("d", f"t{l}") for l in labels[::10]], "book string, candidate string")
+    monkeypatch.setattr(lt, "closest", None)  # no block may be compared
+    got = {r.candidate: r.label for r in fuzzy_matches(asked, vocabulary(spark, {"d": labels}), 0.8).collect()}
+    assert got == {f"t{l}": l for l in labels[::10]}
+
+
+def test_pieces_travel_without_their_texts(spark):
+    df = spark.createDataFrame([(7, "d", "blue cheese sauce")], "answer long, dataset string, cleaned string")
+    limits = spark.createDataFrame([("d", 9, 30)], "book string, most int, longest int")
+    found = lt.pieces(df, limits, ("exact", "scan", "token"))
+    assert dict(found.dtypes) == {"answer": "bigint", "mark": "binary", "place": "int"}
+    assert {len(r.mark) for r in found.collect()} == {16}
