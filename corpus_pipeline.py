@@ -30,6 +30,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of texts whose five-word Jaccard is 0.8 or more stays: the smallest id.
 
+    SimHash fingerprints that link within four bits name pairs, MinHash bands those that differ in more bits;
+    the whole shingle sets decide.
     Texts without words, null or empty, are one group. A group without any id keeps one row for each of its
     texts; of repeated rows one stays. An empty table gives an empty one. All columns are kept.
     """

@@ -1,4 +1,4 @@
-"""Near copies by word shingles: MinHash bands name the candidates, exact Jaccard similarity decides."""
+"""Near copies by word shingles: SimHash and MinHash bands name the candidates, exact Jaccard similarity decides."""
 
 from __future__ import annotations
 
@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from kappaloom.llm.arrow_text import portions, starts_of
 from kappaloom.llm.components import star_roots
-from kappaloom.llm.simhash import shingle_hashes
+from kappaloom.llm.simhash import majorities, near_links, shingle_hashes
 from kappaloom.session import materialize
 
 #: Two sets of Jaccard similarity s share a band with chance 1 - (1 - s^BAND)^BANDS: 0.999997 at 0.8.
 BANDS, BAND = 24, 4
+#: fingerprints that link within so many bits meet, with all that hang together by such links
+RADIUS = 4
 #: shingles of one bucket above which it is cut into pairs of parts
 UNIT_SHINGLES = 1 << 21
 #: bytes of sets that a task holds besides its last unit
@@ -28,6 +30,11 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 def band_keys(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(a row of ``BANDS`` keys for each text, shingles of each text); texts without words are alike."""
     hashes, counts = shingle_hashes(texts, width)
+    return band_rows(hashes, counts), counts
+
+
+def band_rows(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The keys from what ``shingle_hashes`` gives."""
     some = np.flatnonzero(counts)
     first = starts_of(counts)[:-1][some]
     keys = np.zeros((len(counts), BANDS), np.uint64)
@@ -38,7 +45,7 @@ def band_keys(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
         band = keys[:, k // BAND]
         mixed = band * _MIX + least
         keys[:, k // BAND] = mixed ^ (mixed >> np.uint64(32))
-    return keys, counts
+    return keys
 
 
 def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
@@ -102,20 +109,23 @@ def near_copy_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -
 
     ``sign`` is its hash, ``least`` the smallest id of its rows. Texts whose sets of lower-case
     word shingles (see ``shingle_hashes``) have Jaccard ``similarity`` or more are linked,
-    ``component_id`` is the smallest id reachable over links. Texts meet where a band of their
-    MinHash is equal; buckets with the same texts are one. Only texts that share a bucket send
+    ``component_id`` is the smallest id reachable over links. Texts meet where their SimHash
+    fingerprints hang together by links of ``RADIUS`` bits (see ``near_links``), and, as texts of that similarity
+    may differ in more bits, where a band of their MinHash is equal; buckets with the same texts are one. Only texts that share a bucket send
     their shingles. Within a bucket every pair is decided on them, those that hang together
     already apart; a bucket with very many shingles is cut into pairs of parts.
     """
 
     def bands_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in portions(batches):
-            keys, counts = band_keys(part.column("text"), width)
+            hashes, counts = shingle_hashes(part.column("text"), width)
+            keys, prints = band_rows(hashes, counts), majorities(hashes, counts)
             lists = pa.ListArray.from_arrays(
                 pa.array(np.arange(len(counts) + 1) * BANDS, pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("sign"), pa.array(counts, pa.int64()), lists],
-                ["doc_id", "sign", "n", "bands"])
+                [part.column("doc_id"), part.column("sign"), pa.array(counts, pa.int64()),
+                 pa.array(prints.view(np.int64)), lists],
+                ["doc_id", "sign", "n", "fp", "bands"])
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in portions(batches):
@@ -123,10 +133,14 @@ def near_copy_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -
             yield pa.RecordBatch.from_arrays([part.column("sign"), pa.array(sets, pa.binary())], ["sign", "shingles"])
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("sign"), "text")
-    rows = materialize(picked.mapInArrow(bands_of, "doc_id long, sign long, n long, bands array<long>"), "bands")
+    rows = materialize(picked.mapInArrow(bands_of, "doc_id long, sign long, n long, fp long, bands array<long>"), "bands")
     texts = materialize(rows.groupBy("sign").agg(
-        F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands")), "texts")
-    keys = texts.select("sign", "n", F.posexplode("bands").alias("band", "key"))
+        F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp"),
+        F.first("bands").alias("bands")), "texts")
+    hung = star_roots(near_links(texts.select("fp").distinct(), RADIUS)).select(F.col("a").alias("fp"), F.col("b").alias("root"))
+    prints = texts.select("sign", "n", "fp").join(hung, "fp", "left").select(
+        "sign", "n", F.lit(BANDS).alias("band"), F.coalesce("root", "fp").alias("key"))
+    keys = texts.select("sign", "n", F.posexplode("bands").alias("band", "key")).unionByName(prints)
     shared = keys.groupBy("band", "key").agg(
         F.count("*").alias("count"), F.sum(F.col("n") + 1).alias("size"),
         F.bit_xor(F.xxhash64("sign")).alias("mark")).where("count > 1")

@@ -50,7 +50,11 @@ def shingle_hashes(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]
 
 def fingerprints(texts: pa.Array, width: int) -> np.ndarray:
     """64-bit SimHash of each text: a bit is 1 if set in over half of the shingle hashes."""
-    hashes, shingles = shingle_hashes(texts, width)
+    return majorities(*shingle_hashes(texts, width))
+
+
+def majorities(hashes: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+    """The fingerprints from what ``shingle_hashes`` gives."""
     n = len(shingles)
     owner = np.repeat(np.arange(n) * 256, shingles)
     out = np.zeros(n, np.uint64)

@@ -105,3 +105,23 @@ def test_templated_sets_meet_few_others(monkeypatch):
         sets += [sets[7], np.append(sets[9], np.uint64(1))]
         assert sorted(map(sorted, nc.set_links(sets, 0.8))) == [[7, n], [9, n + 1]]
         assert sum(seen) < 60 * (n + 20)
+
+
+def test_simhash_names_candidates_and_the_sets_decide(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from kappaloom.llm import near_copies
+
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words[:200]), " ".join(words[:199]), " ".join(words[200:]), None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    radii, real = [], near_copies.near_links
+
+    def all_hang_together(prints, radius):
+        radii.append((radius, real(prints, radius).columns))
+        return prints.select(F.col("fp").alias("a"), F.lit(0).cast("long").alias("b"))
+
+    monkeypatch.setattr(near_copies, "near_links", all_hang_together)
+    groups = near_copies.near_copy_groups(docs, 5, 0.8)
+    assert radii == [(4, ["a", "b"])]
+    assert {r.least: r.component_id for r in groups.collect()} == {0: 0, 1: 0, 2: 2, 3: 3}
