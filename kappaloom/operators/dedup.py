@@ -42,6 +42,8 @@ def annotate_distinct(
     prompts again and no others. ``concurrency`` deals the distinct texts, not the prompts, to
     that many tasks.
 
+    Answers meet their items by shuffles, whatever the size of their files: they do not pass through the driver.
+
     With a column ``open`` of run numbers in the items and ``run_no`` in the templates only
     those requests are made and answered; a text is asked what any of its items needs.
     """
@@ -74,7 +76,7 @@ def annotate_distinct(
         c for c in ("seconds",) if c in asked.columns])
     answers = materialize(
         asked.groupBy("text_key").agg(F.collect_list(answer).alias("answers"))
-        .join(firsts.select("text_key", "copies"), "text_key"),
+        .join(firsts.select("text_key", "copies").hint("shuffle_merge"), "text_key"),
         "answers",
     )
     total = firsts.agg(F.sum("copies")).first()[0] or 0

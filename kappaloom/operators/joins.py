@@ -45,7 +45,9 @@ def skew_join(
     ``answers[copies]`` says how many of the ``total`` facts a key has. Fewer than
     ``MAX_HOT_KEYS`` keys can own more than a 1/MAX_HOT_KEYS share, so the list of hot
     keys is bounded whatever the data, and broadcasting it is safe. Hot keys are
-    split over one salt per share; all other keys use salt 0.
+    split over one salt per share; all other keys use salt 0. The answers are never sent to all
+    tasks through the driver: a table of repeated answers is many times larger in memory than
+    its files are, which is what the planner goes by.
     """
     share = max(total // MAX_HOT_KEYS, 1)
     salts = F.when(F.col(copies) > share, F.ceil(F.col(copies) / F.lit(share)).cast("int"))
@@ -59,4 +61,4 @@ def skew_join(
         "_salt",
         F.coalesce(F.pmod(F.xxhash64(salt_by), F.col("_salts")).cast("int"), F.lit(0)),
     ).drop("_salts")
-    return salted_facts.join(salted_answers, [key, "_salt"], how).drop("_salt")
+    return salted_facts.join(salted_answers.hint("shuffle_merge"), [key, "_salt"], how).drop("_salt")

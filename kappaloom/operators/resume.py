@@ -33,7 +33,7 @@ def open_runs(items: DataFrame, runs: DataFrame, saved: DataFrame, keep_failed:
     """
     done = F.coalesce(F.col("done"), F.array().cast("array<int>"))
     return (
-        items.join(finished_by_item(saved, keep_failed), ITEM, "left")
+        items.join(finished_by_item(saved, keep_failed).hint("shuffle_merge"), ITEM, "left")
         .join(F.broadcast(runs_of_dataset(runs)), "dataset")
         .withColumn("open", F.array_except(F.col("runs"), done))
         .where(F.size("open") > 0)

@@ -143,7 +143,7 @@ def run_experiment(items: DataFrame, setup: Experiment, out: str) -> DataFrame:
             portion, templates,
             lambda prompts: ask(prompts, setup), setup.concurrency)
         rows = answers.join(F.broadcast(named), ["dataset", "cond_id", "run_idx"]).join(
-            portion.select("dataset", "item_id", "gold"), ["dataset", "item_id"])
+            portion.select("dataset", "item_id", "gold").hint("shuffle_merge"), ["dataset", "item_id"])
         append_predictions(read(rows), store)
         count_portion(spark, store, f"{out}/patterns")
         done += 1
@@ -259,7 +259,7 @@ def score(gold: DataFrame, setup: Experiment, out: str) -> DataFrame:
     else:
         answers = wanted_answers(spark, setup, out)
         answered = answers.select("dataset", "item_id")
-        summary = materialize(condition_summary(align(gold, answers), CONDITION), "summary")
+        summary = materialize(condition_summary(align(gold, answers.hint("shuffle_merge")), CONDITION), "summary")
     alignment_audit(gold, answered).coalesce(1).write.mode("overwrite").json(f"{out}/alignment")
     write_summaries(summary, f"{out}/metrics")
     # One row for each condition: a report is one small task, without any exchange.

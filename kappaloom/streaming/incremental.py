@@ -116,7 +116,7 @@ def annotate_stream_once(
         held = materialize(batch, "stream_batch")
         answers = annotate_distinct(held, templates, ask)
         rows = answers.join(F.broadcast(names), ["dataset", "cond_id", "run_idx"]).join(
-            held.select("dataset", "item_id", "gold"), ["dataset", "item_id"])
+            held.select("dataset", "item_id", "gold").hint("shuffle_merge"), ["dataset", "item_id"])
         read(rows).write.mode("overwrite").parquet(folder)
 
     query = (

@@ -262,3 +262,14 @@ def test_scores_follow_from_the_counts_of_the_portions(spark, sf_dir, tmp_path,
     assert used[-1] is None
     swapped = items.withColumn("gold", F.when(F.col("item_id") % 2 == 0, "German").otherwise(F.col("gold")))
     assert e.counted_patterns(swapped.select("dataset", "item_id", "gold"), job(), out) is None
+
+
+def test_tables_with_a_row_per_text_are_not_broadcast(spark):
+    """Their files are small, whatever they hold in memory: the planner must not send them through the driver."""
+    from kappaloom.operators.joins import skew_join
+
+    facts = spark.createDataFrame([(i, f"k{i % 3}") for i in range(30)], "item_id long, key string")
+    answers = spark.createDataFrame([(f"k{i}", 10, "a") for i in range(3)], "key string, copies long, raw string")
+    joined = skew_join(facts, answers, "key", "copies", 30, "item_id")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [key" in plan and joined.count() == 30
