@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Row, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import (
-    BooleanType, DoubleType, IntegerType, StringType, StructField, StructType,
+    ArrayType, BooleanType, DoubleType, IntegerType, StringType, StructField, StructType,
 )
 
 from kappaloom.fixed_values import BACKOFF_BASE, BATCH_SIZE, MAX_ATTEMPTS
@@ -84,23 +88,25 @@ def in_order(calls: list[Callable], in_flight: int) -> list:
         return list(pool.map(lambda call: call(), calls))
 
 
-def answer_batch(predictor, backend: Backend, prompts: list[str], runs: list[int]):
+def answer_batch(predictor, backend: Backend, prompts: Sequence[str], runs: list[int]):
     """(raw, attempts, error, transient, seconds) per prompt, in order.
 
-    The requests of a batch share its seconds evenly.
+    The requests of a batch share its seconds evenly. A prompt is looked up when its request begins.
     """
     bulk = getattr(predictor, "predict_batch", None)
     if backend.batch_size <= 1 or bulk is None:
-        return in_order([
-            lambda p=p, r=r: outcome(lambda: predictor.predict(p, r), backend)
-            for p, r in zip(prompts, runs)
-        ], backend.in_flight)
+        def one(at: int):
+            prompt = prompts[at]
+            return outcome(lambda: predictor.predict(prompt, runs[at]), backend)
+
+        return in_order([lambda at=at: one(at) for at in range(len(prompts))], backend.in_flight)
 
     def ask(part: slice):
-        size = len(prompts[part])
+        given = prompts[part]
+        size = len(given)
 
         def whole_batch():
-            found = list(bulk(prompts[part], runs[part]))
+            found = list(bulk(given, runs[part]))
             if len(found) != size:
                 raise ValueError(f"{len(found)} answers to {size} prompts")
             return found
@@ -116,8 +122,138 @@ def answer_batch(predictor, backend: Backend, prompts: list[str], runs: list[int
 DETAILS = [StructField("transient", BooleanType()), StructField("seconds", DoubleType())]
 
 
+@dataclass(frozen=True)
+class Wording:
+    """Few rows with ``model``, ``run_idx``, ``prefix``, ``suffix`` and more keys: the questions, by their place."""
+
+    schema: StructType
+    rows: list[Row]
+
+
+#: prompts that a task hands to the backends at a time where it puts them together itself
+PORTION = 10_000
+
+
+class Filled(Sequence):
+    """Prompts put together when they are looked up, so that only those of running requests are held."""
+
+    def __init__(self, texts: list, ends: list[tuple], places: list[tuple[int, int]]):
+        self.texts, self.ends, self.places = texts, ends, places
+
+    def __len__(self) -> int:
+        return len(self.places)
+
+    def __getitem__(self, at):
+        if isinstance(at, slice):
+            return [self.filled(*place) for place in self.places[at]]
+        return self.filled(*self.places[at])
+
+    def filled(self, text: int, question: int) -> str | None:
+        text, (head, tail) = self.texts[text], self.ends[question]
+        return None if text is None or head is None or tail is None else f"{head}{text}{tail}"
+
+
+def told(predictors: dict, backends: dict[str, Backend], name: str, attempt: int) -> Predictor:
+    """The task's predictor of a model, built when the model first comes up."""
+    if name not in predictors:
+        predictors[name] = backends[name].factory()
+        if hasattr(predictors[name], "attempt"):
+            predictors[name].attempt = attempt
+    return predictors[name]
+
+
+def closed(predictors: dict) -> None:
+    for predictor in predictors.values():
+        close = getattr(predictor, "close", None)
+        if close:
+            close()
+
+
+def shown_answer(model: Column, raw: Column, backends: dict[str, Backend]) -> Column:
+    """What a model's raw answer says, without the echo of its instruction."""
+    answer = raw
+    for name, backend in backends.items():
+        answer = F.when(model == name, model_answer(raw, backend.echo_end)).otherwise(answer)
+    return answer
+
+
+def annotate_texts(
+    texts: DataFrame, backends: dict[str, Backend], keys: list[str], wording: Wording,
+    details: bool = False, attempt: int = 1,
+) -> DataFrame:
+    """``annotate`` for ``texts`` with ``text`` and ``asks``, the places in ``wording`` of a text's questions.
+
+    A text travels to Python once, whatever is asked about it, and the wording once a task; the worker puts the
+    prompts together. A row per text comes back: those ``keys`` that the wording does not have,
+    and ``answers``, an array of the other keys with ``raw``, ``attempts`` and ``error``.
+    """
+    asked = [k for k in keys if k in wording.schema.names]
+    kept = [k for k in keys if k not in asked]
+    fields = [
+        *[wording.schema[k] for k in asked], StructField("_model", StringType()), StructField("raw", StringType()),
+        StructField("attempts", IntegerType()), StructField("error", StringType()), *DETAILS * details]
+    schema = StructType([
+        *[texts.schema[k] for k in kept], StructField("answers", ArrayType(StructType(fields), False))])
+    types = {f.name: to_arrow_type(f.dataType) for f in fields}
+    models = [r["model"] for r in wording.rows]
+    runs = [r["run_idx"] for r in wording.rows]
+    ends = [
+        tuple(None if end is None else w for end, w in (
+            (r["prefix"], f"{backends[m].wrapper[0]}{r['prefix']}"), (r["suffix"], f"{r['suffix']}{backends[m].wrapper[1]}")))
+        if m in backends else None for m, r in zip(models, wording.rows)]
+    columns = {k: [r[k] for r in wording.rows] for k in asked}
+    held = texts.sparkSession.sparkContext.broadcast((models, runs, ends, columns))
+    most = max(20 * PORTION // max(len(models), 1), 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models, runs, ends, columns = held.value
+        known = np.array([m in backends for m in models], dtype=bool)
+        numbers = {name: np.array([m == name for m in models], dtype=bool) for name in backends}
+        fixed = {**{k: pa.array(v, types[k]) for k, v in columns.items()}, "_model": pa.array(models, pa.string())}
+        predictors = {}
+        try:
+            for batch in (b.slice(at, most) for b in batches for at in range(0, len(b), most)):
+                asks = batch.column("_asks")
+                sizes = pc.fill_null(pc.list_value_length(asks), 0).to_numpy(zero_copy_only=False)
+                question = asks.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                owner = np.repeat(np.arange(len(batch)), sizes)
+                usable = known[question]
+                question, owner = question[usable], owner[usable]
+                texts = batch.column("_text").to_pylist()
+                found = [None] * len(question)
+                for at in range(0, len(question), PORTION):
+                    part = question[at:at + PORTION]
+                    for name, backend in backends.items():
+                        rows = np.flatnonzero(numbers[name][part]) + at
+                        if not len(rows):
+                            continue
+                        places = list(zip(owner[rows].tolist(), question[rows].tolist()))
+                        answers = answer_batch(
+                            told(predictors, backends, name, attempt), backend, Filled(texts, ends, places),
+                            [int(runs[q]) for _, q in places])
+                        for row, answer in zip(rows.tolist(), answers):
+                            found[row] = answer
+                given = dict(zip(("raw", "attempts", "error", "transient", "seconds"), zip(*found) if found else [()] * 5))
+                values = {
+                    **{k: v.take(pa.array(question)) for k, v in fixed.items()},
+                    **{k: pa.array(v, types[k]) for k, v in given.items() if k in types}}
+                structs = pa.StructArray.from_arrays([values[f] for f in types], fields=[
+                    pa.field(name, kind) for name, kind in types.items()])
+                offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(batch)))]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), structs)
+                yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in kept], lists], names=[*kept, "answers"])
+        finally:
+            closed(predictors)
+
+    source = texts.select(*kept, F.col("text").alias("_text"), F.col("asks").cast("array<int>").alias("_asks"))
+    return source.mapInArrow(run, schema).withColumn("answers", F.transform("answers", lambda a: F.struct(
+        *[a[k].alias(k) for k in asked], shown_answer(a["_model"], a["raw"], backends).alias("raw"),
+        *[a[f.name].alias(f.name) for f in fields[len(asked) + 2:]])))
+
+
 def annotate(
     prompts: DataFrame, backends: dict[str, Backend], keys: list[str], details: bool = False, attempt: int = 1,
+    wording: Wording | None = None,
 ) -> DataFrame:
     """``keys`` plus ``raw``, ``attempts`` and ``error``, each prompt by the backend of its model.
 
@@ -125,10 +261,13 @@ def annotate(
     all models: a task builds a predictor when its model first comes up. Prompts travel to
     Python, not back. The number of tasks times ``in_flight`` of the backend bounds the calls that
     run at a time. With ``details`` come ``transient`` (the failure was worth another attempt) and
-    ``seconds``. A predictor with an attribute ``attempt`` is told ``attempt``.
+    ``seconds``. A predictor with an attribute ``attempt`` is told ``attempt``. With ``wording`` the rows
+    are texts, see ``annotate_texts``.
     """
     if not backends:
         raise ValueError("no backend given")
+    if wording is not None:
+        return annotate_texts(prompts, backends, keys, wording, details, attempt)
     schema = StructType([
         *[prompts.schema[k] for k in keys],
         StructField("_model", StringType()),
@@ -155,12 +294,8 @@ def annotate(
                 if details:
                     out["transient"], out["seconds"] = False, 0.0
                 for name, rows in batch.groupby("_model", sort=False):
-                    if name not in predictors:
-                        predictors[name] = backends[name].factory()
-                        if hasattr(predictors[name], "attempt"):
-                            predictors[name].attempt = attempt
                     answers = answer_batch(
-                        predictors[name], backends[name], rows["_prompt"].tolist(),
+                        told(predictors, backends, name, attempt), backends[name], rows["_prompt"].tolist(),
                         [int(r) for r in rows["_run"]])
                     raw, attempts, error, transient, seconds = zip(*answers)
                     out.loc[rows.index, "raw"] = pd.Series(raw, index=rows.index, dtype=object)
@@ -171,12 +306,7 @@ def annotate(
                         out.loc[rows.index, "seconds"] = pd.Series(seconds, index=rows.index, dtype=float)
                 yield out
         finally:
-            for predictor in predictors.values():
-                close = getattr(predictor, "close", None)
-                if close:
-                    close()
+            closed(predictors)
 
-    answer = F.col("raw")
-    for name, backend in backends.items():
-        answer = F.when(F.col("_model") == name, model_answer(F.col("raw"), backend.echo_end)).otherwise(answer)
+    answer = shown_answer(F.col("_model"), F.col("raw"), backends)
     return source.mapInPandas(run, schema).withColumn("raw", answer).drop("_model")

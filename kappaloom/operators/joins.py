@@ -38,7 +38,7 @@ def lookup_join(
 
 def skew_join(
     facts: DataFrame, answers: DataFrame, key: str, copies: str, total: int, salt_by: str,
-    how: str = "inner",
+    how: str = "inner", sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Join facts to one answer per ``key`` where some keys own a large share of the facts.
 
@@ -47,15 +47,18 @@ def skew_join(
     keys is bounded whatever the data, and broadcasting it is safe. Hot keys are
     split over one salt per share; all other keys use salt 0. The answers are never sent to all
     tasks through the driver: a table of repeated answers is many times larger in memory than
-    its files are, which is what the planner goes by.
+    its files are, which is what the planner goes by. With ``sizes``, a row of ``key`` and ``copies`` for each key,
+    the answers need no ``copies`` and a key may have several rows of them.
     """
     share = max(total // MAX_HOT_KEYS, 1)
     salts = F.when(F.col(copies) > share, F.ceil(F.col(copies) / F.lit(share)).cast("int"))
-    hot = answers.select(key, salts.alias("_salts")).where(F.col("_salts").isNotNull())
+    hot = (answers if sizes is None else sizes).select(key, salts.alias("_salts")).where(F.col("_salts").isNotNull())
+    if sizes is not None:
+        answers, salts = answers.join(F.broadcast(hot), key, "left"), F.col("_salts")
     salted_answers = (
         answers.withColumn("_salt", F.explode(
             F.sequence(F.lit(0), F.coalesce(salts, F.lit(1)) - 1)))
-        .drop(copies)
+        .drop(copies if sizes is None else "_salts")
     )
     salted_facts = facts.join(F.broadcast(hot), key, "left").withColumn(
         "_salt",

@@ -274,10 +274,10 @@ def q_prompt_dedup(spark, sf):
     templates = distinct_templates(templates_of(spark, items, g))
     backend = Backend.batched(lambda: LexiconPredictor(BASIC), batch_size=64)
 
-    def ask(prompts):
-        return annotate(prompts, {"common": backend}, ["text_key", "template_id", "run_idx"])
+    def ask(texts, wording=None):
+        return annotate(texts, {"common": backend}, ["text_key", "template_id", "run_idx"], wording=wording)
 
-    answers = annotate_distinct(items, templates, ask)
+    answers = annotate_distinct(items, templates, ask, by_text=True)
     return with_exp_id(answers.select("cond_id", "item_id", "raw"), g)
 
 
@@ -310,10 +310,10 @@ def q_annotate_batch(spark, sf):
         ),
     }
 
-    def ask(prompts):
-        return annotate(prompts, backends, ["text_key", "template_id", "run_idx"])
+    def ask(texts, wording=None):
+        return annotate(texts, backends, ["text_key", "template_id", "run_idx"], wording=wording)
 
-    answers = annotate_distinct(items, templates, ask)
+    answers = annotate_distinct(items, templates, ask, by_text=True)
     return with_exp_id(answers.select("cond_id", "item_id", "raw", F.col("attempts").cast("long").alias("attempts")), g)
 
 
