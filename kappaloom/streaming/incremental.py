@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kappaloom.operators.annotate import Backend, annotate
+from kappaloom.operators.annotate import Backend, Wording, annotate
 from kappaloom.operators.dedup import annotate_distinct
 from kappaloom.operators.extract import extract_labels
 from kappaloom.operators.prompts import build_prompts
-from kappaloom.session import materialize, path_exists
+from kappaloom.session import literal_table, materialize, path_exists
 
 ITEM_SCHEMA = "dataset string, item_id long, text string, gold string"
 FILES_PER_BATCH = 1000
@@ -57,40 +59,78 @@ def annotation_chain(
 
 
 REQUEST = ["text_key", "template_id", "run_idx"]
+ANSWER = ["template_id", "run_idx", "raw", "attempts", "error"]
+QUESTION_PLACES = pa.schema([("template_id", pa.string()), ("run_idx", pa.int32()), ("place", pa.int32())])
 
 
 def answer_table(spark: SparkSession, path: str) -> DataFrame | None:
     """(batch, text_key, template_id, run_idx, raw, attempts, error): all answers of a stream so far."""
+    saved = saved_answers(spark, path)
+    return None if saved is None else saved.select("batch", "text_key", F.inline("answers"))
+
+
+def saved_answers(spark: SparkSession, path: str) -> DataFrame | None:
+    """(text_key, answers, batch): what was asked about a text in a batch, as one row or several."""
     return spark.read.parquet(path) if path_exists(spark, path) else None
 
 
-def remembering(
-    ask: Callable[[DataFrame], DataFrame], path: str, batch: int
-) -> Callable[[DataFrame], DataFrame]:
+@dataclass(frozen=True)
+class Remembering:
     """``ask`` for ``annotate_distinct`` that puts only such prompts as no earlier batch has an answer to.
 
     The answers of a batch are a folder of the table under ``path``. A batch that runs again
     after a failure finds its folder whole, or writes it anew: it never sees its own answers as old ones.
     Failed requests are no answers. Of the table only the keys of the batch's texts are
-    looked up, and only they are joined to the prompts.
+    looked up. With a wording, ``unanswered`` tells from the keys alone what is known, and no text is moved for
+    it; prompts without are joined with what is known.
     """
 
-    def ask_new(prompts: DataFrame) -> DataFrame:
+    ask: Callable[..., DataFrame]
+    path: str
+    batch: int
+
+    @property
+    def folder(self) -> str:
+        return f"{self.path}/batch={self.batch}"
+
+    def known(self, texts: DataFrame) -> DataFrame | None:
+        """(text_key, template_id, run_idx) with an answer from another batch, for these texts."""
+        saved = saved_answers(texts.sparkSession, self.path)
+        if saved is None:
+            return None
+        return saved.where(F.col("batch") != self.batch).join(texts.select("text_key"), "text_key", "left_semi").select(
+            "text_key", F.inline("answers")).where("error is null").select(*REQUEST)
+
+    def unanswered(self, texts: DataFrame, wording: Wording) -> DataFrame:
+        """The texts with ``answered``, the places of questions in the wording that have an answer."""
+        known = self.known(texts)
+        if known is None:
+            return texts
+        places = literal_table(texts.sparkSession, QUESTION_PLACES, [
+            (r["template_id"], r["run_idx"], at) for at, r in enumerate(wording.rows)])
+        answered = known.join(F.broadcast(places), ["template_id", "run_idx"]).groupBy("text_key").agg(
+            F.collect_set("place").alias("answered"))
+        return texts.join(answered, "text_key", "left")
+
+    def __call__(self, prompts: DataFrame, wording: Wording | None = None) -> DataFrame:
         spark = prompts.sparkSession
-        folder = f"{path}/batch={batch}"
         texts = materialize(prompts.select("text_key").distinct(), "batch_texts")
-        if not path_exists(spark, f"{folder}/_SUCCESS"):
-            saved, new = answer_table(spark, path), prompts
-            if saved is not None:
-                known = saved.where((F.col("batch") != batch) & F.col("error").isNull()).join(
-                    texts, "text_key", "left_semi").select(*REQUEST)
-                new = prompts.join(materialize(known, "known_answers"), REQUEST, "left_anti")
-            ask(new).write.mode("overwrite").parquet(folder)
-        usable = F.col("error").isNull() | (F.col("batch") == batch)
-        return answer_table(spark, path).where(usable & (F.col("batch") <= batch)).drop("batch").join(
-            texts, "text_key", "left_semi")
+        if not path_exists(spark, f"{self.folder}/_SUCCESS"):
+            if wording is not None:
+                answers = self.ask(prompts, wording).where(F.size("answers") > 0)
+            else:
+                known = self.known(texts)
+                new = prompts if known is None else prompts.join(
+                    materialize(known, "known_answers"), REQUEST, "left_anti")
+                answers = self.ask(new).select("text_key", F.array(F.struct(*ANSWER)).alias("answers"))
+            answers.write.mode("overwrite").parquet(self.folder)
+        usable = F.filter("answers", lambda a: a["error"].isNull() | (F.col("batch") == self.batch))
+        saved = saved_answers(spark, self.path).where(F.col("batch") <= self.batch).select(
+            "text_key", usable.alias("answers")).join(texts, "text_key", "left_semi")
+        return saved if wording is not None else saved.select("text_key", F.inline("answers"))
+
 
-    return ask_new
+remembering = Remembering
 
 
 def annotate_stream_once(
@@ -112,11 +152,13 @@ def annotate_stream_once(
         folder = f"{out}/rows/batch={number}"
         if path_exists(spark, f"{folder}/_SUCCESS"):
             return
-        ask = remembering(lambda prompts: annotate(prompts, backends, REQUEST), f"{out}/answers", number)
+        ask = remembering(
+            lambda texts, wording=None: annotate(texts, backends, REQUEST, wording=wording), f"{out}/answers", number)
         held = materialize(batch, "stream_batch")
-        answers = annotate_distinct(held, templates, ask)
-        rows = answers.join(F.broadcast(names), ["dataset", "cond_id", "run_idx"]).join(
-            held.select("dataset", "item_id", "gold").hint("shuffle_merge"), ["dataset", "item_id"])
+        answers = annotate_distinct(
+            held, templates, ask, by_text=True, carry=held.select("dataset", "item_id", "gold"),
+            unanswered=ask.unanswered)
+        rows = answers.join(F.broadcast(names), ["dataset", "cond_id", "run_idx"])
         read(rows).write.mode("overwrite").parquet(folder)
 
     query = (
