@@ -738,7 +738,8 @@ def streamed(spark, sf) -> str:
     for portion in (0, 1):
         docs.where(F.pmod("item_id", F.lit(2)) == portion).write.mode("append").parquet(inbox)
         annotate_stream_once(
-            stream_items(spark, inbox), templates, backends, lambda rows: extract_labels(rows, rules.LABELS), out, checkpoint)
+            stream_items(spark, inbox), templates, backends,
+            lambda rows: extract_distinct(materialize(rows, "stream_rows"), rules.LABELS), out, checkpoint)
     return out
 
 
